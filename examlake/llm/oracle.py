@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licences import BASE, TEMPLATES
 from .quality_rules import STOP_WORDS
 
 
@@ -50,4 +51,52 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM r
 """
 
-SQL: dict[str, str] = {"op6_quality_rules": OP6}
+def _op4() -> str:
+    exact = [(" ".join(t.words), t.label, t in BASE) for t in TEMPLATES if t.exact]
+    long = [(n, t.label, t.words) for n, t in enumerate(TEMPLATES) if not t.exact]
+    phrases = ", ".join(f"('{p}', '{label}', {str(base).lower()}, {len(p.split())})" for p, label, base in exact)
+    grams = ", ".join(f"({n}, '{label}', {i}, '{' '.join(ws[i:i + 4])}', {len(ws) - 3})" for n, label, ws in long for i in range(len(ws) - 3))
+    sizes = ", ".join(map(str, sorted({4, *(len(p.split()) for p, _, _ in exact)})))
+    return rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
+phrases(phrase, label, base, len) AS (VALUES {phrases}),
+g AS (SELECT doc_id, n, i - 1 AS pos, array_to_string(ws[i:i + n - 1], ' ') AS gram
+      FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT unnest([{sizes}]) AS n))),
+places AS (SELECT doc_id, pos, label, base FROM g JOIN phrases p ON g.n = p.len AND g.gram = p.phrase),
+grams(template, label, t_at, gram, n_grams) AS (VALUES {grams}),
+votes AS (SELECT doc_id, template, t.label, n_grams, t_at, pos - t_at AS diagonal FROM g JOIN grams t ON g.n = 4 AND g.gram = t.gram),
+diagonals AS (SELECT doc_id, template, diagonal, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS gap FROM (SELECT DISTINCT doc_id, template, diagonal FROM votes)),
+runs AS (SELECT doc_id, template, diagonal, sum(CASE WHEN gap > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM diagonals),
+spans AS (
+  SELECT doc_id, v.label, count(DISTINCT t_at) / any_value(n_grams) AS cover
+  FROM votes v JOIN runs USING (doc_id, template, diagonal) GROUP BY doc_id, template, v.label, run HAVING count(DISTINCT t_at) / any_value(n_grams) >= 0.6),
+every AS (
+  SELECT doc_id, label, base, pos, 1.0::DOUBLE AS cover FROM places
+  UNION ALL SELECT doc_id, label, false, NULL, cover FROM spans),
+found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(cover) AS score
+  FROM every GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM w LEFT JOIN found USING (doc_id)
+"""
+
+
+OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+a AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t) AS said,
+         coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '') AS loss,
+         sum(8 + length(role) + 1 + length(t) + length(t) - length(replace(replace(t, chr(92), ''), '<', '')) + 7) AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars
+FROM a
+"""
+
+SQL: dict[str, str] = {"op4_licence_scan": _op4(), "op5_chat_format": OP5, "op6_quality_rules": OP6}
