@@ -69,3 +69,16 @@ def part_offsets(ranked: DataFrame, total: str) -> DataFrame:
         F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("total_before"),
         F.sum("_t").over(everything).alias("total"),
     )
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """Texts and labels of at most about ``max_rows`` training rows (crc32 of the id mod 5 is not 0).
+
+    The rows are those of least hash, so the same for the same table. Their ids are few enough to
+    broadcast, so texts are not moved.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", F.col(label).cast("int").alias(label)).distinct()
+    total = usable.count()
+    if total > max_rows:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    return docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(usable), "doc_id")  # max_rows ids

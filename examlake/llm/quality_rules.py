@@ -62,6 +62,7 @@ def _with_counts(df: DataFrame, text: Column) -> DataFrame:
         "word_chars": F.char_length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.char_length("_text") - F.char_length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
+        "n_distinct_words": F.size(F.array_distinct("_words")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_ellipsis_lines": F.size(F.filter("_lines", lambda s: F.rtrim(s).endswith("...") | F.rtrim(s).endswith("…"))).cast("long"),
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(stops))).cast("long"),
@@ -101,6 +102,8 @@ def quality_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     stats = {
         **{c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")},
         "mean_word_chars": F.col("word_chars") / words,
+        "distinct_word_ratio": F.col("n_distinct_words") / words,
+        "repeat_word_ratio": F.col("n_repeat_words") / words,
         "symbol_ratio": F.col("n_symbols") / words,
         "stop_word_ratio": F.col("n_stop_words") / words,
         "dup_line_ratio": F.col("n_dup_lines") / lines,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, oracle, packing, quality_rules, sharding, tokens
+from . import chat, licences, near_dedup, oracle, packing, quality_rules, rule_ensemble, sharding, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,21 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return _judged(rule_ensemble.with_score(docs, rule_ensemble.train(docs, labels)), 0.3)
+
+
+def op7_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return _judged(toxicity.with_score(docs, toxicity.train(docs, labels)), 0.5)
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = licences.licence_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return report.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -64,14 +79,21 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 80, 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_shards": op2_byte_shards,
+        "op3_quality_ensemble": op3_quality_ensemble,
         "op4_licence_scan": op4_licence_scan,
         "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
+        "op7_toxicity_kernel": op7_toxicity_kernel,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
