@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, near_dedup, oracle, packing, quality_rules, rule_ensemble, sharding, tokens, toxicity
+from . import chat, fingerprints, licences, near_dedup, oracle, packing, quality_rules, rule_ensemble, sharding, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -85,6 +90,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_paragraph_sketches": op1_paragraph_sketches,
         "op2_byte_shards": op2_byte_shards,
         "op3_quality_ensemble": op3_quality_ensemble,
         "op4_licence_scan": op4_licence_scan,
