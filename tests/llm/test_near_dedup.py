@@ -76,6 +76,8 @@ def test_signatures_estimate_likeness():
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + i) for i in range(1, 50)]
-    got = {r.node: r.component for r in components(spark.createDataFrame([*chain, *star, (7, 7), (2000, 1999)], "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}, 1999: 1999, 2000: 1999}
+    links = spark.createDataFrame([*chain, *star, (7, 7), (2000, 1999)], "a long, b long")
+    for last in (0, 20, 1000):  # rounds alone, rounds and a last task, the task alone
+        got = {r.node: r.component for r in components(links, last).collect()}
+        assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}, 1999: 1999, 2000: 1999}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
