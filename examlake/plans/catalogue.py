@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards
+from . import dashboards, rules
 
-MODULES: tuple = (dashboards,)
+MODULES: tuple = (dashboards, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,19 +9,9 @@ from ..functions.expr import cents, falsy, js_round, ratio
 from ..operators import dashboards as ops
 from ..sources import domain
 from ..sources.domain import SQL as D
+from .registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 @query(D + """, e AS (
@@ -187,7 +177,7 @@ def self_second_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.evaluation_id = e.evaluation_id AND m.question_number = n.question_number AND m.mark_status <> 'NOT_STARTED')""")
 def missing_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = domain.marks(spark, sf_dir).groupBy("evaluation_id").agg(F.collect_set(F.when(F.col("mark_status") != "NOT_STARTED", F.col("question_number"))).alias("seen"), F.max("question_number").alias("top"))
-    return numbers.select("evaluation_id", F.explode(F.array_except(F.sequence(F.lit(1), "top"), "seen")).cast("bigint").alias("question_number"))
+    return numbers.select("evaluation_id", F.explode(F.array_except(F.sequence(F.lit(1), "top"), "seen")).alias("number")).select("evaluation_id", F.col("number").cast("bigint").alias("question_number"))
 
 
 @query(D + """SELECT evaluation_id, examiner_name, exam, paper_set FROM evaluations LEFT JOIN examiners USING (examiner_id)
