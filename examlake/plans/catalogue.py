@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, rules
+from . import dashboards, events, rules, scoring, statistics
 
-MODULES: tuple = (dashboards, rules)
+MODULES: tuple = (dashboards, rules, statistics, scoring, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
