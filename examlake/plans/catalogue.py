@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, events, rules, scoring, statistics
+from . import dashboards, events, ingest, rules, scoring, statistics
 
-MODULES: tuple = (dashboards, rules, statistics, scoring, events)
+MODULES: tuple = (dashboards, rules, statistics, scoring, events, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
