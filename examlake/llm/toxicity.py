@@ -28,10 +28,10 @@ from .common import checkpointed, labelled_rows, text_or_empty
 MAX_ROWS = 20_000
 #: Landmarks (toxic and clean) and training words at most.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, MAX_WORDS = 256, 64, 40_000
-#: Weight of all words of toxic texts against those of clean texts, and the machine's ridge.
-TOXIC_SHARE, RIDGE = 0.4, 0.05
-#: What a text's second highest word counts against its highest, at most.
-SECOND = 1.0
+#: Weight of all words of toxic texts against those of clean texts, and the machine's ridge for each word seen.
+TOXIC_SHARE, RIDGE = 0.4, 2e-7
+#: What a text's second highest word may count against its highest; the calibration rows choose.
+SECOND = (0.0, 0.25, 0.5, 1.0)
 #: Subsequence patterns (places from the first character) by length; one gap at most.
 PATTERNS = {3: ((1, 2), (1, 3), (2, 3)), 4: ((1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)), 5: ((1, 2, 3, 4), (1, 2, 3, 5), (1, 2, 4, 5), (1, 3, 4, 5), (2, 3, 4, 5))}
 GAP = 0.6
@@ -273,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
     ok = values > 1e-6 * values.max()
     whiten = vectors[:, ok] / np.sqrt(values[ok])
     kernel = _kernel_rows([r.word for r in taken], features, matrix)
-    beta = _svm(kernel @ whiten.astype(np.float32), TOXIC_SHARE * c_all / t_all * np.array([r.t for r in taken], float), np.array([r.c for r in taken], float), RIDGE)
+    beta = _svm(kernel @ whiten.astype(np.float32), TOXIC_SHARE * c_all / t_all * np.array([r.t for r in taken], float), np.array([r.c for r in taken], float), RIDGE * (t_all + c_all))
     by_place = matrix @ (whiten @ beta[:-1]).astype(np.float32)
     weights = {}
     for length in PATTERNS:
@@ -283,13 +283,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
     held = rows.where("fifth = 0").select("doc_id", "text", "toxic").mapInPandas(_tops(model), "doc_id long, toxic int, first float, second float").drop("doc_id").collect()  # max_rows / 5
     y = np.array([r.toxic for r in held])
     if min(y.sum(), len(y) - y.sum()) >= 3:
-        top = np.clip([[r.first, r.second] for r in held], -3, 3)
-        a, b, c = _logistic(top, y, ridge=0.1)
-        if b > SECOND * a:  # one word is enough: the second may add, not decide
-            a, c = _logistic(top[:, :1] + SECOND * top[:, 1:], y, ridge=0.1)
-            b = SECOND * a
+        top = np.clip([[r.first, r.second] for r in held], -1.5, 1.5)
+        fits = []
+        for share in SECOND:
+            z = top[:, :1] + share * top[:, 1:]
+            a, c = _logistic(z, y, ridge=0.1)
+            right = 1 / (1 + np.exp(-(a * z[:, 0] + c)))
+            fits.append((int(((right >= 0.5) != y).sum()), float(-np.log(np.clip(np.where(y == 1, right, 1 - right), 1e-9, 1)).sum()), float(a), share, float(c)))
+        _, _, a, share, c = min(fits)
         if a > 0:
-            model = ToxicityModel(weights, model.bias, (float(a), float(b), float(c)))
+            model = ToxicityModel(weights, model.bias, (a, share * a, c))
     return model
 
 
@@ -317,7 +320,7 @@ def with_score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
     def chance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tables = model.tables()
         for texts in batches:
-            top = np.clip(top_two(texts.tolist(), tables, model.bias), -3, 3).astype(np.float64)
+            top = np.clip(top_two(texts.tolist(), tables, model.bias), -1.5, 1.5).astype(np.float64)
             yield pd.Series(1 / (1 + np.exp(-(a * top[:, 0] + b * top[:, 1] + c))))
 
     return docs.withColumn(out_col, chance(text_or_empty(text_col)))
