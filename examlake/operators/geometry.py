@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,9 +46,16 @@ def _iou(a: tuple, b: tuple) -> float:
     return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both + 1e-6)
 
 
-def greedy_boxes(boxes: DataFrame, least_iou: float = 0.90) -> DataFrame:
+def _near(a: tuple, b: tuple) -> float:
+    """Mean distance of corners of the same place."""
+    return sum(math.hypot(a[i] - b[i], a[j] - b[j]) for i in (0, 2) for j in (1, 3)) / 4
+
+
+def greedy_boxes(boxes: DataFrame, least_iou: float = 0.90, most_distance: float = math.inf) -> DataFrame:
     """Per page, in ascending ``box``: the first box of a look-alike set stays, later ones go with it (``kept_by``).
 
+    Look-alike: overlap of ``least_iou`` or more with it, and corners within ``most_distance`` on average.
+
     Order decides, so a page's boxes are walked in turn; pages are dealt whole and sorted, and
     batches are walked without a group call for each page. ``boxes``: ``page_id``, ``box``, ``x0``,
     ``y0``, ``x1``, ``y1``.
@@ -60,7 +68,7 @@ def greedy_boxes(boxes: DataFrame, least_iou: float = 0.90) -> DataFrame:
             for at, box, *corners in batch.itertuples(index=False, name=None):
                 if at != page:
                     page, kept = at, []
-                first = next((k for k, xy in kept if _iou(xy, corners) >= least_iou), None)
+                first = next((k for k, xy in kept if _iou(xy, corners) >= least_iou and _near(xy, corners) <= most_distance), None)
                 if first is None:
                     kept.append((box, corners))
                 by.append(box if first is None else first)

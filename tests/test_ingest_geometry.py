@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from examlake.operators import geometry
+from examlake.operators import correction, geometry
 from examlake.sources import ingest
 
 
@@ -83,3 +84,14 @@ def test_quadrilaterals(spark):
     assert (got.pa, got.pb, got.pc) == (None, "BAD_ANGLE", "OUT_OF_FRAME") and got.d.max_distance == 5.0
     angles = [math.atan2(p.y - 50, p.x - 50) for p in got.o]
     assert angles == sorted(angles)
+
+
+def test_corrections_are_verified():
+    shadow = np.tile(np.linspace(60, 200, 8), (8, 1))
+    shadow[::2] -= 40
+    after, log = correction.correct(shadow)
+    assert log[0] == "SHADOW:COMMITTED" and correction.deficit(after) < correction.deficit(shadow)
+    flat = np.full((8, 8), 120.0)
+    assert correction.correct(flat)[1] == ["CONTRAST:ROLLED_BACK"] and (correction.correct(flat)[0] == flat).all()
+    clear = np.where(np.indices((8, 8)).sum(axis=0) % 2, 250.0, 0.0)
+    assert correction.correct(clear)[1] == []
