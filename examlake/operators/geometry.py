@@ -81,16 +81,21 @@ def greedy_boxes(boxes: DataFrame, least_iou: float = 0.90, most_distance: float
 def hysteresis(moves: DataFrame, key: str, order: str, movement: str, limit: float = 0.08) -> DataFrame:
     """Stable-frame counter: up to 3 after small movements, down to 1 after large ones, 0 where detection is lost (null); ready at 2.
 
-    The counter follows from the one before, so a camera's frames are one group, walked once.
+    The counter follows from the one before: a camera's frames are dealt to one task in order and walked
+    batch by batch, so none is held whole.
     """
 
-    def run(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(order, kind="stable")
-        level, out = 0, []
-        for m in frames[movement]:
-            level = 0 if pd.isna(m) else min(3, level + 1) if m < limit else max(1, level - 1)
-            out.append(level)
-        return pd.DataFrame({key: frames[key], order: frames[order], "stable_frames": out, "ready": [x >= 2 for x in out]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        camera, level = None, 0
+        for frames in batches:
+            out = []
+            for who, _, m in frames.itertuples(index=False, name=None):
+                if who != camera:
+                    camera, level = who, 0
+                level = 0 if pd.isna(m) else min(3, level + 1) if m < limit else max(1, level - 1)
+                out.append(level)
+            yield frames[[key, order]].assign(stable_frames=out, ready=[x >= 2 for x in out])
 
     types = dict(moves.dtypes)
-    return moves.select(key, order, movement).groupBy(key).applyInPandas(run, f"`{key}` {types[key]}, `{order}` {types[order]}, stable_frames int, ready boolean")
+    dealt = moves.select(key, order, movement).repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInPandas(run, f"`{key}` {types[key]}, `{order}` {types[order]}, stable_frames int, ready boolean")
