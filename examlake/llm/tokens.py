@@ -35,8 +35,26 @@ def _byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+class _Words(dict):
+    """Ids of each word seen, as bytes; a new word is encoded on first use."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class FragmentEncoder:
-    """Encodes as the tokenizer file at ``path`` does, without adding special tokens."""
+    """Encodes as the tokenizer file at ``path`` does, without adding special tokens.
+
+    Ids are handed on as little-endian unsigned 32-bit integers in bytes: joining those of the words
+    is joining bytes.
+    """
 
     def __init__(self, path: str) -> None:
         import regex
@@ -45,64 +63,59 @@ class FragmentEncoder:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.suffix = model["end_of_word_suffix"] or ""
-        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix, cache_capacity=0)
+        suffix = model["end_of_word_suffix"] or ""
+        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0)
         self.inner = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.shown = _byte_alphabet()
         self.plain = Tokenizer.from_file(path)
         self.plain.no_truncation()
         self.plain.no_padding()
-        inside = {t[: len(t) - len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t for t in model["vocab"]}
+        inside = {t.removesuffix(suffix) for t in model["vocab"]}
         self.joined = {t[i : i + 2] for t in inside for i in range(len(t) - 1)}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.words = _Words(self._word)
+        self.fragments: dict[str, bytes] = {}
 
-    def fragment_ids(self, fragment: str, ends: bool) -> tuple[int, ...]:
-        got = self.fragments.get((fragment, ends))
+    def _inner(self, fragment: str) -> bytes:
+        """Ids of a fragment that a certain cut ends."""
+        got = self.fragments.get(fragment)
         if got is None:
-            got = self.fragments[fragment, ends] = tuple(t.id for t in (self.last if ends else self.inner).tokenize(fragment))
+            got = self.fragments[fragment] = b"".join([t.id.to_bytes(4, "little") for t in self.inner.tokenize(fragment)])
         return got
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        """Ids of a run without white space, lower-cased."""
-        ids: list[int] = []
-        for piece in (word,) if word.isascii() and word.isalpha() else self.pieces(word):
-            s = piece if piece.isascii() and piece.isprintable() else "".join([self.shown[b] for b in piece.encode()])
-            joined, start = self.joined, 0
-            for i in range(1, len(s)):
-                if s[i - 1 : i + 1] not in joined:
-                    ids += self.fragment_ids(s[start:i], False)
-                    start = i
-            if start:
-                ids += self.fragment_ids(s[start:], True)
-            else:  # the whole piece; the word's own cache holds it
-                ids += [t.id for t in self.last.tokenize(s)]
-        return tuple(ids)
-
-    def text_ids(self, text: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
+        s = piece if piece.isascii() and piece.isprintable() else "".join([self.shown[b] for b in piece.encode()])
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.joined]
+        inner = [self._inner(s[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
+        last = self.last.tokenize(s[cuts[-1] :] if cuts else s)
+        return b"".join([*inner, *[t.id.to_bytes(4, "little") for t in last]])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a run without white space, lower-cased: its pieces are words of their own."""
+        if word.isascii() and word.isalpha():
+            return self._piece(word)
+        pieces = self.pieces(word)
+        return self._piece(word) if pieces == [word] else b"".join([self.words[p] for p in pieces])
+
+    def text_bytes(self, text: str) -> bytes:
+        """Ids of a whole text, as bytes."""
         if "<|" in text and self.at_special.search(text):
-            return [i for part in self.at_special.split(text) if part for i in ([self.special[part]] if part in self.special else self.text_ids(part))]
+            return b"".join([self.special.get(part) or self.text_bytes(part) for part in self.at_special.split(text) if part])
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if _ODD.search(text):
-            return self.plain.encode(text, add_special_tokens=False).ids
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
         if len(self.fragments) > CACHE_ENTRIES:
             self.fragments.clear()
-        cache, ids = self.cache, []
-        for word in text.lower().split():
-            got = cache.get(word)
-            if got is None:
-                got = self.word_ids(word)
-                if len(word) <= 64:
-                    cache[word] = got
-            ids += got
-        return ids
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
+
+    def text_ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.text_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.plain.decode(ids, skip_special_tokens=False)
@@ -123,9 +136,9 @@ def with_token_ids(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = encoder(tokenizer_path).text_ids
+        ids = encoder(tokenizer_path).text_bytes
         for texts in batches:
-            yield pd.Series([np.array(ids(t), dtype=np.int32) for t in texts])
+            yield pd.Series([np.frombuffer(ids(t), np.int32) for t in texts])
 
     return docs.withColumn(out_col, encode(text_or_empty(text_col)))
 
@@ -142,11 +155,6 @@ def with_decoded(ids: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_
     return ids.withColumn(out_col, decode(F.col(ids_col)))
 
 
-def ids_digest(ids: np.ndarray) -> str:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
-
-
 def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each whole text.
 
@@ -157,11 +165,11 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = encoder(tokenizer_path)
         for texts in batches:
-            ids = [coder.text_ids(t) for t in texts]
+            ids = [coder.text_bytes(t) for t in texts]  # as the digest wants them: little-endian, unsigned, 32 bits
             yield pd.DataFrame({
-                "n_tokens": [len(i) for i in ids],
-                "ids_sha256": [ids_digest(i) for i in ids],
-                "decoded_sha256": [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in ids],
+                "n_tokens": [len(i) // 4 for i in ids],
+                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+                "decoded_sha256": [hashlib.sha256(coder.decode(np.frombuffer(i, "<u4").tolist()).encode()).hexdigest() for i in ids],
             })
 
     return docs.select(id_col, digest(text_or_empty(text_col)).alias("d")).select(id_col, "d.*")
