@@ -110,7 +110,9 @@ def quality_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "ellipsis_line_ratio": F.col("n_ellipsis_lines") / lines,
         "upper_ratio": F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)),
     }
-    return counted.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "quality"], F.struct(*[v.alias(k) for k, v in stats.items()]).alias("quality"))
+    # Through explode no filter on the statistics is pushed down, where it would repeat all of the expressions above for each use.
+    quality = F.explode(F.array(F.struct(*[v.alias(k) for k, v in stats.items()]))).alias("quality")
+    return counted.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "quality"], quality)
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
