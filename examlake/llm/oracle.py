@@ -40,8 +40,8 @@ r AS (
          array_to_string(list_filter([
            CASE WHEN NOT (word_chars / greatest(n_words, 1) BETWEEN 2 AND 20) THEN 'mean_word_chars' END,
            CASE WHEN n_symbols / greatest(n_words, 1) > 0.1 THEN 'symbol_ratio' END,
-           CASE WHEN n_stop / greatest(n_words, 1) < 0.02 THEN 'stop_word_ratio' END,
-           CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.3 THEN 'dup_line_ratio' END,
+           CASE WHEN (n_stop + 0.5::DOUBLE) / greatest(n_words, 1) < 0.02::DOUBLE THEN 'stop_word_ratio' END,
+           CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'dup_line_ratio' END,
            CASE WHEN n_up / greatest(n_up + n_low, 1) > 0.5 THEN 'upper_ratio' END,
            CASE WHEN n_ell / greatest(n_lines, 1) > 0.3 THEN 'ellipsis_line_ratio' END], lambda x: x IS NOT NULL), ',') AS failed_rules
   FROM c)

@@ -40,7 +40,7 @@ RULES = (
     Rule("mean_word_chars", low=2.0, high=20.0),
     Rule("symbol_ratio", high=0.1),
     Rule("stop_word_ratio", low=0.02),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
     Rule("upper_ratio", high=0.5),
     Rule("ellipsis_line_ratio", high=0.3),
 )
@@ -105,7 +105,7 @@ def quality_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "distinct_word_ratio": F.col("n_distinct_words") / words,
         "repeat_word_ratio": F.col("n_repeat_words") / words,
         "symbol_ratio": F.col("n_symbols") / words,
-        "stop_word_ratio": F.col("n_stop_words") / words,
+        "stop_word_ratio": (F.col("n_stop_words") + 0.5) / words,  # half a word more: a very short text may have none
         "dup_line_ratio": F.col("n_dup_lines") / lines,
         "ellipsis_line_ratio": F.col("n_ellipsis_lines") / lines,
         "upper_ratio": F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)),
