@@ -172,24 +172,30 @@ def _counted(toxic: Counter, clean: Counter) -> pd.DataFrame:
     return pd.DataFrame({"word": pd.Series([w.decode() for w in words], dtype=object), "t": [toxic[w] for w in words], "c": [clean[w] for w in words]})
 
 
-def _codes_of_words(words: list[str], ends: bool) -> np.ndarray:
+def _codes_of_words(words: list[str]) -> np.ndarray:
     joined = "0" + "0".join(words) + "0"
     return np.frombuffer(joined.encode(), np.uint8) - np.uint8(48)
 
 
-def _kernel_rows(words: list[str], features: dict[int, np.ndarray], matrix: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark; ``features`` maps a table index to its row in ``matrix``, or -1."""
-    out = np.zeros((len(words), matrix.shape[1]), np.float32)
+def _kernel_rows(words: list[str], features: dict[int, np.ndarray], matrix: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """Kernel of each word with each landmark, whitened, a block of words at a time.
+
+    ``features`` maps a table index to its row in ``matrix``, or -1.
+    """
+    out = np.zeros((len(words), whiten.shape[1]), np.float32)
     for start in range(0, len(words), 2000):
-        codes = _codes_of_words(words[start : start + 2000], True)
+        block = words[start : start + 2000]
+        kernel = np.zeros((len(block), matrix.shape[1]), np.float32)
+        codes = _codes_of_words(block)
         owner = np.cumsum(codes == 0) - 1
         for length, weight, index, inside in _indices(codes):
             row = features[length][index]
-            hit = np.flatnonzero(inside & (row >= 0) & (owner < len(words) - start))
-            for part in np.array_split(hit, max(1, len(hit) // 20_000)):
+            hit = np.flatnonzero(inside & (row >= 0) & (owner < len(block)))
+            for part in np.array_split(hit, max(1, len(hit) // 4_000)):
                 if len(part):
                     who, first = np.unique(owner[part], return_index=True)
-                    out[start + who] += np.add.reduceat(matrix[row[part]] * np.float32(weight), first, axis=0)
+                    kernel[who] += np.add.reduceat(matrix[row[part]] * np.float32(weight), first, axis=0)
+        out[start : start + 2000] = kernel @ whiten
     return out
 
 
@@ -215,16 +221,24 @@ def _landmark_features(landmarks: list[str]) -> tuple[dict[int, np.ndarray], np.
 
 
 def _svm(x: np.ndarray, up: np.ndarray, down: np.ndarray, ridge: float) -> np.ndarray:
-    """Squared-hinge machine by Newton's method; ``up`` and ``down`` weigh each row as +1 and as -1."""
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype))).astype(np.float64)
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    """Squared-hinge machine by Newton's method; ``up`` and ``down`` weigh each row as +1 and as -1.
+
+    Rows are taken a block at a time, so beside ``x`` only a block and the normal matrix are held.
+    """
+    n, m = x.shape
+    beta = np.zeros(m + 1)
+    penalty = np.full(m + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(25):
-        f = x @ beta
-        a, b = up * (f < 1), down * (f > -1)
-        gradient = x.T @ (a * (f - 1) + b * (f + 1)) + penalty * beta
-        step = np.linalg.solve((x * (a + b)[:, None]).T @ x + np.diag(penalty), gradient)
+        gradient, normal = penalty * beta, np.diag(penalty)
+        for start in range(0, n, 2048):
+            rows = slice(start, start + 2048)
+            block = np.hstack((x[rows].astype(np.float64), np.ones((len(x[rows]), 1))))
+            f = block @ beta
+            a, b = up[rows] * (f < 1), down[rows] * (f > -1)
+            gradient += block.T @ (a * (f - 1) + b * (f + 1))
+            normal += (block * (a + b)[:, None]).T @ block
+        step = np.linalg.solve(normal, gradient)
         beta -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -272,8 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
     values, vectors = np.linalg.eigh(gram)
     ok = values > 1e-6 * values.max()
     whiten = vectors[:, ok] / np.sqrt(values[ok])
-    kernel = _kernel_rows([r.word for r in taken], features, matrix)
-    beta = _svm(kernel @ whiten.astype(np.float32), TOXIC_SHARE * c_all / t_all * np.array([r.t for r in taken], float), np.array([r.c for r in taken], float), RIDGE * (t_all + c_all))
+    known = _kernel_rows([r.word for r in taken], features, matrix, whiten.astype(np.float32))
+    beta = _svm(known, TOXIC_SHARE * c_all / t_all * np.array([r.t for r in taken], float), np.array([r.c for r in taken], float), RIDGE * (t_all + c_all))
     by_place = matrix @ (whiten @ beta[:-1]).astype(np.float32)
     weights = {}
     for length in PATTERNS:
