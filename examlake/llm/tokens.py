@@ -14,7 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Entries of a task's word cache; beyond it the cache starts anew. Bounds memory, never results.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 _ODD = re.compile("[\x1c-\x1fΣ]")  # white space to Python alone, and a letter whose lower case depends on its place
 
 
@@ -58,27 +58,47 @@ class FragmentEncoder:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer, models
 
-        spec = json.load(open(path, encoding="utf-8"))
+        self.path = path
+        spec = self._spec()
         model = spec["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         suffix = model["end_of_word_suffix"] or ""
-        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix, cache_capacity=0)
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        self.last = self._model(model, end_of_word_suffix=suffix)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.shown = _byte_alphabet()
-        self.plain = Tokenizer.from_file(path)
-        self.plain.no_truncation()
-        self.plain.no_padding()
         inside = {t.removesuffix(suffix) for t in model["vocab"]}
         self.joined = {t[i : i + 2] for t in inside for i in range(len(t) - 1)}
         self.words = _Words(self._word)
         self.fragments: dict[str, bytes] = {}
 
+    def _spec(self) -> dict:
+        return json.load(open(self.path, encoding="utf-8"))
+
+    @staticmethod
+    def _model(model: dict, **options):
+        from tokenizers import models
+
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        return models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options)
+
+    @cached_property
+    def inner(self):
+        """The model without word ends, loaded when a first word is cut."""
+        return self._model(self._spec()["model"])
+
+    @cached_property
+    def plain(self):
+        """The library's tokenizer, loaded for a first odd text or for decoding."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def _inner(self, fragment: str) -> bytes:
         """Ids of a fragment that a certain cut ends."""
         got = self.fragments.get(fragment)
