@@ -95,22 +95,22 @@ def find_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     ).select("row", "at", F.explode("_pair").alias("hash"))
     votes = grams.join(F.broadcast(_template_grams(spark, templates)), "hash").withColumn("diagonal", F.col("at") - F.col("t_at"))
     by_diagonal = votes.groupBy("row", "template", "diagonal").agg(F.collect_set("t_at").alias("t_ats"), F.min("at").alias("low"), F.max(F.col("at") + F.col("k") - 1).alias("high"))
-    traits = spark.createDataFrame([(n, t.exact, len(t.words) - t.k + 1, len(t.words)) for n, t in enumerate(templates)], "template int, exact boolean, n_grams int, n_words int")
+    traits = spark.createDataFrame([(n, t.exact, len(t.words) - t.k + 1) for n, t in enumerate(templates)], "template int, exact boolean, n_grams int")
     known = by_diagonal.join(F.broadcast(traits), "template")
-    exact = known.where(F.col("exact") & (F.size("t_ats") == F.col("n_grams"))).select("row", "template", F.col("diagonal").alias("first_word"), (F.col("diagonal") + F.col("n_words") - 1).alias("last_word"), F.lit(1.0).alias("cover"))
+    # One pass for both kinds: each diagonal of an exact template is a run of its own.
     order = Window.partitionBy("row", "template").orderBy("diagonal")
-    merged = (
-        known.where(~F.col("exact"))
-        .withColumn("_new", (F.col("diagonal") - F.lag("diagonal").over(order) > max_shift).cast("int"))
-        .withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order))
+    fresh = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > max_shift)
+    spans = (
+        known.withColumn("_new", F.coalesce(fresh.cast("int"), F.lit(0)))
+        .withColumn("_run", F.sum("_new").over(order))
         .groupBy("row", "template", "_run")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("t_ats")))).alias("_n"), F.min("low").alias("first_word"), F.max("high").alias("last_word"), F.first("n_grams").alias("n_grams"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("t_ats")))).alias("_n"), F.min("low").alias("first_word"), F.max("high").alias("last_word"), F.first("n_grams").alias("n_grams"), F.first("exact").alias("exact"))
         .withColumn("cover", F.col("_n") / F.col("n_grams"))
-        .where(F.col("cover") >= min_cover)
+        .where(F.when(F.col("exact"), F.col("_n") == F.col("n_grams")).otherwise(F.col("cover") >= min_cover))
         .select("row", "template", "first_word", "last_word", "cover")
     )
     counts = texts.select(F.col("_id").alias(id_col), "row", F.size("_words").cast("long").alias("n_words"))
-    return counts, exact.unionByName(merged)
+    return counts, spans
 
 
 def licence_report(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tuple[Template, ...] = BASE, **options) -> DataFrame:
