@@ -5,20 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_BLOCK = 65536
 
-def assign_least_loaded(books: DataFrame, examiners: DataFrame, max_rounds: int) -> DataFrame:
+
+def assign_least_loaded(books: DataFrame, examiners: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``book_id``, ``examiner_id``: books in ascending id go, one by one, to whoever has least load; the smaller id wins ties.
 
     ``examiners``: ``examiner_id``, ``load`` (whole). The k-th slot of an examiner opens at load + k;
     slots in ascending (level, examiner) are taken in the order of the books, which equals the greedy
     loop. Ranks are dealt by level, with offsets from the counts of levels, so no task sees all slots.
-    ``max_rounds``: slots for each examiner; it must cover the books (a shortage leaves books out).
+    Slots are opened up to the level at which they cover all books, so no book is left out.
+    ``max_rounds``: the caller's own limit of slots for each examiner (a shortage leaves books out).
     """
-    slots = examiners.select("examiner_id", F.explode(F.sequence(F.col("load"), F.col("load") + max_rounds - 1)).alias("level"))
-    taken = _ranked(slots, "level", "examiner_id")
+    load = F.col("load").cast("bigint")
+    if max_rounds is None:
+        slots = examiners.crossJoin(F.broadcast(_water_level(books, examiners))).where(load < F.col("top"))
+        last = F.col("top") - 1
+    else:
+        slots, last = examiners, load + max_rounds - 1
+    # In two steps, so that no row holds more than a block of levels, however few the examiners are.
+    blocks = slots.select("examiner_id", last.alias("last"), F.explode(F.sequence(load, last, F.lit(_BLOCK).cast("bigint"))).alias("first"))
+    levels = F.sequence(F.col("first"), F.least(F.col("last"), F.col("first") + _BLOCK - 1))
+    taken = _ranked(blocks.select("examiner_id", F.explode(levels).alias("level")), "level", "examiner_id")
     return _ranked(books.withColumn("level", F.floor(F.col("book_id") / 65536)), "level", "book_id").select("rank", "book_id").join(taken.select("rank", "examiner_id"), "rank").select("book_id", "examiner_id")
 
 
+def _water_level(books: DataFrame, examiners: DataFrame) -> DataFrame:
+    """One row, ``top``: the least level below which the examiners' slots cover all books.
+
+    Below a level t there are max over loads v of (N * t - S) slots, N and S being the number and the sum of the loads up to v;
+    so t is the least of ceil((books + S) / N).
+    """
+    w = Window.orderBy("load").rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct load
+    loads = examiners.groupBy(F.col("load").cast("bigint").alias("load")).agg(F.count(F.lit(1)).alias("n"))
+    sums = loads.select(F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("load")).over(w).alias("s"))
+    wanted = books.agg(F.count(F.lit(1)).alias("books"))
+    return sums.crossJoin(F.broadcast(wanted)).agg(F.min(F.ceil((F.col("books") + F.col("s")) / F.col("n"))).alias("top"))
+
+
 def _ranked(rows: DataFrame, block: str, order: str) -> DataFrame:
     """A global rank in (``block``, ``order``): ranks inside blocks plus the sizes of the blocks before."""
     sizes = rows.groupBy(block).agg(F.count(F.lit(1)).alias("_n"))

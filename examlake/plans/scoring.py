@@ -83,7 +83,7 @@ SELECT book_id, examiner_id FROM books JOIN slots USING (rank)""")
 def auto_assign_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = domain.evaluations(spark, sf_dir).where("status = 'IN_PROGRESS'").select(F.col("evaluation_id").alias("book_id"))
     people = domain.examiners(spark, sf_dir).select("examiner_id", (F.col("examiner_id") % 7).alias("load"))
-    return planning.assign_least_loaded(books, people, 40)
+    return planning.assign_least_loaded(books, people)
 
 
 _SCENARIOS = "s AS (SELECT c_mktsegment AS exam, count(*) AS scripts, count(DISTINCT c_custkey) AS people, min(o_orderdate)::DATE AS start FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from examlake.functions.expr import clamp, falsy, js_round
 from examlake.operators import planning, rules, scoring
+from examlake.plans import scoring as scoring_plans
 
 
 def js(x, n):
@@ -101,3 +102,21 @@ def test_assignment_equals_the_greedy_loop(spark):
 def test_working_days_skip_week_ends(spark):
     row = spark.sql("select date'2024-03-01' as d").select(planning.working_days(F.col("d"), F.lit(3)).alias("five"), planning.working_days(F.col("d"), F.lit(3), 6).alias("six")).first()
     assert [d.day for d in row.five] == [4, 5, 6] and [d.day for d in row.six] == [2, 4, 5]
+
+
+def test_assignment_leaves_no_book_out(spark, monkeypatch):
+    people, books = [3, 6, 13, 14], list(range(500, 730))
+    monkeypatch.setattr(scoring_plans.domain, "evaluations", lambda *_: spark.createDataFrame([(b, "IN_PROGRESS") for b in books], "evaluation_id long, status string"))
+    monkeypatch.setattr(scoring_plans.domain, "examiners", lambda *_: spark.createDataFrame([(p,) for p in people], "examiner_id long"))
+    want, now = {}, {p: p % 7 for p in people}
+    for b in books:
+        who = min(now, key=lambda e: (now[e], e))
+        want[b], now[who] = who, now[who] + 1
+    assert {r.book_id: r.examiner_id for r in scoring_plans.auto_assign_slots(spark, "").collect()} == want
+
+
+def test_slots_open_only_up_to_the_level_that_covers_the_books(spark):
+    for loads, n, top in (([0, 0, 9], 4, 2), ([0, 0, 9], 21, 10), ([5, 7], 0, 5), ([2], 70000, 70002)):
+        books, people = spark.range(n).select(F.col("id").alias("book_id")), spark.createDataFrame(list(enumerate(loads)), "examiner_id long, load int")
+        assert planning._water_level(books, people).first().top == top
+        assert planning.assign_least_loaded(books, people).count() == n
