@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,21 +46,42 @@ def once_each(events: DataFrame, delay: str = "1 day") -> DataFrame:
 STATE_OF = {"signup": "READY", "view": "ASSIGNED", "click": "IN_PROGRESS", "purchase": "SUBMITTED", "error": "RETURNED"}
 
 
+_STATES = list(BOOK_NEXT)
+_ILLEGAL = np.array([[a != b and b not in BOOK_NEXT[a] for b in _STATES] for a in _STATES])
+_CODE = {event: _STATES.index(status) for event, status in STATE_OF.items()}
+_OTHER = _STATES.index("RETURNED")
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, seen, illegal = state.get if state.exists else (None, 0, 0)
-    for batch in batches:
-        for event in batch.sort_values(["ts", "event_id"])["event_type"]:
-            after = STATE_OF.get(event, "RETURNED")
-            illegal += status is not None and after != status and after not in BOOK_NEXT[status]
-            status, seen = after, seen + 1
-    state.update((status, seen, illegal))
-    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "n_events": [seen], "n_illegal": [illegal]})
+    status, at, event_id, seen, illegal, late = state.get if state.exists else (None, None, None, 0, 0, 0)
+    # A key's rows of a trigger come in several batches of no order between them; three numbers of each row are held.
+    parts = [(b["at"].to_numpy(np.int64), b["event_id"].to_numpy(np.int64), b["event_type"].map(_CODE).fillna(_OTHER).to_numpy(np.int8)) for b in batches]
+    ats, ids, codes = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((ids, ats))
+    seen += len(order)
+    if status is not None:
+        fresh = (ats[order] > at) | ((ats[order] == at) & (ids[order] > event_id))
+        late += int((~fresh).sum())
+        order = order[fresh]
+    if len(order):
+        steps = codes[order] if status is None else np.concatenate(([_STATES.index(status)], codes[order]))
+        illegal += int(_ILLEGAL[steps[:-1], steps[1:]].sum())
+        status, at, event_id = _STATES[steps[-1]], int(ats[order[-1]]), int(ids[order[-1]])
+    state.update((status, at, event_id, seen, illegal, late))
+    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "n_events": [seen], "n_illegal": [illegal], "n_late": [late]})
 
 
 def status_machine(events: DataFrame) -> DataFrame:
-    """Status of each book, events so far and illegal steps, kept as state by key; events in time order inside a batch."""
-    out, held = "user_id long, status string, n_events long, n_illegal long", "status string, n_events long, n_illegal long"
-    return events.groupBy("user_id").applyInPandasWithState(_step, out, held, "update", GroupStateTimeout.NoTimeout)
+    """Status of each book after its latest event by (ts, event_id), events so far and illegal steps, kept as state by key.
+
+    Steps are judged in time order over all rows of a trigger. An event that comes in a later trigger than a later one
+    is counted in ``n_events`` and ``n_late``; it neither changes the status nor is its step judged.
+    """
+    counts = "n_events long, n_illegal long, n_late long"
+    out, held = f"user_id long, status string, {counts}", f"status string, at long, event_id long, {counts}"
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(2**63)))  # an event of no time comes before all others
+    rows = events.select("user_id", at.alias("at"), F.coalesce("event_id", F.lit(-(2**63))).alias("event_id"), "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(_step, out, held, "update", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
