@@ -76,7 +76,7 @@ def profile_terms(text: Column) -> Column:
     """Distinct unigrams (three letters and more, no number, no stop word) and bigrams of such words, in order."""
     words = tokens(text)
     good = lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(STOP_WORDS)
-    pairs = F.zip_with(words, F.slice(words, 2, 100_000), lambda a, b: F.when(good(a) & good(b), F.concat_ws(" ", a, b)))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(good(a) & good(b), F.concat_ws(" ", a, b)))
     return F.array_distinct(F.concat(F.filter(words, good), F.array_compact(pairs)))
 
 

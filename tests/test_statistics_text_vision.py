@@ -70,6 +70,12 @@ def test_headers_pages_and_terms(spark):
     assert safe == "api_key=[REDACTED] mail [EMAIL]"
 
 
+def test_bigrams_reach_the_end_of_long_texts(spark):
+    text = F.concat(F.repeat(F.lit("the "), 100_001), F.lit("krebs cycle"))
+    rows = spark.range(1).select(F.explode(F.array(text, F.lit("krebs"), F.lit(""), F.lit(None))).alias("t"))
+    assert [r.p for r in rows.select(tx.profile_terms(F.col("t")).alias("p")).collect()] == [["krebs", "cycle", "krebs cycle"], ["krebs"], [], None]
+
+
 def grid(f):
     return [float(f(y, x)) for y in range(8) for x in range(8)]
 
