@@ -50,12 +50,21 @@ def _ranked(rows: DataFrame, block: str, order: str) -> DataFrame:
     return rows.join(before, block).withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy(block).orderBy(order)))
 
 
-def timeline(spark: SparkSession, days: int, scripts: Column, daily_marking: Column, percent: Column, daily_moderation: Column, scenarios: DataFrame) -> DataFrame:
+def total_working_days(scripts: Column, daily_marking: Column, percent: Column, daily_moderation: Column) -> Column:
+    """Days of marking, of moderation's lag where it has under 0.95 of what a day of marking sends, and one for the final audit. Capacities count as 1 at least."""
+    marking, moderation = F.greatest(F.lit(1), daily_marking), F.greatest(F.lit(1), daily_moderation)
+    days = F.ceil(scripts / marking)
+    lag = F.ceil(F.ceil(scripts * percent / 100.0) / moderation) - days
+    short = moderation / F.greatest(F.lit(1), F.ceil(marking * percent / 100.0)) < 0.95
+    return (days + F.when(short & (lag > 0), lag).otherwise(0) + 1).cast("int")
+
+
+def timeline(spark: SparkSession, days: int | Column, scripts: Column, daily_marking: Column, percent: Column, daily_moderation: Column, scenarios: DataFrame) -> DataFrame:
     """For each scenario and day: scripts marked, moderated and waiting for moderation, in closed form.
 
     Moderation takes ``percent`` of what is marked and starts on the second day.
     """
-    each = scenarios.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days))))
+    each = scenarios.withColumn("day", F.explode(F.sequence(F.lit(0), days if isinstance(days, Column) else F.lit(days))))
     marked = F.least(scripts, F.col("day") * daily_marking)
     sent = F.ceil(marked * percent / 100.0)
     moderated = F.when(F.col("day") < 2, F.lit(0)).otherwise(F.least(sent, (F.col("day") - 1) * daily_moderation))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import planning, scoring, vision
@@ -94,11 +94,16 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("exam").agg(F.count(F.lit(1)).alias("scripts"), F.count_distinct("examiner_id").alias("people"), F.min("started_at").cast("date").alias("start"))
 
 
+def _days(least: int) -> Column:
+    """All working days of an exam, and as many as the SQL has at least."""
+    return F.greatest(F.lit(least), planning.total_working_days(F.col("scripts"), F.col("people"), F.lit(30), F.floor(F.col("people") / 4)))
+
+
 @query(f"""WITH {_SCENARIOS}, d AS (SELECT exam, scripts, people, unnest(range(0, 31)) AS day FROM s), m AS (SELECT *, least(scripts, day * people) AS marked, ceil(least(scripts, day * people) * 30 / 100.0::DOUBLE) AS sent FROM d)
 SELECT exam, day::INT AS day, marked, moderated::BIGINT AS moderated, greatest(0, sent - moderated)::BIGINT AS backlog FROM (SELECT *, CASE WHEN day < 2 THEN 0 ELSE least(sent, (day - 1) * (people // 4)) END AS moderated FROM m)""")
 def timeline_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     moderation = F.floor(F.col("people") / 4)
-    return planning.timeline(spark, 30, F.col("scripts"), F.col("people"), F.lit(30), moderation, scenarios(spark, sf_dir)).select("exam", "day", "marked", "moderated", "backlog")
+    return planning.timeline(spark, _days(30), F.col("scripts"), F.col("people"), F.lit(30), moderation, scenarios(spark, sf_dir)).select("exam", "day", "marked", "moderated", "backlog")
 
 
 @query(f"""WITH {_SCENARIOS}, c AS (SELECT *, (people // 4) / (people * 0.3::DOUBLE) AS ratio, ceil(scripts / people) AS days, scripts / people AS pace FROM s)
@@ -111,7 +116,7 @@ def timeline_bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SCENARIOS}, d AS (SELECT exam, start + unnest(range(1, 51))::INT AS working_date FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY exam ORDER BY working_date) AS number FROM d WHERE isodow(working_date) <= 5)
 SELECT exam, number::INT AS number, working_date::DATE AS working_date FROM n WHERE number <= 20""")
 def timeline_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scenarios(spark, sf_dir).select("exam", F.posexplode(planning.working_days(F.col("start"), F.lit(20))).alias("at", "working_date"))
+    rows = scenarios(spark, sf_dir).select("exam", F.posexplode(planning.working_days(F.col("start"), _days(20))).alias("at", "working_date"))
     return rows.select("exam", (F.col("at") + 1).alias("number"), "working_date")
 
 

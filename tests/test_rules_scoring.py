@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import pytest
@@ -99,6 +100,22 @@ def test_assignment_equals_the_greedy_loop(spark):
     assert {r.book_id: r.examiner_id for r in got.collect()} == want
 
 
+def test_timelines_run_to_the_end_of_marking_and_moderation(spark, monkeypatch):
+    exams = {"LONG": (400, 10), "SHORT": (30, 10), "SLOW": (7, 1), "EVEN": (4000, 40)}
+    rows = spark.createDataFrame([(k, n, p, datetime.date(2024, 3, 1)) for k, (n, p) in exams.items()], "exam string, scripts long, people long, start date")
+    monkeypatch.setattr(scoring_plans, "scenarios", lambda *_: rows)
+    curve, dates = scoring_plans.timeline_curve(spark, "").collect(), scoring_plans.timeline_calendar(spark, "").collect()
+    for exam, (n, p) in exams.items():
+        moderators, marking, sampled = max(1, p // 4), math.ceil(n / p), math.ceil(n * 30 / 100)
+        lag = math.ceil(sampled / moderators) - marking if moderators / max(1, math.ceil(p * 30 / 100)) < 0.95 else 0
+        total = marking + max(0, lag) + 1
+        mine = {r.day: r for r in curve if r.exam == exam}
+        assert sorted(mine) == list(range(max(30, total) + 1)) and mine[total].marked == n
+        assert exam == "SLOW" or (mine[total].moderated, mine[total].backlog) == (sampled, 0)
+        days = sorted((r.number, r.working_date) for r in dates if r.exam == exam)
+        assert [k for k, _ in days] == list(range(1, max(20, total) + 1)) and all(d.weekday() < 5 for _, d in days)
+
+
 def test_working_days_skip_week_ends(spark):
     row = spark.sql("select date'2024-03-01' as d").select(planning.working_days(F.col("d"), F.lit(3)).alias("five"), planning.working_days(F.col("d"), F.lit(3), 6).alias("six")).first()
     assert [d.day for d in row.five] == [4, 5, 6] and [d.day for d in row.six] == [2, 4, 5]
