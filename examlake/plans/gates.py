@@ -145,9 +145,20 @@ SELECT CASE WHEN low - raw < -0.01::DOUBLE THEN 'IMPROVED' WHEN low - raw > 0.01
 def representation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .statistics import turn_pairs
 
+    return _representations(turn_pairs(spark, sf_dir, folded=True))
+
+
+@query()
+def representation_comparison_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .statistics import turn_pairs
+
+    return _representations(turn_pairs(spark, sf_dir))
+
+
+def _representations(pairs: DataFrame) -> DataFrame:
     a, b = F.coalesce("ref", F.lit("")), F.col("text")
     n = F.greatest(F.lit(1), F.char_length(a))
-    p = turn_pairs(spark, sf_dir).select((F.levenshtein(a, b) / n).alias("raw"), (F.levenshtein(F.lower(a), F.lower(b)) / n).alias("low"))
+    p = pairs.select((F.levenshtein(a, b) / n).alias("raw"), (F.levenshtein(F.lower(a), F.lower(b)) / n).alias("low"))
     gap = F.col("low") - F.col("raw")
     effect = F.when(gap < -0.01, "IMPROVED").when(gap > 0.01, "DEGRADED").otherwise("SAME")
     return p.groupBy(effect.alias("effect")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("raw"), 6).alias("mean_raw"), F.round(F.percentile("low", 0.5), 6).alias("median_low"))

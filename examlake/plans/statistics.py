@@ -134,27 +134,46 @@ def line_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_peaks(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_peaks"), F.percentile("pitch", 0.5).alias("line_pitch"))
 
 
-# DuckDB's levenshtein counts bytes; letters beyond ASCII are folded to one sign before either engine compares.
+# DuckDB's levenshtein counts bytes; letters beyond ASCII are folded to one sign before either engine compares. Queries named ``_unicode`` compare whole texts.
 _TURNS = """WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text, lag(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
 n AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(ref, ''), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS b FROM t WHERE role = 'assistant')
 """
 
 
-def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turn_pairs(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFrame:
+    """Each assistant's turn and the turn before; ``folded``: as the SQL has them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    folded = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    return domain.table(spark, sf_dir, "conversations").withColumn("text", folded).withColumn("ref", F.lag("text").over(w)).where("role = 'assistant'").select("conv_id", "turn", "ref", "text")
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "?") if folded else F.col("text")
+    return domain.table(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ref", F.lag("text").over(w)).where("role = 'assistant'").select("conv_id", "turn", "ref", "text")
 
 
 @query(_TURNS + "SELECT conv_id, turn, round(levenshtein(a, b) / greatest(1, length(a)), 6) AS cer, round(greatest(0::DOUBLE, 1 - levenshtein(a, b) / greatest(1, length(a))), 6) AS accuracy, (levenshtein(a, b) / greatest(1, length(a)) >= 0.85 OR b = '') AS failed FROM n")
 def ocr_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", tx.char_error_rate(F.col("ref"), F.col("text")).alias("c"), (tx.normalised(F.col("text")) == "").alias("e"))
+    return _cer(turn_pairs(spark, sf_dir, folded=True))
+
+
+@query()
+def ocr_cer_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cer(turn_pairs(spark, sf_dir))
+
+
+def _cer(pairs: DataFrame) -> DataFrame:
+    rows = pairs.select("conv_id", "turn", tx.char_error_rate(F.col("ref"), F.col("text")).alias("c"), (tx.normalised(F.col("text")) == "").alias("e"))
     return rows.select("conv_id", "turn", F.round("c", 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.col("c")), 6).alias("accuracy"), ((F.col("c") >= 0.85) | F.col("e")).alias("failed"))
 
 
 @query(_TURNS + "SELECT conv_id, turn, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0 ELSE 1 END ELSE least(1::DOUBLE, levenshtein(a, b) / length(a)) END::DOUBLE, 6) AS cer FROM n")
 def ocr_capped_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(tx.capped_char_error_rate(F.col("ref"), F.col("text")), 6).alias("cer"))
+    return _capped_cer(turn_pairs(spark, sf_dir, folded=True))
+
+
+@query()
+def ocr_capped_cer_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capped_cer(turn_pairs(spark, sf_dir))
+
+
+def _capped_cer(pairs: DataFrame) -> DataFrame:
+    return pairs.select("conv_id", "turn", F.round(tx.capped_char_error_rate(F.col("ref"), F.col("text")), 6).alias("cer"))
 
 
 @query()

@@ -7,6 +7,8 @@ from examlake.functions.expr import pearson
 from examlake.operators import statistics as st
 from examlake.operators import text as tx
 from examlake.operators import vision
+from examlake.plans import gates
+from examlake.plans import statistics as plans
 
 
 def test_gini_and_spread(spark):
@@ -58,6 +60,29 @@ def test_edit_distance_of_lists():
         assert tx._edits(a, b) == plain(a, b)
 
 
+def test_error_rates_of_whole_unicode_texts(spark, monkeypatch):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i, *row[1:]], row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    pairs = [("schön größer", "schän grüßer"), ("ö", "ä"), ("über äcker", "Über Äcker"), ("日本語 ok", "日木語 ok"), ("a😀b", "a😁b"), ("", "é"), ("plain text", "plain test")]
+    turns = [(k, t, "user" if t == 0 else "assistant", x) for k, p in enumerate(pairs) for t, x in enumerate(p)]
+    monkeypatch.setattr(plans.domain, "table", lambda *_: spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    whole = {k: edits(a, b) / max(1, len(a)) for k, (a, b) in enumerate(pairs)}
+    near = lambda rows, want: all(abs(v - want[k]) < 1e-6 for k, v in rows.items()) and rows.keys() == want.keys()
+    cer = plans.ocr_cer_unicode(spark, "").collect()
+    assert near({r.conv_id: r.cer for r in cer}, whole) and {r.conv_id: r.failed for r in cer} == {k: v >= 0.85 for k, v in whole.items()}
+    assert near({r.conv_id: r.cer for r in plans.ocr_capped_cer_unicode(spark, "").collect()}, {k: min(1.0, v) for k, v in whole.items()})
+    assert near({r.conv_id: r.wer for r in plans.ocr_wer(spark, "").collect()}, {k: edits(a.split(), b.split()) / max(1, len(a.split())) for k, (a, b) in enumerate(pairs)})
+    low = {k: edits(a.lower(), b.lower()) / max(1, len(a)) for k, (a, b) in enumerate(pairs)}
+    effects = ["IMPROVED" if low[k] - v < -0.01 else "DEGRADED" if low[k] - v > 0.01 else "SAME" for k, v in whole.items()]
+    assert {r.effect: r.n for r in gates.representation_comparison_unicode(spark, "").collect()} == {e: effects.count(e) for e in effects}
+
+
 def test_headers_pages_and_terms(spark):
     texts = ["q3 x", "Q.3", "Ans 3", "3) a", "äq3", "q33", "xq3", "none"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.explicit_header(F.col("t")).alias("h")).collect()
