@@ -103,18 +103,53 @@ def page_numbers(spec: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(spans)))
 
 
-def map_pages(pages: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
-    """Best question of each page by shared profile terms, through an equi-join on terms.
+_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]*"
+# Every number that a header gives: "question 3", "ans #3"; "3) a"; "q.3". Borders are of ASCII words.
+_HEADERS = (
+    rf"(?:question|q|ans|answer){_SPACE}#?{_SPACE}([0-9]+)(?![A-Za-z0-9_])",
+    rf"(?<![A-Za-z0-9_])([0-9]+){_SPACE}[.)-]{_SPACE}(?=[a-z])",
+    rf"(?<![A-Za-z0-9_])q\.?{_SPACE}([0-9]+)(?![A-Za-z0-9_])",
+)
 
-    ``pages``: ``page_id``, ``text``; ``profiles``: ``question_id``, ``text``. Pages that share no term
-    with any profile, or score below ``least``, give no row. Ties go to the smaller question.
-    """
+
+def header_numbers(text: Column) -> Column:
+    """All distinct numbers in question headers anywhere in the text, as written."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(p), 1) for p in _HEADERS]))
+
+
+def _passing(pages: DataFrame, profiles: DataFrame, least: float) -> DataFrame:
+    """``page_id``, ``question_id``, ``hits``, ``score`` of each pair that shares enough profile terms, through an equi-join on terms."""
     terms = profiles.select("question_id", F.explode(profile_terms(F.col("text"))).alias("term"))
     sizes = profiles.select("question_id", F.size(profile_terms(F.col("text"))).alias("n_terms"))
     found = pages.select("page_id", F.explode(profile_terms(F.col("text"))).alias("term"))
     hits = found.join(terms, "term").groupBy("page_id", "question_id").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "question_id")
     boost = F.when(F.col("hits") >= 4, 0.35).when(F.col("hits") >= 3, 0.25).when(F.col("hits") >= 2, 0.15).otherwise(0.0)
-    scored = hits.withColumn("score", F.least(F.lit(0.98), 0.55 * F.col("hits") / F.col("n_terms") + boost)).where((F.col("score") >= least) | ((F.col("hits") >= 3) & (F.col("score") >= 0.4)))
+    scored = hits.withColumn("score", F.least(F.lit(0.98), 0.55 * F.col("hits") / F.col("n_terms") + boost))
+    return scored.where((F.col("score") >= least) | ((F.col("hits") >= 3) & (F.col("score") >= 0.4)))
+
+
+def _confidence(score: Column) -> Column:
+    return F.least(F.lit(0.96), F.greatest(F.lit(0.7), score + 0.15))
+
+
+def map_pages(pages: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
+    """Best question of each page by shared profile terms.
+
+    ``pages``: ``page_id``, ``text``; ``profiles``: ``question_id``, ``text``. Pages that share no term
+    with any profile, or score below ``least``, give no row. Ties go to the smaller question.
+    """
     best = F.max(F.struct(F.col("score"), (-F.col("question_id")).alias("q"), F.col("hits")))
-    confidence = F.least(F.lit(0.96), F.greatest(F.lit(0.7), F.col("b.score") + 0.15))
-    return scored.groupBy("page_id").agg(best.alias("b")).select("page_id", (-F.col("b.q")).alias("question_id"), F.col("b.hits").alias("hits"), F.col("b.score").alias("score"), confidence.alias("confidence"))
+    by_page = _passing(pages, profiles, least).groupBy("page_id").agg(best.alias("b"))
+    return by_page.select("page_id", (-F.col("b.q")).alias("question_id"), F.col("b.hits").alias("hits"), F.col("b.score").alias("score"), _confidence(F.col("b.score")).alias("confidence"))
+
+
+def map_page_questions(pages: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
+    """Every question of each page: those that a header on it names, and those that share enough profile terms.
+
+    Takes what :func:`map_pages` takes. ``hits`` and ``score`` are null where the header alone tells.
+    """
+    named = pages.select("page_id", F.explode(header_numbers(F.col("text"))).alias("number"))
+    headers = named.join(profiles.select("question_id", F.col("question_id").cast("string").alias("number")), "number").select("page_id", "question_id", F.lit(True).alias("header"))
+    pairs = headers.join(_passing(pages, profiles, least), ["page_id", "question_id"], "full_outer")
+    source = F.when(F.col("header"), "AUTO_EXPLICIT").otherwise("AUTO_SEMANTIC")
+    return pairs.select("page_id", "question_id", "hits", "score", source.alias("source"), F.when(F.col("header"), 0.85).otherwise(_confidence(F.col("score"))).alias("confidence"))

@@ -212,6 +212,13 @@ def automap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tx.map_pages(pages, profiles), "score", "confidence")
 
 
+@query()
+def automap_page_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    profiles = domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    return rounded(tx.map_page_questions(pages, profiles), "score", "confidence")
+
+
 @query(_MAPPED + "SELECT question_id, count(*) AS n_pages, count(*) FILTER (confidence >= 0.85) AS confident, count(*) FILTER (confidence < 0.85) AS needs_review, min(page_id) AS first_page FROM m GROUP BY 1")
 def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.col("confidence") >= 0.85

@@ -101,6 +101,22 @@ def test_bigrams_reach_the_end_of_long_texts(spark):
     assert [r.p for r in rows.select(tx.profile_terms(F.col("t")).alias("p")).collect()] == [["krebs", "cycle", "krebs cycle"], ["krebs"], [], None]
 
 
+def test_pages_have_all_their_questions(spark, monkeypatch):
+    items = [(1, "Krebs cycle mitochondria respiration"), (2, "Newton motion force acceleration"), (3, "Gothic cathedral arches"), (30, "Tulip trade")]
+    docs = [
+        (10, "krebs cycle mitochondria respiration, then newton motion force acceleration"), (11, "Ans #3\nnothing else"), (12, "see 3) newton motion force acceleration"), (13, "q 33 or xq3z or 3.5 or q03"),
+        (14, "Q.30 and question\u00a01"), (15, None),
+    ]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string"), "benchmark": spark.createDataFrame(items, "item_id long, text string")}
+    monkeypatch.setattr(plans.domain, "table", lambda _s, _d, name: tables[name])
+    got = {(r.page_id, r.question_id): (r.source, r.confidence) for r in plans.automap_page_questions(spark, "").collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        (10, 1): "AUTO_SEMANTIC", (10, 2): "AUTO_SEMANTIC", (11, 3): "AUTO_EXPLICIT", (12, 3): "AUTO_EXPLICIT", (12, 2): "AUTO_SEMANTIC", (14, 30): "AUTO_EXPLICIT", (14, 1): "AUTO_EXPLICIT",
+    }
+    assert got[11, 3][1] == 0.85 and got[10, 1][1] == 0.96
+    assert len(plans.automap_pages(spark, "").collect()) == 2  # its SQL keeps the best question of a page
+
+
 def grid(f):
     return [float(f(y, x)) for y in range(8) for x in range(8)]
 
