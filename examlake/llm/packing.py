@@ -73,15 +73,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan
     of those names are replaced. A node of the tree hands on its ``hand_on`` emptiest bins, so no
     task gets more than ``fan_in * hand_on``; other bins are emitted as they stand. Partitions of
     fewer than ``per_part`` rows are put together first: among many lengths, few bins stay underfull.
+    Rows are dealt to more than one partition evenly, whatever their order and size.
     Every row is placed: equal and repeated rows are items of their own; an empty table gives an empty result.
     ``pieces`` should be narrow and cheap to read again (checkpointed).
     """
-    rows = pieces.drop("sequence_id", "offset", "_bin", "_shift", "_fill")
+    rows = pieces.drop("sequence_id", "offset", "_bin", "_shift", "_fill", "_deal")
     n_parts = rows.rdd.getNumPartitions()
     if per_part:
         n_parts = min(n_parts, -(-rows.count() // per_part))
         rows = rows.coalesce(max(1, n_parts))
     columns = rows.columns
+    if n_parts > 1:  # dealt by a hash of the row's place, so that each partition sees all lengths, however the table is clustered
+        rows = rows.withColumn("_deal", F.monotonically_increasing_id()).repartition(n_parts, "_deal").drop("_deal")
     number = rows.withColumn("_part", F.spark_partition_id())
 
     def locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,6 +79,14 @@ def test_packing_places_every_piece(spark, library):
     assert check_packed(tree, 128) <= whole * 1.1
 
 
+def test_packing_of_clustered_lengths(spark):
+    i = F.col("id")
+    rows = spark.range(6000, numPartitions=6).select("id", F.when(i < 3000, 1100 + i % 200).otherwise(700 + i % 200).alias("length"))
+    got = packing.pack(rows, per_part=0).collect()
+    assert sorted(r.id for r in got) == list(range(6000))
+    assert check_packed(got, 2048) <= 1.02 * len(packing.best_fit([r.length for r in rows.collect()], 2048))
+
+
 def test_packing_of_nothing_and_best_fit(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), PATH).count() == 0
     assert sorted(map(sorted, packing.best_fit([6, 4, 5, 5, 10], 10))) == [[0, 1], [2, 3], [4]]
