@@ -92,15 +92,48 @@ def format_turns(turns: DataFrame, block: int = 64) -> DataFrame:
     return whole.select("conv_id", F.array_join("bs.formatted", "").alias("formatted"), spans.alias("loss_spans"), F.flatten("bs.attachments").alias("attachments"), F.aggregate("bs.n_expanded", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_expanded"))
 
 
+#: Pieces of a body: a placeholder, or a run of escaped text (which holds no ``<``).
+_PIECES = r"<\|(?:image|audio|document)\|>|[^<]+"
+
+
+def read_parts(body: Column) -> Column:
+    """The typed parts that a body was made from, in order: (``type``, ``text``); neighbouring texts are one part, empty ones none."""
+    return F.transform(
+        F.regexp_extract_all(body, F.lit(_PIECES), F.lit(0)),
+        lambda p: F.when(p.startswith("<|"), F.struct(F.substring(p, F.lit(3), F.char_length(p) - 4).alias("type"), F.lit("").alias("text"))).otherwise(F.struct(F.lit("text").alias("type"), unescaped(p).alias("text"))),
+    )
+
+
+def _part_text(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: p.text), "")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """From ``formatted`` and ``loss_spans`` alone: ``turns`` (role, text) and ``loss_texts``."""
+    """From ``formatted`` and ``loss_spans`` alone: ``turns`` (role, text, parts) and ``loss_texts``.
+
+    ``parts`` has the type of each part, so a placeholder differs from a text that looks like one; its
+    reference and tokens are the entry of ``attachments`` of the same order. ``text`` joins the texts
+    and leaves attachments out, as ``loss_texts`` do.
+    """
     raw = F.filter(F.split("formatted", "<\\|turn\\|>"), lambda s: s != "")
     turns = F.transform(
         raw,
         lambda s: F.struct(
             _unrole(F.substring_index(s, HEAD_END, 1)).alias("role"),
-            unescaped(F.substring(s, F.instr(s, F.lit(HEAD_END)) + 1, F.char_length(s) - F.instr(s, F.lit(HEAD_END)) - len(CLOSE))).alias("text"),
+            read_parts(F.substring(s, F.instr(s, F.lit(HEAD_END)) + 1, F.char_length(s) - F.instr(s, F.lit(HEAD_END)) - len(CLOSE))).alias("parts"),
         ),
     )
-    loss = F.transform("loss_spans", lambda x: unescaped(F.substring(F.col("formatted"), (x.start + 1).cast("int"), x.length.cast("int"))))
+    turns = F.transform(turns, lambda t: F.struct(t.role.alias("role"), _part_text(t.parts).alias("text"), t.parts.alias("parts")))
+    loss = F.transform("loss_spans", lambda x: _part_text(read_parts(F.substring(F.col("formatted"), (x.start + 1).cast("int"), x.length.cast("int")))))
     return formatted.withColumns({"turns": turns, "loss_texts": loss})
+
+
+def referenced_parts(text: Column) -> Column:
+    """A text as parts: its whole text, then one part for each reference in it, ``![image](place)``, ``![audio](place)`` or ``![document](place)``, in order."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"!\[(?:image|audio|document)\]\([^()\s]+\)"), F.lit(0))
+    none = F.lit(None).cast("string"), F.lit(None).cast("int")
+    refs = F.transform(
+        found,
+        lambda m: F.struct(F.regexp_extract(m, r"\[([a-z]+)\]", 1).alias("type"), none[0].alias("text"), F.regexp_extract(m, r"\(([^()\s]+)\)", 1).alias("ref"), none[1].alias("n_tokens")),
+    )
+    return F.concat(text_part(text), refs)

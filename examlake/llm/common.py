@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,12 +12,26 @@ from pyspark.sql import functions as F
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` decides; only where it is unset (tests, a laptop) a
-    temporary folder is taken.
+    ``spark.checkpoint.dir`` decides. Only where it is unset and everything runs in one process (tests,
+    a laptop) a temporary folder is taken; on a cluster an unset folder is an error, as executors would
+    write to disks of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="examlake-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="examlake-ckpt-")
+        sc.setCheckpointDir(folder)
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """``stem``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

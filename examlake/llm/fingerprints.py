@@ -40,28 +40,35 @@ def _cell(digest: Column, sub: int, size: Column, seed: Column) -> Column:
     return (F.pmod(F.xxhash64(digest, seed + sub), size) * 3 + sub).cast("int")
 
 
-def _cells(rows: DataFrame, keys: list[str], signed: Column) -> DataFrame:
-    """Sketch cells from ``signed``, an array of (sign, digest); rows have ``size`` and ``seed``."""
-    each = rows.select(*keys, "size", "seed", F.explode(signed).alias("e")).select(*keys, "size", "seed", F.col("e.sign").alias("sign"), F.col("e.digest").alias("digest"))
-    placed = each.select(*keys, "size", "seed", "sign", _packed(F.col("digest")).alias("x"), F.explode(F.array(*[_cell(F.col("digest"), j, F.col("size"), F.col("seed")) for j in range(3)])).alias("cell"))
-    return placed.groupBy(*keys, "size", "seed", "cell").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"))
+def sketches(rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """Sketch cells of the digests in each of ``columns``: ``keys``, ``which`` (the column), ``size``, ``seed``, ``cell``, ``n``, ``x``.
+
+    ``rows`` has ``keys`` (unique), ``size`` (cells of a sub-table) and ``seed``; it should be dealt by a prefix of ``keys``.
+    """
+    named = F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("digests")) for c in columns])
+    each = rows.select(*keys, "size", "seed", F.explode(named).alias("t")).select(*keys, "size", "seed", "t.which", F.explode("t.digests").alias("digest"))
+    placed = each.select(*keys, "which", "size", "seed", _packed(F.col("digest")).alias("x"), F.explode(F.array(*[_cell(F.col("digest"), j, F.col("size"), F.col("seed")) for j in range(3)])).alias("cell"))
+    return placed.groupBy(*keys, "which", "size", "seed", "cell").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bit_xor("x").alias("x"))
 
 
-def _signed(plus: Column, minus: Column | None = None) -> Column:
-    up = F.transform(plus, lambda d: F.struct(F.lit(1).alias("sign"), d.alias("digest")))
-    return up if minus is None else F.concat(up, F.transform(minus, lambda d: F.struct(F.lit(-1).alias("sign"), d.alias("digest"))))
+def subtracted(cells: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]], name: str = "kind") -> DataFrame:
+    """For each ``name`` of ``pairs``, the sketch of its first text minus that of its second, cell by cell; what cancels is gone."""
+    which = F.col("which")
+    side = lambda kind, sign: F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"))
+    sides = F.array_compact(F.array(*[F.when(which == plus, side(kind, 1)).when(which == minus, side(kind, -1)) for kind, (plus, minus) in pairs.items()]))
+    each = cells.select(*keys, "size", "seed", "cell", "n", "x", F.explode(sides).alias("s"))
+    return each.groupBy(*keys, F.col("s.kind").alias(name), "size", "seed", "cell").agg(F.sum(F.col("n") * F.col("s.sign")).cast("int").alias("n"), F.bit_xor("x").alias("x")).where("n <> 0 or x <> 0")
 
 
-def peel(pairs: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests: bool = False) -> DataFrame:
-    """Subtracts and peels the sketches of ``plus`` and ``minus`` (arrays of digests) of each row.
+def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests: bool = False) -> DataFrame:
+    """Peels subtracted sketches: ``keys``, ``size``, ``seed``, ``cell``, ``n``, ``x``.
 
-    ``pairs`` has ``keys`` (unique), ``size`` (cells of a sub-table), ``seed``, ``plus``, ``minus``.
     Returns ``keys``, ``n_left`` (cells that remain: 0 means success) and ``n_found`` (digests
     recovered); pairs of equal sketches give no row. With ``keep_digests`` also ``only_plus`` and
-    ``only_minus``, the recovered digests. Rows should be dealt by a prefix of ``keys``.
+    ``only_minus``, the recovered digests.
     """
     found = (lambda x: F.struct(F.lit(-1).alias("cell"), F.col("n").alias("n"), F.lit(0).cast("long").alias("x"), x.alias("got"))) if keep_digests else (lambda x: F.struct(F.lit(-1).alias("cell"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).alias("got")))
-    cells = _cells(pairs, keys, _signed(F.col("plus"), F.col("minus"))).where("n <> 0 or x <> 0").withColumn("got", F.lit(0))
+    cells = cells.withColumn("got", F.lit(0))
     for r in range(rounds):
         j = r % 3
         digest = _digest(F.col("x"))
@@ -77,6 +84,12 @@ def peel(pairs: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests:
     return cells.groupBy(*keys).agg(*out)
 
 
+def _peeled(pairs: DataFrame, keys: list[str], attempt: int, **options) -> DataFrame:
+    """Sketches ``plus`` and ``minus`` of each row at the size of ``attempt``, subtracts and peels."""
+    sized = pairs.withColumns(_attempt(attempt, F.size("plus") + F.size("minus")))
+    return peel(subtracted(sketches(sized, keys, ("plus", "minus")), keys, {"": ("plus", "minus")}, "pair").drop("pair"), keys, **options)
+
+
 def differing_digests(pairs: DataFrame, keys: list[str], tries: int = 4) -> DataFrame:
     """The digests that ``plus`` and ``minus`` of each row do not share, by sketches.
 
@@ -87,8 +100,8 @@ def differing_digests(pairs: DataFrame, keys: list[str], tries: int = 4) -> Data
     n = n_partitions(pairs.sparkSession)
     left, done = pairs.select(*keys, "plus", "minus"), None
     for attempt in range(tries):
-        sized = left.withColumns(_attempt(attempt, F.size("plus") + F.size("minus"))).repartition(n, *keys)
-        got = checkpointed(left.join(peel(sized, keys, ROUNDS, True), keys, "left").withColumn("attempt", F.lit(attempt)))
+        peeled = _peeled(left.repartition(n, *keys), keys, attempt, keep_digests=True)
+        got = checkpointed(left.join(peeled, keys, "left").withColumn("attempt", F.lit(attempt)))
         ok = got.where(F.coalesce("n_left", F.lit(0)) == 0).select(*keys, *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("only_plus", "only_minus")], "attempt")
         done = ok if done is None else done.unionByName(ok)
         left = got.where("n_left > 0").select(*keys, "plus", "minus")
@@ -129,7 +142,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all) of the next document's, in ascending id (after the last: the first). Returns ``id_col``,
     ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``,
     ``near_next``: the share of paragraphs in common (of all paragraphs of both), from the number
-    of digests that peeling recovers. Two texts without paragraphs are alike (1).
+    of digests that peeling the difference of the two fingerprints recovers; where they differ by more
+    than a fingerprint can tell, larger sketches of the two texts are subtracted. Two texts without paragraphs are alike (1).
 
     A null text is empty. A null id comes first in the order. Of rows that repeat an id, one of
     least text hash is what the document before sees as next; each gets its own result. A lone
@@ -159,29 +173,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     dealt_rows = rows.repartition(n_parts, "u")
 
-    sketches = F.array(*[F.struct(F.lit(name).alias("which"), F.col(name).alias("plus")) for name in ("own", "edited")])
-    texts = dealt_rows.select("u", F.explode(sketches).alias("t")).select("u", "t.which", "t.plus").withColumns(_attempt(0, F.lit(0)))
-    cells = _cells(texts, ["u", "which"], _signed(F.col("plus")))
+    # The published fingerprints: sketches of one size and seed, so that any two can be subtracted.
+    cells = sketches(dealt_rows.withColumns(_attempt(0, F.lit(0))), ["u"], ("own", "edited", "next"))
     item = F.struct("cell", "n", "x")
     strings = cells.groupBy("u").agg(*[F.collect_list(F.when(F.col("which") == w, item)).alias(f"_{w}") for w in ("own", "edited")])
 
     kinds = {"near_edited": "edited", "near_next": "next"}
-    pairs = lambda rows, attempts: rows.select(
-        "u",
-        F.explode(F.array(*[
-            F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("attempt"), *[v.alias(c) for c, v in _attempt(k, F.size("own") + F.size(other)).items()], F.col("own").alias("plus"), F.col(other).alias("minus"))
-            for kind, other in kinds.items() for k in attempts
-        ])).alias("p"),
-    ).select("u", "p.*")
-    tried = checkpointed(peel(pairs(dealt_rows, (0, 1)), ["u", "kind", "attempt"]))
-    # The smallest sketch that could be peeled decides; the rest is tried again, twice and four times as large.
-    for k in (2, 3):
-        best = tried.groupBy("u", "kind").agg(F.min("n_left").alias("n_left"))
-        failed = best.where("n_left > 0").select("u", "kind")
+    tried = checkpointed(peel(subtracted(cells, ["u"], {kind: ("own", other) for kind, other in kinds.items()}), ["u", "kind"]).withColumn("attempt", F.lit(0)))
+    # Where cells remain, larger sketches are subtracted: one sized for the pair, then twice and four times as large.
+    failed = tried.where("n_left > 0").select("u", "kind")
+    for attempt in (1, 2, 3):
         if failed.isEmpty():
             break
-        again = rows.join(failed.select("u").distinct(), "u").repartition(n_parts, "u")
-        tried = checkpointed(tried.unionByName(peel(pairs(again, (k,)), ["u", "kind", "attempt"])))
+        other = F.coalesce(*[F.when(F.col("kind") == kind, F.col(c)) for kind, c in kinds.items()])
+        again = rows.join(failed, "u").select("u", "kind", F.col("own").alias("plus"), other.alias("minus")).repartition(n_parts, "u")
+        got = checkpointed(_peeled(again, ["u", "kind"], attempt).withColumn("attempt", F.lit(attempt)))
+        tried, failed = tried.unionByName(got), got.where("n_left > 0").select("u", "kind")
     found = tried.groupBy("u").agg(*[F.min(F.when((F.col("kind") == kind) & (F.col("n_left") == 0), F.struct("attempt", "n_found"))).alias(f"_{kind}") for kind in kinds], *[F.count(F.when(F.col("kind") == kind, 1)).alias(f"_n_{kind}") for kind in kinds])
 
     def likeness(kind: str, other: str) -> Column:

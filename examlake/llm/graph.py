@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Links that one task joins up at the end; while more are left, rounds contract them.
+#: Links that one task joins up at the end; while more are left, rounds contract them. The components are the same either way.
 LAST_LINKS = 500_000
 
 

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from .graph import components
 
 #: Chance that a pair at 0.8 shares no bucket: (1 - 0.8 ** ROWS) ** BANDS, 5e-6.
 BANDS, ROWS = 40, 6
-#: Families of more documents or shingles than this are dealt by pairs of blocks.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4_000_000
+#: Families of more documents or shingles than this are dealt by pairs of blocks; the links are the same either way.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Bound on the difference between a pair's likeness and the share of equal coordinates (over 6 sigma at 240).
 SLACK = 0.18
 
@@ -89,14 +90,17 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _features(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["_id"], batch["_text"], strict=True):
-                s = shingle_set(text, n)
-                digest = xxhash.xxh3_128(s.tobytes()).digest()
-                rows.append((doc, len(s), digest, band_hashes(signature(s)) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["id", "n_shingles", "set_key", "bands"]).astype({"id": batch["_id"].dtype})
+            sizes, keys, bands = [], [], []
+            for text in batch.column("_text"):
+                s = shingle_set(text.as_py(), n)
+                sizes.append(len(s))
+                keys.append(xxhash.xxh3_128(s.tobytes()).digest())
+                bands.append(band_hashes(signature(s)) if len(s) else None)
+            # The ids go through untouched: as floats, large ones beside a null would change.
+            columns = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -190,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 4,
     with a null component. Other columns are ignored; an empty table gives no rows.
     """
     given = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    feats = checkpointed(given.mapInPandas(_features(shingle_words), "id long, n_shingles long, set_key binary, bands array<bigint>"))
+    feats = checkpointed(given.mapInArrow(_features(shingle_words), "id long, n_shingles long, set_key binary, bands array<bigint>"))
     classes = feats.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     reps = checkpointed(classes)
     families = checkpointed(_families(reps).join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node"))

@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, n_partitions, text_or_empty
 from .tokens import encoder
 
+_PLACE = T.StructType([T.StructField("bin", T.LongType()), T.StructField("shift", T.IntegerType()), T.StructField("fill", T.IntegerType()), T.StructField("first", T.BooleanType())])
 _BIN = "group int, fill int, members array<struct<bin: bigint, shift: int>>, up boolean"
 
 
@@ -48,53 +51,51 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """Tokenizes each text, adds ``end_id`` and cuts what is longer than ``capacity``.
 
     Returns ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``. A null or empty text is the
-    end id alone.
+    end id alone; a null id stays null; ids are handed on exactly, whatever their size.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer_path).text_bytes, end_id.to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["_id"], batch["_text"], strict=True):
-                ids = ids_of(text) + end
+            at, pieces = [], []
+            for i, text in enumerate(batch.column("_text")):
+                ids = ids_of(text.as_py()) + end
                 for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
-                    rows.append((doc, k, start // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["_id"].dtype})
+                    at.append(i)
+                    pieces.append((k, start // 4, len(part) // 4, zlib.crc32(part)))
+            numbers = np.array(pieces, np.int64).reshape(-1, 4)
+            ids_ = batch.column("_id").take(pa.array(at, pa.int64()))  # never as floats, whatever nulls stand beside
+            yield pa.RecordBatch.from_arrays([ids_, pa.array(numbers[:, 0].astype(np.int32)), *[pa.array(numbers[:, c]) for c in (1, 2, 3)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     given = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    return given.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return given.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan_in: int = 8, hand_on: int = 1024, per_part: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan_in: int = 8, hand_on: int = 1024) -> DataFrame:
     """Packs rows with a ``length`` of 1 to ``capacity`` into sequences of ``capacity`` at most.
 
     Returns ``pieces`` with ``sequence_id`` and ``offset`` (gapless from 0 in each sequence); columns
-    of those names are replaced. A node of the tree hands on its ``hand_on`` emptiest bins, so no
-    task gets more than ``fan_in * hand_on``; other bins are emitted as they stand. Partitions of
-    fewer than ``per_part`` rows are put together first: among many lengths, few bins stay underfull.
-    Rows are dealt to more than one partition evenly, whatever their order and size.
-    Every row is placed: equal and repeated rows are items of their own; an empty table gives an empty result.
-    ``pieces`` should be narrow and cheap to read again (checkpointed).
+    of those two names are replaced, all others stay. Rows are dealt evenly to as many partitions as
+    the session has for shuffles, so each sees all lengths, whatever their order and clustering; each
+    packs its own. A node of the tree then packs the underfull bins of ``fan_in`` children as items and
+    hands on its ``hand_on`` emptiest, which bounds what a task gets; the others are sequences as they
+    stand, so no bin is lost. Every row is placed: equal and repeated rows are items of their own; an
+    empty table gives an empty result. ``pieces`` should be narrow and the same when read again
+    (checkpointed).
     """
-    rows = pieces.drop("sequence_id", "offset", "_bin", "_shift", "_fill", "_deal")
-    n_parts = rows.rdd.getNumPartitions()
-    if per_part:
-        n_parts = min(n_parts, -(-rows.count() // per_part))
-        rows = rows.coalesce(max(1, n_parts))
-    columns = rows.columns
-    if n_parts > 1:  # dealt by a hash of the row's place, so that each partition sees all lengths, however the table is clustered
-        rows = rows.withColumn("_deal", F.monotonically_increasing_id()).repartition(n_parts, "_deal").drop("_deal")
-    number = rows.withColumn("_part", F.spark_partition_id())
-
-    def locally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
+    spark = pieces.sparkSession
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("length").cast("int").alias("length"), F.monotonically_increasing_id().alias("deal"))
+    dealt = rows.repartition(n_partitions(spark), "deal").select("row", "length", F.spark_partition_id().alias("part"))
+
+    def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        part = pd.concat(held, ignore_index=True)
-        lengths = part["length"].astype(int).tolist()
-        base = int(part["_part"].iloc[0]) << 32
-        n = len(lengths)
+        part = pa.Table.from_batches(held)
+        lengths = part["length"].to_pylist()
+        base, n = part["part"][0].as_py() << 32, part.num_rows
         bin_, shift, fill, first = np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
         for b, items in enumerate(best_fit(lengths, capacity)):
             at = 0
@@ -103,10 +104,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan
                 at += lengths[i]
             fill[items] = at
             first[items[0]] = True
-        yield part.assign(_bin=bin_, _shift=shift, _fill=fill, _first=first)
+        for name, values in (("bin", bin_), ("shift", shift), ("fill", fill), ("first", first)):
+            part = part.append_column(name, pa.array(values))
+        yield from part.to_batches(10_000)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in number.schema.fields)
-    packed = checkpointed(number.mapInPandas(locally, f"{fields}, _bin long, _shift int, _fill int, _first boolean"))
+    fields = T.StructType([*dealt.schema.fields, *_PLACE.fields])
+    packed = checkpointed(dealt.mapInArrow(locally, fields))
 
     def merge(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         fills = bins["fill"].tolist()
@@ -120,32 +123,26 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan
         out.sort(key=lambda x: x[1])
         return pd.DataFrame([(g, f, m, up and k < hand_on) for k, (g, f, m, up) in enumerate(out)], columns=["group", "fill", "members", "up"])
 
-    bins = packed.where(F.col("_first")).select(
-        F.col("_part").alias("group"),
-        F.col("_fill").alias("fill"),
-        F.array(F.struct(F.col("_bin").alias("bin"), F.lit(0).alias("shift"))).alias("members"),
-        ((F.col("_fill") < nearly_full * capacity) & (F.row_number().over(_emptiest()) <= hand_on)).alias("up"),
+    emptiest = Window.partitionBy("part").orderBy("fill", "bin")
+    level = packed.where(F.col("first") & (F.col("fill") < nearly_full * capacity)).withColumn("k", F.row_number().over(emptiest)).where(F.col("k") <= hand_on).select(
+        F.col("part").alias("group"), "fill", F.array(F.struct("bin", F.lit(0).alias("shift"))).alias("members")
     )
     merged = None
-    level = bins.where("up")
+    n_parts = packed.rdd.getNumPartitions()
     while n_parts > 1:
         n_parts = -(-n_parts // fan_in)
         node = level.withColumn("group", F.floor(F.col("group") / fan_in).cast("int"))
         level = checkpointed(node.groupBy("group").applyInPandas(merge, _BIN))
         done = level if n_parts == 1 else level.where(~F.col("up"))
         merged = done if merged is None else merged.unionByName(done)
-        level = level.where("up")
-    own = packed.withColumnsRenamed({"_bin": "sequence_id", "_shift": "offset"})
-    if merged is not None:
-        moved = merged.select(F.explode("members").alias("m"), F.element_at("members", 1).getField("bin").alias("_to")).select(F.col("m.bin").alias("_bin"), F.col("m.shift").alias("_add"), "_to")
-        own = packed.join(moved, "_bin", "left").select(*columns, F.coalesce("_to", "_bin").alias("sequence_id"), (F.col("_shift") + F.coalesce("_add", F.lit(0))).alias("offset"))
-    return own.select(*columns, "sequence_id", F.col("offset").cast("long").alias("offset"))
-
-
-def _emptiest():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_part").orderBy("_fill", "_bin")
+        level = level.where("up").drop("up")
+    if merged is None:
+        sequence, offset = F.col("bin"), F.col("shift")
+    else:
+        moved = merged.select(F.explode("members").alias("m"), F.element_at("members", 1).getField("bin").alias("to")).select("m.bin", F.col("m.shift").alias("add"), "to")
+        packed = packed.join(moved, "bin", "left")
+        sequence, offset = F.coalesce("to", "bin"), F.col("shift") + F.coalesce("add", F.lit(0))
+    return packed.select(*[F.col("row").getField(c).alias(c) for c in kept], sequence.alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, **options) -> DataFrame:

@@ -26,12 +26,12 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def passes(self) -> Column:
+    def passes(self, value: Column) -> Column:
         ok = F.lit(True)
         if self.low is not None:
-            ok = ok & (F.col(self.stat) >= F.lit(float(self.low)))
+            ok = ok & (value >= F.lit(float(self.low)))
         if self.high is not None:
-            ok = ok & (F.col(self.stat) <= F.lit(float(self.high)))
+            ok = ok & (value <= F.lit(float(self.high)))
         return ok
 
 
@@ -120,11 +120,11 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in five-word windows that
     repeat. An empty or null text fails. Rows are judged one by one: ties, repeats and rows with
-    nulls elsewhere make no difference; an empty table gives an empty result.
+    nulls elsewhere make no difference; an empty table gives an empty result. Columns of the four
+    names are replaced, all others stay.
     """
     scored = quality_stats(docs, text_col)
-    flat = scored.withColumns({f"_q_{r.stat}": F.col(f"quality.{r.stat}") for r in rules})
-    failed = F.array_compact(F.array(*[F.when(~Rule(f"_q_{r.stat}", r.low, r.high).passes(), F.lit(r.stat)) for r in rules]))
+    failed = F.array_compact(F.array(*[F.when(~r.passes(F.col(f"quality.{r.stat}")), F.lit(r.stat)) for r in rules]))
     base = (F.col("quality.n_words") < 10) | (100 * F.col("quality.n_repeat_words") > 20 * F.col("quality.n_words"))
-    out = flat.withColumns({"failed_rules": failed, "base_failed": base})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*[f"_q_{r.stat}" for r in rules])
+    out = scored.withColumns({"failed_rules": failed, "base_failed": base})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -48,7 +48,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    turns = given.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    # References in a user's text become typed parts; what an assistant says stays one text, so its loss is that text alone.
+    parts = F.when(F.col("role") == "assistant", chat.text_part(F.col("text"))).otherwise(chat.referenced_parts(F.col("text")))
+    turns = given.unionByName(extra).select("conv_id", "turn", "role", parts.alias("parts"))
     read = chat.read_back(chat.format_turns(turns))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
@@ -59,6 +61,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "n_expanded",
+        F.concat_ws(",", F.transform("attachments", lambda a: F.concat(a.type, F.lit(":"), a.ref))).alias("attachments"),
     )
 
 

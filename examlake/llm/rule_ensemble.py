@@ -7,6 +7,7 @@ into one Spark column expression, so scoring is a projection over the statistics
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,17 +60,23 @@ def paths(node, above: tuple[Condition, ...] = ()) -> list[tuple[Condition, ...]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, seed: int = 7) -> RuleEnsemble | None:
-    """Fits on ``labels`` (``doc_id``, ``label``: 0 or 1) and the texts of ``docs``; None if a class is missing."""
+    """Fits on ``labels`` (``doc_id``, ``label``: 0 or 1) and the texts of ``docs``; None if a class is missing.
+
+    At most about ``max_rows`` labelled rows are learnt from, chosen by a hash of the id. Where the
+    trees find no split (very few rows, or equal texts), the model has no rules and its score is the
+    share of label 1.
+    """
     rows = labelled_rows(docs, labels, label, max_rows).withColumnRenamed(label, "_label")
     stats = quality_stats(rows).select(F.col("_label").cast("double").alias("label"), *[F.col(f"quality.{s}").cast("double").alias(s) for s in STATS])
     known = checkpointed(checkpointed(stats).coalesce(4))  # at most max_rows rows of numbers, read many times
-    if known.select("label").distinct().count() < 2:
+    ones, n = known.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
+    if not 0 < ones < n:
         return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=5, maxBins=64, featureSubsetStrategy="0.6", subsamplingRate=0.7, seed=seed)
     model = forest.fit(VectorAssembler(inputCols=list(STATS), outputCol="features").transform(known))
     rules = sorted({tuple(sorted(p)) for tree in model.trees for p in paths(tree._java_obj.rootNode())})
     if not rules:
-        return None
+        return RuleEnsemble((), math.log(ones / (n - ones)))
     fired = known.select("label", array_to_vector(F.array(*[holds(r, F.col).cast("double") for r in rules])).alias("features"))
     fired = checkpointed(fired)
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=60).fit(fired)
@@ -81,7 +88,8 @@ def with_score(docs: DataFrame, model: RuleEnsemble | None, text_col: str = "tex
     """``docs`` with ``out_col``, the chance (0 to 1) of label 1, for each whole text; a column of that name is replaced.
 
     A null or empty text is scored by its statistics, all 0. Without a model (no labels of both
-    kinds) every score is 0.5. Equal texts get equal scores; no other column is read.
+    kinds) every score is 0.5, which the query and the pipeline keep: nothing is rejected where nothing
+    was learnt. Equal texts get equal scores; no other column is read.
     """
     if model is None:
         return docs.withColumn(out_col, F.lit(0.5))

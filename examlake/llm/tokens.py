@@ -2,9 +2,10 @@
 
 A pair of neighbouring bytes that stands inside no token of the vocabulary can never be
 merged across, so the cut between them is certain. A word is cut there, its fragments are
-encoded independently (each seen fragment and word once per task, then from a bounded
-cache) and the ids are put together again. Texts are split into words as the
-tokenizer's own normalizer and splitter do; Spark deals the texts to tasks.
+encoded independently (each seen fragment and word once per task, then from a cache that is
+bounded in bytes) and the ids are put together again. Texts are split at ASCII white space,
+across which nothing composes or merges; inside such a run the tokenizer's own normalizer
+and splitter decide. Spark deals the texts to tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -23,29 +23,35 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Entries of a task's word cache; beyond it the cache starts anew. Bounds memory, never results.
-CACHE_ENTRIES = 300_000
-_ODD = re.compile("[\x1c-\x1fΣ]")  # white space to Python alone, and a letter whose lower case depends on its place
+#: Bytes that a worker's cache of words may take, about. Bounds memory, never results.
+CACHE_BYTES = 64_000_000
+#: What an entry takes beside its key and ids.
+_ENTRY_BYTES = 200
 
 
-def _byte_alphabet() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b if b in shown else next(rest)) for b in range(256)]
+class _Seen(dict):
+    """Ids (bytes) by what was encoded; ``encode`` gives those of what is new, and whether to keep them.
 
-
-class _Words(dict):
-    """Ids of each word seen, as bytes; a new word is encoded on first use."""
+    Beyond half of ``CACHE_BYTES`` a new generation begins; the one before is still looked up, so what is frequent stays.
+    """
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 64:
-            self[word] = ids
+        self.encode, self.held, self.before = encode, 0, {}
+
+    def __missing__(self, key):
+        ids = self.before.get(key)
+        if ids is None:
+            ids, keep = self.encode(key)
+            if not keep:
+                return ids
+        if len(key) <= 64:
+            self.held += _ENTRY_BYTES + len(key) + len(ids)
+            if 2 * self.held > CACHE_BYTES:
+                self.before = dict(self)
+                self.clear()
+                self.held = 0
+            self[key] = ids
         return ids
 
 
@@ -57,22 +63,32 @@ class FragmentEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        import regex
+        from tokenizers import Tokenizer
 
         self.path = path
         spec = self._spec()
         model = spec["model"]
         suffix = model["end_of_word_suffix"] or ""
         self.last = self._model(model, end_of_word_suffix=suffix)
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        split = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normal, self.split = split.normalizer.normalize_str, split.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.shown = _byte_alphabet()
         inside = {t.removesuffix(suffix) for t in model["vocab"]}
         self.joined = {t[i : i + 2] for t in inside for i in range(len(t) - 1)}
-        self.words = _Words(self._word)
-        self.fragments: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(model["vocab"].values()))]
+        self._learn_letters()
+        self.words, self.fragments = _Seen(self._word), _Seen(self._fragment)
+
+    def _learn_letters(self) -> None:
+        """Letters below U+0300 (nothing there composes with its neighbours) that the tokenizer treats as Python does."""
+        one = lambda c: [p for p, _ in self.split(self.normal(f"a{c}b"))]
+        plain = {c for c in map(chr, range(0x80, 0x300)) if len(c.lower()) == 1 and self.normal(c) == c.lower() and len(one(c)) == 1}
+        letters = "".join(sorted(c for c in plain if c.lower() in plain))
+        self.is_plain = re.compile(f"[!-~{letters}]+").fullmatch
+        # The splitter's pattern, for words of these letters and ASCII, lower-cased.
+        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9]|[^a-z0-9{letters}]+").findall
+        self.shown = str.maketrans({c: one(c)[0][1:-1] for c in letters if c == c.lower()})
 
     def _spec(self) -> dict:
         return json.load(open(self.path, encoding="utf-8"))
@@ -91,7 +107,7 @@ class FragmentEncoder:
 
     @cached_property
     def plain(self):
-        """The library's tokenizer, loaded for a first odd text or for decoding."""
+        """The library's tokenizer, loaded for decoding."""
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(self.path)
@@ -99,40 +115,41 @@ class FragmentEncoder:
         tokenizer.no_padding()
         return tokenizer
 
-    def _inner(self, fragment: str) -> bytes:
+    def _ids(self, tokens) -> bytes:
+        return b"".join([self.id_bytes[t.id] for t in tokens])
+
+    def _fragment(self, fragment: str) -> tuple[bytes, bool]:
         """Ids of a fragment that a certain cut ends."""
-        got = self.fragments.get(fragment)
-        if got is None:
-            got = self.fragments[fragment] = b"".join([t.id.to_bytes(4, "little") for t in self.inner.tokenize(fragment)])
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        s = piece if piece.isascii() and piece.isprintable() else "".join([self.shown[b] for b in piece.encode()])
-        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.joined]
-        inner = [self._inner(s[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
-        last = self.last.tokenize(s[cuts[-1] :] if cuts else s)
-        return b"".join([*inner, *[t.id.to_bytes(4, "little") for t in last]])
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a run without white space, lower-cased: its pieces are words of their own."""
-        if word.isascii() and word.isalpha():
-            return self._piece(word)
-        pieces = self.pieces(word)
-        return self._piece(word) if pieces == [word] else b"".join([self.words[p] for p in pieces])
+        return self._ids(self.inner.tokenize(fragment)), True
+
+    def _piece(self, s: str) -> bytes:
+        """Ids of a word of the splitter, its bytes shown as the vocabulary shows them."""
+        joined = self.joined
+        cuts = [i for i, pair in enumerate(zip(s, s[1:], strict=False), 1) if pair[0] + pair[1] not in joined]
+        if not cuts:
+            return self._ids(self.last.tokenize(s))
+        inner = [self.fragments[s[a:b]] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return b"".join(inner) + self._ids(self.last.tokenize(s[cuts[-1] :]))
+
+    def _word(self, run: bytes) -> tuple[bytes, bool]:
+        """Ids of a run without ASCII white space. A run of several words is not kept, only those words."""
+        if run.isalpha():  # of bytes: letters of ASCII alone
+            return self._piece(run.lower().decode()), True
+        text = run.decode()
+        if not self.is_plain(text):
+            return b"".join([self._piece(piece) for piece, _ in self.split(self.normal(text))]), True
+        pieces = self.pieces(text.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0].translate(self.shown)), True
+        return b"".join([self.words[p.encode()] for p in pieces]), False
 
     def text_bytes(self, text: str) -> bytes:
         """Ids of a whole text, as bytes."""
         if "<|" in text and self.at_special.search(text):
             return b"".join([self.special.get(part) or self.text_bytes(part) for part in self.at_special.split(text) if part])
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if _ODD.search(text):
-            return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.fragments) > CACHE_ENTRIES:
-            self.fragments.clear()
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        raw = text.encode()
+        # Letters beyond ASCII may compose with a capital in one way and with its small letter in another, so such texts keep their case here.
+        return b"".join(map(self.words.__getitem__, (raw.lower() if text.isascii() else raw).split()))
 
     def text_ids(self, text: str) -> list[int]:
         return np.frombuffer(self.text_bytes(text), "<u4").tolist()

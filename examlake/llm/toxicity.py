@@ -1,8 +1,9 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 Strings are words with their borders. Two words are alike as far as they share subsequences
-of three to five characters, each gap costing a factor; so an insult with an inserted,
-dropped or starred character still resembles the plain one, and single letters set apart
+of three to five characters, each gap costing a factor (up to two characters may lie inside one of
+four, one inside others); so an insult with inserted, dropped or starred
+characters still resembles the plain one, and single letters set apart
 are read as one word. A word's kernel values against landmark words, whitened, are the
 features of a linear machine trained on the words of labelled sentences (a word bears
 the labels of the texts it stands in, so words common in clean texts weigh against). As the
@@ -16,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,14 +28,18 @@ from .common import checkpointed, labelled_rows, text_or_empty
 
 #: Labelled training rows at most; chosen by a hash of the id.
 MAX_ROWS = 20_000
-#: Landmarks (toxic and clean) and training words at most.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, MAX_WORDS = 256, 64, 40_000
+#: Landmarks, toxic and clean, at most.
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 256, 64
+#: Distinct words of the labelled rows that the machine is fitted on at most, chosen by a hash of the word.
+MAX_WORDS = 40_000
 #: Weight of all words of toxic texts against those of clean texts, and the machine's ridge for each word seen.
 TOXIC_SHARE, RIDGE = 0.4, 2e-7
 #: What a text's second highest word may count against its highest; the calibration rows choose.
 SECOND = (0.0, 0.25, 0.5, 1.0)
-#: Subsequence patterns (places from the first character) by length; one gap at most.
-PATTERNS = {3: ((1, 2), (1, 3), (2, 3)), 4: ((1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)), 5: ((1, 2, 3, 4), (1, 2, 3, 5), (1, 2, 4, 5), (1, 3, 4, 5), (2, 3, 4, 5))}
+#: Characters that may lie inside a subsequence, by its length.
+MAX_GAPS = {3: 1, 4: 2, 5: 1}
+#: Subsequence patterns (places from the first character) by length: the last place tells the gaps.
+PATTERNS = {n: tuple(sorted(p for p in combinations(range(1, n + g), n - 1))) for n, g in MAX_GAPS.items()}
 GAP = 0.6
 _BITS = 20
 _DROP = 255
@@ -160,7 +166,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, label in zip(batch["text"], batch["toxic"], strict=True):
             codes, _ = codes_of([text])
-            (toxic if label else clean).update({w for w in (codes + 48).astype(np.uint8).tobytes().split(b"0") if 1 < len(w) <= 40})
+            (toxic if label else clean).update({w for w in (codes + 48).astype(np.uint8).tobytes().split(b"0") if len(w) > 1})
         if len(toxic) + len(clean) > 300_000:
             yield _counted(toxic, clean)
             toxic, clean = Counter(), Counter()
@@ -203,14 +209,12 @@ def _landmark_features(landmarks: list[str]) -> tuple[dict[int, np.ndarray], np.
     """Rows of the landmarks' subsequences, the weight of each in each landmark, and (length, index) of each row."""
     rows: dict[tuple[int, int], int] = {}
     entries: list[tuple[int, int, float]] = []
+    patterns = [(length, places) for length, some in PATTERNS.items() for places in some]
     for k, mark in enumerate(landmarks):
         codes = np.frombuffer(f"0{mark}".encode(), np.uint8) - np.uint8(48)
-        for length, weight, index, _ in _indices(codes):
-            last = len(codes) - 1
-            for i in range(len(codes)):
-                span = [p for p in PATTERNS[length] if GAP ** (p[-1] - length + 1) == weight]
-                if i + span[0][-1] <= last:  # a landmark is open at its end: no subsequence takes the border there
-                    entries.append((rows.setdefault((length, int(index[i])), len(rows)), k, weight))
+        for (length, places), (_, weight, index, _) in zip(patterns, _indices(codes), strict=True):
+            for i in range(len(codes) - places[-1]):  # a landmark is open at its end: no subsequence takes the border there
+                entries.append((rows.setdefault((length, int(index[i])), len(rows)), k, weight))
     matrix = np.zeros((len(rows), len(landmarks)), np.float32)
     for r, k, w in entries:
         matrix[r, k] += w
@@ -258,10 +262,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityModel | None:
-    """Fits on ``labels.toxic`` (``doc_id``, ``toxic``) and the texts of ``docs``; None if a class is missing.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> ToxicityModel | None:
+    """Fits on ``labels.toxic`` (``doc_id``, ``toxic``) and the texts of ``docs``.
 
-    Four fifths of the rows give words, landmarks and the machine; the rest the calibration.
+    Four fifths of at most about ``max_rows`` labelled rows give words, landmarks and the machine; the
+    rest the calibration. The machine is fitted on at most ``max_words`` distinct words of those rows,
+    whose counts are of all of them; where there are more, those that begin like a landmark are taken
+    more often. None if a class is missing or no beginning of a word tells the classes apart (few, unlike
+    texts): then nothing can be learnt.
     """
     rows = labelled_rows(docs, labels, "toxic", max_rows).withColumn("fifth", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
     words = checkpointed(rows.where("fifth <> 0").select("text", "toxic").mapInPandas(_words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
@@ -276,10 +284,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxic
     due = (F.col("t") + F.col("c")) * t_all / (t_all + c_all)  # what its frequency alone makes likely
     toxic = marks.where((F.col("t") >= 2) & (F.col("ratio") > 1.6) & (F.col("t") - due > 3 * F.sqrt(due))).orderBy((F.col("t") * F.col("ratio")).desc(), "mark").limit(TOXIC_LANDMARKS)
     clean = marks.where("ratio < 1").orderBy(F.col("c").desc(), "mark").limit(CLEAN_LANDMARKS)
-    landmarks = [r.mark for r in [*toxic.select("mark").collect(), *clean.select("mark").collect()]]  # bounded lists
-    keep = F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.6 * MAX_WORDS / n_words))
+    toxic_marks = [r.mark for r in toxic.select("mark").collect()]  # bounded lists
+    landmarks = toxic_marks + [r.mark for r in clean.select("mark").collect()]
+    if not toxic_marks:
+        return None
     near = F.arrays_overlap(parts, F.lit(landmarks).cast("array<string>"))
-    taken = words.where(keep | near).orderBy(F.xxhash64("word")).limit(MAX_WORDS).collect()  # MAX_WORDS words
+    keep = F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.6 * max_words / n_words))
+    taken = words.where(keep | near).orderBy(F.xxhash64("word")).limit(max_words).collect()  # the documented bound
 
     features, matrix, places = _landmark_features(landmarks)
     gram = matrix.T.astype(np.float64) @ matrix

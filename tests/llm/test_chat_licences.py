@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from examlake.llm import chat, licences
+from examlake.llm import chat, licences, oracle
 from examlake.llm.queries import op5_chat_format
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("row", T.StringType()), T.StructField("hash", T.StringType())])
@@ -32,7 +34,22 @@ def test_long_template_tolerates_small_edits(spark):
     text = "intro words " + next(t.text for t in licences.TEMPLATES if t.name == "mit-text").replace("any person", "any natural person") + " end"
     texts, spans = licences.find_licences(spark.createDataFrame([(1, text, "", ""), (2, "permission is hereby granted to sing", "", "")], DOCS))
     found = spans.join(texts, "row").collect()
-    assert [(r.doc_id, licences.TEMPLATES[r.template].name, r.first_word) for r in found] == [(1, "mit-text", 2)] and found[0].cover > 0.8
+    assert sorted((r.doc_id, licences.TEMPLATES[r.template].name, r.first_word) for r in found) == [(1, "mit-grant", 2), (1, "mit-text", 2)] and all(r.cover > 0.8 for r in found)
+
+
+def test_licences_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = lambda df: sorted(map(tuple, licences.licence_report(df).collect()), key=repr)
+    plain = rows(docs)
+    assert rows(docs.repartition(13)) == plain and rows(docs.join(docs.select("doc_id").distinct(), "doc_id")) == plain
+
+
+def test_a_vote_needs_the_words_and_not_only_their_hash(spark, monkeypatch):
+    """With a hash that takes all grams for equal, spans are still those of the words."""
+    monkeypatch.setattr(licences, "_HASH", {2: "if(_h[i] is null, 0L, 7L)", 4: "if(_h[i] is null, 0L, 7L)"})
+    rows = [(1, "the mit license and a general public license", "", ""), (2, "no such words in here at all", "", "")]
+    got = sorted((r.doc_id, r.n_base, r.labels) for r in licences.licence_report(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, 2, "gpl,mit"), (2, 0, "")]
 
 
 TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
@@ -58,6 +75,53 @@ def test_typed_parts_become_placeholders(spark):
     assert [tuple(a) for a in row.attachments] == [("image", "a.png", 10), ("audio", "b.wav", 128)] and row.n_expanded == 138
 
 
+def test_reading_back_tells_placeholders_from_texts(spark):
+    rng = random.Random(3)
+    texts = ["hi", "<|image|>", "\\l|image|>", "<", "é\n", "<|audio|><|end|>"]
+    want, rows = {}, []
+    for conv in range(20):
+        for turn in range(5):
+            parts = []
+            for _ in range(rng.randint(0, 5)):
+                kind = rng.choice(["text", "image", "audio", "document"])
+                parts.append((kind, rng.choice(texts), None, None) if kind == "text" else (kind, None, f"r{rng.random()}", rng.choice([None, 7])))
+            rows.append((conv, turn, "assistant" if turn % 2 else "user", parts))
+            want[conv, turn] = parts
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    for r in chat.read_back(chat.format_turns(turns, block=2)).collect():
+        refs = iter(r.attachments)
+        for turn, t in enumerate(r.turns):
+            given = want[r.conv_id, turn]
+            merged = []
+            for kind, text, _, _ in given:  # neighbouring texts are one part
+                if kind == "text" and merged and merged[-1][0] == "text":
+                    merged[-1] = ("text", merged[-1][1] + text)
+                else:
+                    merged.append((kind, text or ""))
+            assert [tuple(p) for p in t.parts] == merged
+            assert t.text == "".join(x or "" for k, x, _, _ in given if k == "text")
+            assert [(k, ref, n or chat.TOKENS[k]) for k, _, ref, n in given if k != "text"] == [tuple(next(refs)) for k, *_ in given if k != "text"]
+        assert next(refs, None) is None
+        assert r.loss_texts == ["".join(x or "" for k, x, _, _ in want[r.conv_id, turn] if k == "text") for turn in (1, 3)]
+
+
+def test_references_in_texts_and_their_sql(spark, tmp_path):
+    rows = [(1, 0, "user", "see ![image](a.png) and ![audio](b.wav)\n![image](c d.png)"), (1, 1, "assistant", "no ![image](x.png)"), (1, 2, "user", "![document](p.pdf)<"), (2, 0, "user", None), (2, 1, None, "![image]()")]
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = op5_chat_format(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(oracle.OP5)
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+    assert {r.conv_id: (r.n_attachments, r.n_expanded, r.attachments) for r in got.collect()} == {1: (3, 896, "image:a.png,audio:b.wav,document:p.pdf"), 2: (0, 0, ""), -7: (0, 0, "")}
+
+
+def test_clashing_columns_of_turns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a")], TURNS).select("*", chat.text_part(F.col("text")).alias("parts"), F.lit("x").alias("body"), F.lit("y").alias("_block"), F.lit("z").alias("items"))
+    assert chat.format_turns(rows).first().formatted == "<|turn|>user\na<|end|>"
+
+
 def test_query_has_the_extra_conversation(spark):
     row = op5_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
     text = r"\### Assistant: </turn> ok"

@@ -64,6 +64,42 @@ def test_repeats_nulls_and_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ids_beyond_doubles_beside_a_null(spark):
+    big, text = 2**60, "a b c d e f g"
+    rows = [(big + 1, text, "", ""), (None, text, "", ""), (big + 3, text, "", ""), (big + 2, "x y", "", "")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()}
+    assert got == {big + 1: big + 1, big + 3: big + 1, big + 2: big + 2, None: None}
+
+
+def test_no_link_of_a_large_family_is_lost():
+    """A family of 1,500 near-copies by edits: the signatures' pre-filter leaves all joined that exact likeness joins."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = []
+    for _ in range(1500):  # at 0.80 to 0.9 of each other, many right at the limit
+        s = base.copy()
+        s[rng.choice(len(s), rng.integers(5, 23), replace=False)] = rng.integers(0, 2**63, 1).astype(np.uint64)[0] + np.arange(0, 1, dtype=np.uint64)
+        sets.append(np.unique(s))
+    links = near_dedup._forest(np.arange(len(sets)), sets, None, 80)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    mine = [find(i) for i in range(len(sets))]
+    exact = 0
+    for i in range(0, len(sets), 25):
+        for j in range(i):
+            if near_dedup._linked(sets[i], sets[j], 80):
+                exact += 1
+                assert mine[i] == mine[j]
+    assert exact > 1000
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 1000).astype(np.uint64)

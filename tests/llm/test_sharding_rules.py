@@ -1,7 +1,9 @@
 import zlib
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from examlake.llm import quality_rules
 from examlake.llm.quality_rules import apply_rules
 from examlake.llm.sharding import shard_by_bytes
 
@@ -64,3 +66,10 @@ def test_rules_counts_and_edges(spark):
         assert got[i].base_failed == (len(words) < 10 or 100 * q.n_repeat_words > 20 * len(words))
     assert got[3].kept and not got[1].kept and not got[4].kept
     assert apply_rules(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rules_keep_columns_of_inner_names(spark):
+    docs = spark.createDataFrame([(1, "word " * 30, "a"), (1, "word " * 30, "a"), (2, "some words stand in this long enough text of ten and more " * 4000, "b")], "doc_id long, text string, x string").select("*", F.col("x").alias("_q_symbol_ratio"), F.col("x").alias("_words"))
+    got = quality_rules.apply_rules(docs).collect()
+    assert [(r.x, r._q_symbol_ratio, r._words) for r in got] == [("a",) * 3, ("a",) * 3, ("b",) * 3]
+    assert got[0] == got[1] and got[2].quality.n_words == 12 * 4000 and got[2].quality.n_repeat_words == 12 * 4000

@@ -29,6 +29,24 @@ def test_ids_equal_the_library(library):
     assert any(a + b not in mine.joined for a in "qzx" for b in "qzxj")  # forced cuts do occur
 
 
+def test_every_code_point_equals_the_library(library):
+    mine = tokens.encoder(PATH)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    for k in range(0, len(points), 4000):
+        texts = [f"a{chr(c)}b J{chr(c)} {chr(c)}X" for c in points[k : k + 4000]]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [hex(c) for c, t, w in zip(points[k : k + 4000], texts, want, strict=True) if mine.text_ids(t) != w.ids] == []
+
+
+def test_a_full_cache_changes_no_ids(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 3000)
+    mine, rng = tokens.FragmentEncoder(PATH), random.Random(9)
+    for _ in range(300):
+        text = " ".join("".join(rng.choices("abcqzé.'", k=rng.randint(1, 9))) for _ in range(20))
+        assert mine.text_ids(text) == library.encode(text, add_special_tokens=False).ids
+        assert len(mine.words) + len(mine.words.before) < 40
+
+
 def test_digests(spark, library):
     rows = [(i, t, "x", "y") for i, t in enumerate(ODD)] + [(None, None, None, None), (1, ODD[1], "x", "y"), (99, "word " * 20_000, "", "")]
     got = tokens.token_digests(spark.createDataFrame(rows, DOCS), PATH).collect()
@@ -74,15 +92,29 @@ def test_packing_places_every_piece(spark, library):
     assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got], key=repr) == sorted(want, key=repr)
     whole = len(packing.best_fit([w[3] for w in want], 128))
     assert check_packed(got, 128) == whole
-    tree = packing.pack_documents(docs, PATH, 128, fan_in=2, hand_on=5, per_part=0).collect()
+    tree = packing.pack_documents(docs, PATH, 128, fan_in=2, hand_on=5).collect()
     assert sorted([(r.doc_id, r.piece) for r in tree], key=repr) == sorted([w[:2] for w in want], key=repr)
     assert check_packed(tree, 128) <= whole * 1.1
 
 
+def test_ids_beyond_doubles_beside_nulls_and_columns_of_inner_names(spark):
+    big = 2**60
+    rows = [(big + 1, "the", "a", "b"), (None, "of", None, None), (big + 3, "law", "c", "d")]
+    got = packing.pack_documents(spark.createDataFrame(rows, DOCS).coalesce(1), PATH).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, (big + 1, None, big + 3)))
+    inner = ["row", "deal", "part", "bin", "shift", "fill", "first", "_bin", "_part", "group"]
+    pieces = spark.range(9).select((F.lit(big) + F.col("id")).alias("id"), F.lit(3).alias("length"), *[F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in inner])
+    packed = packing.pack(pieces, 10)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    for r in packed.collect():
+        assert r.id >= big and all(r[n] == f"{n}{r.id - big}" for n in inner)
+    assert check_packed(packed.collect(), 10) == 3
+
+
 def test_packing_of_clustered_lengths(spark):
     i = F.col("id")
     rows = spark.range(6000, numPartitions=6).select("id", F.when(i < 3000, 1100 + i % 200).otherwise(700 + i % 200).alias("length"))
-    got = packing.pack(rows, per_part=0).collect()
+    got = packing.pack(rows).collect()
     assert sorted(r.id for r in got) == list(range(6000))
     assert check_packed(got, 2048) <= 1.02 * len(packing.best_fit([r.length for r in rows.collect()], 2048))
 
