@@ -1,8 +1,10 @@
 """A cleaning and packing pipeline over ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)``, with ``docs`` what the stage before it kept, and
-returns a DataFrame. All but the last return the columns of ``documents``. A stage's
-result is written as Parquet and read again by the next.
+returns a DataFrame. All but the last return the columns of ``documents`` (and any others that
+``docs`` has). A stage's result is written as Parquet and read again by the next. Null and
+empty texts are scored as texts without words; an empty table gives an empty result; where labels
+of one kind are missing, the classifiers reject nothing.
 """
 
 from __future__ import annotations
@@ -13,24 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from examlake.llm import near_dedup, packing, rule_ensemble, toxicity
-from examlake.llm.common import use_checkpoint_dir
+from examlake.llm.common import fresh_name, use_checkpoint_dir
 from examlake.llm.queries import table, word_bpe
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; trained on the labelled rows of ``docs``."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, out_col="_score").where("_score < 0.5").drop("_score")
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh_name(docs, "score")
+    return toxicity.with_score(docs, model, out_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.3 or more; trained on the labelled rows of ``docs``."""
-    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
-    return rule_ensemble.with_score(docs, model, out_col="_score").where("_score >= 0.3").drop("_score")
+    model, score = rule_ensemble.train(docs, table(spark, sf_dir, "labels")), fresh_name(docs, "score")
+    return rule_ensemble.with_score(docs, model, out_col=score).where(F.col(score) >= 0.3).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies (five words, likeness 0.8 or more)."""
+    """The document of least id of each group of near copies (five words, likeness 0.8 or more).
+
+    Rows that repeat an id are one document, so they stay or go together; rows without an id stay.
+    """
     kept = near_dedup.near_duplicates(docs, 80, 5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
