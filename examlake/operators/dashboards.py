@@ -16,7 +16,7 @@ def status_counts(rows: DataFrame, column: str, statuses: tuple[str, ...], total
 
 
 def examiner_analytics(examiners: DataFrame, evaluations: DataFrame, marks: DataFrame) -> DataFrame:
-    """Assigned, completed, flags, mean total and mean positive minutes for each examiner; zeros where there is nothing.
+    """Assigned, completed, returned, flags (each return is one), mean total and mean positive minutes for each examiner; zeros where there is nothing.
 
     Marks are pre-aggregated by evaluation, evaluations by examiner; no count is correlated.
     """
@@ -30,7 +30,8 @@ def examiner_analytics(examiners: DataFrame, evaluations: DataFrame, marks: Data
         .agg(
             F.count(F.lit(1)).alias("assigned"),
             F.count_if(done).alias("completed"),
-            F.sum(F.when(done, F.coalesce("flags", F.lit(0))).otherwise(0)).alias("flags"),
+            F.count_if(F.col("status") == "RETURNED").alias("returned"),
+            (F.sum(F.when(done, F.coalesce("flags", F.lit(0))).otherwise(0)) + F.count_if(F.col("status") == "RETURNED")).alias("flags"),
             F.sum(F.when(done, cents(F.col("total_marks")))).alias("_cents"),
             F.sum(F.when(worked, minutes)).alias("_minutes"),
             F.count_if(worked).alias("_worked"),
@@ -41,7 +42,7 @@ def examiner_analytics(examiners: DataFrame, evaluations: DataFrame, marks: Data
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
     return examiners.join(stats, "examiner_id", "left").select(
         "examiner_id", "examiner_name", zero(F.col("assigned"), "bigint").alias("assigned"), zero(F.col("completed"), "bigint").alias("completed"),
-        zero(F.col("flags"), "bigint").alias("flags"), zero(average, "double").alias("average_marks"), zero(duration, "double").alias("average_minutes"),
+        zero(F.col("returned"), "bigint").alias("returned"), zero(F.col("flags"), "bigint").alias("flags"), zero(average, "double").alias("average_marks"), zero(duration, "double").alias("average_minutes"),
     )
 
 

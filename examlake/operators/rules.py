@@ -13,19 +13,40 @@ ACTIVE = ("IN_PROGRESS", "SUBMITTED", "UNDER_REVIEW", "APPROVED")
 AWAITING = ("SUBMITTED", "UNDER_REVIEW", "APPROVED")
 COUNTED = ("MARKED", "FLAGGED")
 
-# Lowest percentage, grade, grade point of each band.
-GRADES = ((90.0, "A+", 10), (80.0, "A", 9), (70.0, "B+", 8), (60.0, "B", 7), (50.0, "C", 6), (40.0, "P", 4))
+# Lowest percentage, grade, grade point and classification of each band, and what is below.
+GRADES = (
+    (90.0, "A+", 10, "FIRST_CLASS_DISTINCTION"),
+    (80.0, "A", 9, "FIRST_CLASS_DISTINCTION"),
+    (70.0, "B+", 8, "FIRST_CLASS"),
+    (60.0, "B", 7, "HIGHER_SECOND_CLASS"),
+    (50.0, "C", 6, "SECOND_CLASS"),
+    (40.0, "P", 4, "PASS"),
+)
+BELOW = ("F", 0, "FAIL")
 # The answer-book states and the states that may follow each.
 BOOK_NEXT = {
     "READY": ("ASSIGNED",),
-    "ASSIGNED": ("READY", "IN_PROGRESS"),
-    "IN_PROGRESS": ("ASSIGNED", "SUBMITTED"),
+    "ASSIGNED": ("IN_PROGRESS",),
+    "IN_PROGRESS": ("SUBMITTED",),
     "SUBMITTED": ("UNDER_REVIEW", "APPROVED", "RETURNED"),
     "UNDER_REVIEW": ("APPROVED", "RETURNED"),
     "RETURNED": ("ASSIGNED", "IN_PROGRESS"),
     "APPROVED": ("FINALIZED",),
     "FINALIZED": (),
 }
+# The processing states and those that may follow each.
+PROCESSING_NEXT = {
+    "RECEIVED": ("PROCESSING", "ERROR"),
+    "PROCESSING": ("QUALITY_REVIEW", "OCR_PROCESSING", "RESCAN_REQUIRED", "FINALIZING", "FINALIZED", "READY_FOR_EVALUATION", "ERROR"),
+    "QUALITY_REVIEW": ("OCR_PROCESSING", "RESCAN_REQUIRED", "FINALIZING", "FINALIZED", "READY_FOR_EVALUATION", "ERROR"),
+    "OCR_PROCESSING": ("QUALITY_REVIEW", "FINALIZING", "FINALIZED", "READY_FOR_EVALUATION", "ERROR"),
+    "RESCAN_REQUIRED": ("PROCESSING", "RECEIVED", "ERROR"),
+    "FINALIZING": ("FINALIZED", "READY_FOR_EVALUATION", "ERROR", "QUALITY_REVIEW"),
+    "FINALIZED": ("READY_FOR_EVALUATION", "FINALIZING"),
+    "READY_FOR_EVALUATION": (),
+    "COMPLETED": ("FINALIZED", "READY_FOR_EVALUATION", "ERROR"),
+    "ERROR": ("RECEIVED", "PROCESSING"),
+}
 
 
 def issue(rule: str, severity: str, key: Column, evaluation: Column, detail: Column) -> list[Column]:
@@ -92,6 +113,40 @@ def custody(evaluations: DataFrame, book_status: Column) -> DataFrame:
     return evaluations.where(~fits).select(*issue("custody", "HIGH", _key("evaluation_id"), F.col("evaluation_id"), F.concat_ws("/", s, book_status)))
 
 
+def issues_of_marks(evaluations: DataFrame, marks: DataFrame, questions: DataFrame) -> DataFrame:
+    """The issues that :func:`duplicate_marks`, :func:`total_over_maximum`, :func:`arithmetic_gap`, :func:`per_mark` and
+    :func:`incomplete` find, from one scan and one join of the marks: an aggregation by question, then one by evaluation.
+    """
+    rows = marks.join(questions.select("question_id", "max_marks"), "question_id", "left")
+    m, s = F.col("marks"), F.col("mark_status")
+    text = lambda *c: F.concat_ws("-", *c)
+    own = text(*[F.col(c).cast("string") for c in ("evaluation_id", "question_number", "question_id")])
+    found = lambda rule, key, detail: F.struct(F.concat(F.lit(f"{rule}-"), key).alias("issue_id"), F.lit(rule).alias("rule"), detail.alias("detail"))
+    bad = lambda test, rule: F.when(test, found(rule, own, F.format_string("%.2f", "marks")))
+    row_issues = F.array_compact(F.array(bad(m < 0, "negative"), bad(m > F.col("max_marks"), "over-rubric"), bad((s == "NOT_ATTEMPTED") & (m != 0), "not-attempted-with-marks")))
+    known = F.col("max_marks").isNotNull()
+    by_question = rows.groupBy("evaluation_id", "question_number").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(known, cents(m))).alias("c"), F.sum("max_marks").alias("m"), F.sum(cents(F.col("amount"))).alias("a"),
+        F.max(s.isin("MARKED", "FLAGGED", "NOT_ATTEMPTED")).alias("seen"), F.flatten(F.collect_list(row_issues)).alias("issues"),
+    )
+    key = text(F.col("evaluation_id").cast("string"), F.col("question_number").cast("string"))
+    twice = F.when(F.col("n") > 1, found("duplicate", key, F.col("n").cast("string")))
+    sums = by_question.groupBy("evaluation_id").agg(
+        F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("a").alias("a"), F.count_if("seen").alias("seen"), F.max("question_number").cast("bigint").alias("top"),
+        F.flatten(F.collect_list(F.concat("issues", F.array_compact(F.array(twice))))).alias("issues"),
+    )
+    both = sums.join(evaluations.select("evaluation_id", "status", "total_marks"), "evaluation_id", "left")
+    there, e, gap = F.col("status").isNotNull() | F.col("total_marks").isNotNull(), F.col("evaluation_id").cast("string"), F.abs(F.col("a") - cents(F.col("total_marks")))
+    slash = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
+    whole = F.array_compact(F.array(
+        F.when(there & (F.col("c") > F.col("m") * 100), found("over-maximum", e, slash("c", "m"))), F.when(gap > 1, found("arithmetic", e, gap.cast("string"))),
+        F.when(F.col("status").isin(*AWAITING) & (F.col("seen") < F.col("top")), found("incomplete", e, slash("seen", "top"))),
+    ))
+    each = both.select("evaluation_id", F.explode(F.concat("issues", whole)).alias("i"))
+    severity = F.when(F.col("i.rule") == "arithmetic", "MEDIUM").otherwise("HIGH")
+    return each.select("i.issue_id", "i.rule", severity.alias("severity"), "evaluation_id", "i.detail")
+
+
 def all_issues(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -129,11 +184,13 @@ def first_failures(marks: DataFrame, questions: DataFrame) -> DataFrame:
 def grade(percent: Column) -> tuple[Column, Column, Column]:
     """Grade, point and classification of a percentage, which is rounded to two places first."""
     p = js_round(percent, 2)
-    name, point = F.when(p.isNull(), None), F.when(p.isNull(), None)
-    for low, g, pt in GRADES:
-        name, point = name.when(p >= low, g), point.when(p >= low, pt)
-    kind = F.when(p.isNull(), None).when(p >= 75, "DISTINCTION").when(p >= 60, "FIRST").when(p >= 50, "SECOND").when(p >= 40, "PASS").otherwise("FAIL")
-    return name.otherwise("F"), point.otherwise(0), kind
+    out = []
+    for k, below in enumerate(BELOW, 1):
+        value = F.when(p.isNull(), None)
+        for band in GRADES:
+            value = value.when(p >= band[0], band[k])
+        out.append(value.otherwise(below))
+    return tuple(out)
 
 
 def transitions(spark: SparkSession, allowed: dict[str, tuple[str, ...]]) -> DataFrame:

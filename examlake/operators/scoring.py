@@ -25,7 +25,7 @@ def consensus(scores: Column, confidences: Column, reviews: Column, maximum: Col
     a, b, c = (F.get(s, i) for i in range(3))
     upper, lower = (b - a > t) & (c - b <= t), (c - b > t) & (b - a <= t)
     marks = F.when(n == 1, a).when(high == low, a).when(n == 2, (a + b) / 2).when(upper, (b + c) / 2).when(lower, (a + b) / 2).otherwise(b)
-    strategy = F.when(n == 1, "SINGLE_FALLBACK").when(high == low, "UNANIMOUS").when((n == 3) & (upper | lower), "QUORUM").otherwise("WEIGHTED_MEDIAN")
+    strategy = F.when(n == 1, "SINGLE_FALLBACK").when(high == low, "UNANIMOUS").when((n == 3) & (upper | lower), "MAJORITY_QUORUM").otherwise("WEIGHTED_MEDIAN")
     mean = F.aggregate(confidences, F.lit(0.0), lambda x, y: x + y) / n
     confidence = F.when(agreement >= 0.9, F.least(F.lit(0.98), mean + 0.08)).when(agreement < 0.75, F.greatest(F.lit(0.4), mean - 0.2)).otherwise(mean)
     review = F.exists(reviews, lambda x: x) | (gap > 0.15) | (confidence < 0.82)

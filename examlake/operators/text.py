@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that tell nothing about a question, exam verbs among them.
-STOP_WORDS = """a about above after all also an and answer any are as at be been being below between both but by can could describe discuss do does
-each explain following for from give given has have how if in into is it its list marks more most name no not of on one or other out over page question
-same should show so some state such than that the their them then there these they this those through to two under up us use using was we were what when
-where which while who why will with would write you your""".split()
-#: What hides secrets: pattern and what stands in its place.
-REDACTIONS = ((r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*[\"']?[^\s\"'&]+[\"']?", "$1=[REDACTED]"), (r"(?i)bearer\s+[a-z0-9._-]+", "Bearer [REDACTED]"), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"[0-9]{13,19}", "[NUMBER]"))
+# Words that tell nothing about a question.
+STOP_WORDS = """a about above after again against all am an and any are aren as at be because been before being below between both briefly but
+by can cannot could describe detail did difference different discuss do does down during each either example explain few for from
+further give had has have having he her here hers herself him himself his how i if in into is it its itself just me more
+most my myself no nor not note notes of off on once only or other ought our ours ourselves out over own principle prove same
+short should so some state such suitable than that the their theirs them themselves then there these they this those through to too under
+until up very was we were what when where which while who whom why with write you your yours yourself yourselves""".split()
+# What hides secrets in error messages, pattern and replacement, in this order.
+REDACTIONS = ((r"(?i)key=[^&\s]+", "key=REDACTED"), (r"(?i)bearer\s+[^\s]+", "Bearer REDACTED"), (r"(?i)AIza[a-zA-Z0-9_\-]+", "REDACTED"), (r"(?i)AQ\.[a-zA-Z0-9_\-]+", "REDACTED"))
 
 
 def normalised(text: Column) -> Column:

@@ -17,11 +17,11 @@ QUERIES, ORACLE, query = registry()
 @query(D + """, e AS (
   SELECT v.examiner_id, v.status, v.total_marks, m.flags, date_diff('minute', v.started_at, m.submitted_at) AS minutes
   FROM evaluations v LEFT JOIN (SELECT evaluation_id, count(*) FILTER (mark_status = 'FLAGGED') AS flags, max(marked_at) AS submitted_at FROM marks GROUP BY 1) m USING (evaluation_id)),
-s AS (SELECT examiner_id, count(*) AS assigned, count(*) FILTER (status IN ('SUBMITTED', 'APPROVED')) AS completed,
-        sum(CASE WHEN status IN ('SUBMITTED', 'APPROVED') THEN coalesce(flags, 0) ELSE 0 END) AS flags,
+s AS (SELECT examiner_id, count(*) AS assigned, count(*) FILTER (status IN ('SUBMITTED', 'APPROVED')) AS completed, count(*) FILTER (status = 'RETURNED') AS returned,
+        sum(CASE WHEN status IN ('SUBMITTED', 'APPROVED') THEN coalesce(flags, 0) ELSE 0 END) + count(*) FILTER (status = 'RETURNED') AS flags,
         sum(CASE WHEN status IN ('SUBMITTED', 'APPROVED') THEN CAST(floor(total_marks * 100 + 0.5) AS BIGINT) END) AS c,
         sum(CASE WHEN status IN ('SUBMITTED', 'APPROVED') AND minutes > 0 THEN minutes END) AS mins, count(*) FILTER (status IN ('SUBMITTED', 'APPROVED') AND minutes > 0) AS worked FROM e GROUP BY 1)
-SELECT examiner_id, examiner_name, coalesce(assigned, 0)::BIGINT AS assigned, coalesce(completed, 0)::BIGINT AS completed, coalesce(flags, 0)::BIGINT AS flags,
+SELECT examiner_id, examiner_name, coalesce(assigned, 0)::BIGINT AS assigned, coalesce(completed, 0)::BIGINT AS completed, coalesce(returned, 0)::BIGINT AS returned, coalesce(flags, 0)::BIGINT AS flags,
        CASE WHEN completed > 0 THEN floor(c::DOUBLE / (completed * 100.0::DOUBLE) * 10 + 0.5) / 10 ELSE 0 END::DOUBLE AS average_marks,
        CASE WHEN worked > 0 THEN floor(mins::DOUBLE / worked + 0.5) ELSE 0 END::DOUBLE AS average_minutes
 FROM examiners LEFT JOIN s USING (examiner_id)""")
@@ -52,10 +52,14 @@ def moderation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(D + """SELECT count(*) AS scanned, count(*) FILTER (quality_status = 'PASSED') AS quality_passed, count(*) FILTER (quality_status = 'RESCAN_REQUIRED') AS rescan_required,
-count(*) FILTER (status IS NOT NULL) AS assigned, count(*) FILTER (status IN ('SUBMITTED', 'APPROVED')) AS evaluated, count(*) FILTER (status = 'APPROVED') AS approved FROM evaluations""")
+count(*) FILTER (marked) AS ocr_done, count(*) FILTER (status = 'APPROVED' AND quality_status = 'PASSED') AS finalized,
+count(*) FILTER (status IS NOT NULL) AS assigned, count(*) FILTER (status IN ('SUBMITTED', 'APPROVED')) AS evaluated, count(*) FILTER (status = 'APPROVED') AS approved
+FROM (SELECT *, EXISTS (SELECT 1 FROM marks m WHERE m.evaluation_id = e.evaluation_id) AS marked FROM evaluations e)""")
 def pipeline_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_ = lambda c, *v: F.count_if(F.col(c).isin(*v))
-    return domain.evaluations(spark, sf_dir).agg(
+    marked = domain.marks(spark, sf_dir).select("evaluation_id").distinct().withColumn("marked", F.lit(True))
+    return domain.evaluations(spark, sf_dir).join(marked, "evaluation_id", "left").agg(
+        F.count("marked").alias("ocr_done"), F.count_if((F.col("status") == "APPROVED") & (F.col("quality_status") == "PASSED")).alias("finalized"),
         F.count(F.lit(1)).alias("scanned"), is_("quality_status", "PASSED").alias("quality_passed"), is_("quality_status", "RESCAN_REQUIRED").alias("rescan_required"),
         F.count("status").alias("assigned"), is_("status", *ops.DONE).alias("evaluated"), is_("status", "APPROVED").alias("approved"),
     )
@@ -79,11 +83,11 @@ def role_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(domain.examiners(spark, sf_dir), "EXAMINER").unionByName(count(domain.moderators(spark, sf_dir), "MODERATOR"))
 
 
-@query(D + """, l AS (SELECT examiner_id, count(*) FILTER (status = 'IN_PROGRESS') AS active FROM evaluations GROUP BY 1)
+@query(D + """, l AS (SELECT examiner_id, count(*) FILTER (status IN ('ASSIGNED', 'IN_PROGRESS')) AS active FROM evaluations GROUP BY 1)
 SELECT examiner_id, coalesce(active, 0)::BIGINT AS active_load, CASE WHEN coalesce(active, 0) >= 5 THEN 'AT_CAPACITY' WHEN coalesce(active, 0) >= 2 THEN 'MODERATE' ELSE 'AVAILABLE' END AS band
 FROM examiners LEFT JOIN l USING (examiner_id)""")
 def examiner_workload_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load = domain.evaluations(spark, sf_dir).groupBy("examiner_id").agg(F.count_if(F.col("status") == "IN_PROGRESS").alias("active"))
+    load = domain.evaluations(spark, sf_dir).groupBy("examiner_id").agg(F.count_if(F.col("status").isin("ASSIGNED", "IN_PROGRESS")).alias("active"))
     active = F.coalesce("active", F.lit(0)).cast("bigint")
     return domain.examiners(spark, sf_dir).join(load, "examiner_id", "left").select("examiner_id", active.alias("active_load"), ops.capacity_band(active).alias("band"))
 
@@ -113,15 +117,16 @@ def examiner_last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(D + """SELECT v.evaluation_id, e.examiner_name, v.status, floor(v.total_marks * 100 + 0.5)::BIGINT AS total_cents, coalesce(m.c, 0)::BIGINT AS marks_cents,
-(abs(coalesce(m.c, 0) - floor(v.total_marks * 100 + 0.5)) > 1 OR v.quality_status = 'RESCAN_REQUIRED') AS anomaly
-FROM evaluations v LEFT JOIN examiners e USING (examiner_id) LEFT JOIN (SELECT evaluation_id, sum(floor(amount * 100 + 0.5)::BIGINT) AS c FROM marks GROUP BY 1) m USING (evaluation_id)
+(abs(coalesce(m.c, 0) - floor(v.total_marks * 100 + 0.5)) > 1 OR v.quality_status = 'RESCAN_REQUIRED' OR coalesce(floor(v.total_marks * 100 + 0.5) > m.mx * 100, false)) AS anomaly
+FROM evaluations v LEFT JOIN examiners e USING (examiner_id) LEFT JOIN (SELECT evaluation_id, sum(floor(amount * 100 + 0.5)::BIGINT) AS c, sum(max_marks) AS mx FROM marks LEFT JOIN questions USING (question_id) GROUP BY 1) m USING (evaluation_id)
 WHERE v.status IN ('SUBMITTED', 'UNDER_REVIEW')""")
 def moderation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = domain.evaluations(spark, sf_dir).where(F.col("status").isin("SUBMITTED", "UNDER_REVIEW"))
-    sums = domain.marks(spark, sf_dir).groupBy("evaluation_id").agg(F.sum(cents(F.col("amount"))).alias("c"))
+    rows = domain.marks(spark, sf_dir).join(domain.questions(spark, sf_dir).select("question_id", "max_marks"), "question_id", "left")
+    sums = rows.groupBy("evaluation_id").agg(F.sum(cents(F.col("amount"))).alias("c"), F.sum("max_marks").alias("mx"))
     total, c = cents(F.col("total_marks")), F.coalesce("c", F.lit(0)).cast("bigint")
     joined = queue.join(sums, "evaluation_id", "left").join(domain.examiners(spark, sf_dir).select("examiner_id", "examiner_name"), "examiner_id", "left")
-    return joined.select("evaluation_id", "examiner_name", "status", total.alias("total_cents"), c.alias("marks_cents"), ((F.abs(c - total) > 1) | (F.col("quality_status") == "RESCAN_REQUIRED")).alias("anomaly"))
+    return joined.select("evaluation_id", "examiner_name", "status", total.alias("total_cents"), c.alias("marks_cents"), ((F.abs(c - total) > 1) | (F.col("quality_status") == "RESCAN_REQUIRED") | F.coalesce(total > F.col("mx") * 100, F.lit(False))).alias("anomaly"))
 
 
 @query(D + "SELECT evaluation_id, status, examiner_name, exam, institution, institution_group FROM evaluations LEFT JOIN examiners USING (examiner_id) LEFT JOIN institutions USING (institution_id)")

@@ -11,23 +11,21 @@ from ..sources import domain
 from ..sources.domain import SQL as D
 from .ingest import boxes
 from .registry import registry
-from .rules import final_result_gate
+from .rules import _FINAL, _GATE, final_result_gate, gate_facts, submission_problems
 from .scoring import _EVIDENCE, _MEASURES, _SCENARIOS, evidence, grids, quality_verdict, scenarios
 from .statistics import _r, rounded
 
 QUERIES, ORACLE, query = registry()
 
 
-@query(D + """, s AS (SELECT evaluation_id, sum(CAST(floor(marks * 100 + 0.5) AS BIGINT)) AS c, sum(max_marks) * 100 AS m, count(*) FILTER (NOT reviewed) AS open FROM marks LEFT JOIN questions USING (question_id) GROUP BY 1)
-SELECT evaluation_id, CASE WHEN status NOT IN ('SUBMITTED', 'UNDER_REVIEW') THEN 'WRONG_STATE' WHEN quality_status = 'RESCAN_REQUIRED' THEN 'RESCAN_REQUIRED' WHEN c IS NULL THEN 'NO_MARKS' WHEN open > 0 THEN 'UNREVIEWED' WHEN c > m THEN 'ABOVE_MAXIMUM' ELSE 'OK' END AS outcome
-FROM evaluations LEFT JOIN s USING (evaluation_id)""")
+@query(D + _GATE + """SELECT evaluation_id, CASE WHEN status NOT IN ('SUBMITTED', 'UNDER_REVIEW') THEN 'WRONG_STATE' WHEN quality_status = 'RESCAN_REQUIRED' THEN 'RESCAN_REQUIRED' WHEN n IS NULL THEN 'NO_MARKS' WHEN failed > 0 THEN 'INVALID_MARKS' WHEN d < top THEN 'MISSING_QUESTIONS'
+WHEN unreviewed > 0 THEN 'UNREVIEWED' WHEN undecided > 0 THEN 'QUESTION_DECISION_REQUIRED' WHEN c > m THEN 'ABOVE_MAXIMUM' WHEN abs(a - CAST(floor(total_marks * 100 + 0.5) AS BIGINT)) > 0 THEN 'TOTAL_MISMATCH' ELSE 'OK' END AS outcome FROM g""")
 def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = domain.marks(spark, sf_dir).join(domain.questions(spark, sf_dir).select("question_id", "max_marks"), "question_id", "left")
-    s = rows.groupBy("evaluation_id").agg(F.sum(cents(F.col("marks"))).alias("c"), (F.sum("max_marks") * 100).alias("m"), F.count_if(~F.col("reviewed")).alias("open"))
     outcome = first_failure(
-        (~F.col("status").isin("SUBMITTED", "UNDER_REVIEW"), "WRONG_STATE"), (F.col("quality_status") == "RESCAN_REQUIRED", "RESCAN_REQUIRED"), (F.col("c").isNull(), "NO_MARKS"), (F.col("open") > 0, "UNREVIEWED"), (F.col("c") > F.col("m"), "ABOVE_MAXIMUM")
-    )
-    return domain.evaluations(spark, sf_dir).join(s, "evaluation_id", "left").select("evaluation_id", F.coalesce(outcome, F.lit("OK")).alias("outcome"))
+        (~F.col("status").isin("SUBMITTED", "UNDER_REVIEW"), "WRONG_STATE"), (F.col("quality_status") == "RESCAN_REQUIRED", "RESCAN_REQUIRED"), (F.col("n").isNull(), "NO_MARKS"), *submission_problems(),
+        (F.col("c") > F.col("m"), "ABOVE_MAXIMUM"), (F.abs(F.col("a") - cents(F.col("total_marks"))) > 0, "TOTAL_MISMATCH"),
+    )
+    return gate_facts(spark, sf_dir).select("evaluation_id", F.coalesce(outcome, F.lit("OK")).alias("outcome"))
 
 
 @query(D + "SELECT evaluation_id, CASE WHEN length(trim(substr(paper_set, 3, 6))) < 5 THEN 'REASON_TOO_SHORT' WHEN status NOT IN ('SUBMITTED', 'UNDER_REVIEW') THEN 'WRONG_STATE' ELSE 'OK' END AS outcome FROM evaluations")
@@ -110,11 +108,9 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("exam", *days, (F.col("days_now") - F.col("days_more")).alias("days_saved"), F.round(s / n / 34.0, 6).alias("fatigue"))
 
 
-@query(D + """, s AS (SELECT evaluation_id, sum(CAST(floor(amount * 100 + 0.5) AS BIGINT)) AS c FROM marks GROUP BY 1),
-g AS (SELECT examiner_id, CASE WHEN status <> 'APPROVED' THEN 'NOT_APPROVED' WHEN quality_status = 'RESCAN_REQUIRED' THEN 'RESCAN_REQUIRED' WHEN c IS NULL THEN 'NO_MARKS' WHEN abs(c - CAST(floor(total_marks * 100 + 0.5) AS BIGINT)) > 0 THEN 'TOTAL_MISMATCH' ELSE 'OK' END AS outcome, status
- FROM evaluations LEFT JOIN s USING (evaluation_id))
+@query(D + _GATE + f""", o AS (SELECT examiner_id, status, {_FINAL} AS outcome FROM g)
 SELECT exam, count(*) FILTER (outcome = 'OK') AS finalized, count(*) FILTER (status = 'APPROVED') AS approved, count(*) FILTER (status = 'APPROVED' AND outcome <> 'OK') AS errors,
-array_to_string(list_sort(list_distinct(list(outcome) FILTER (outcome <> 'OK'))), ',') AS error_codes FROM g JOIN examiners USING (examiner_id) GROUP BY 1""")
+array_to_string(list_sort(list_distinct(list(outcome) FILTER (outcome <> 'OK'))), ',') AS error_codes FROM o JOIN examiners USING (examiner_id) GROUP BY 1""")
 def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = domain.examiners(spark, sf_dir).select("examiner_id", "exam")
     rows = domain.evaluations(spark, sf_dir).select("evaluation_id", "examiner_id", "status").join(final_result_gate(spark, sf_dir), "evaluation_id").join(people, "examiner_id")

@@ -65,7 +65,7 @@ def integrity_custody(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(D + _ALL)
 def integrity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev, mk, qs = domain.evaluations(spark, sf_dir), domain.marks(spark, sf_dir), domain.questions(spark, sf_dir)
-    return ops.all_issues(ops.duplicate_marks(mk), ops.total_over_maximum(ev, mk, qs), ops.arithmetic_gap(ev, mk), ops.per_mark(mk, qs), ops.incomplete(ev, mk), ops.rescan_breach(ev), ops.custody(ev, book_status()))
+    return ops.all_issues(ops.issues_of_marks(ev, mk, qs), ops.rescan_breach(ev), ops.custody(ev, book_status()))
 
 
 @query(D + f"SELECT severity, rule, count(*) AS n, count(DISTINCT evaluation_id) AS evaluations FROM ({_ALL}) GROUP BY severity, rule")
@@ -114,7 +114,7 @@ _PERCENT = """, s AS (SELECT evaluation_id, sum(CASE WHEN mark_status IN ('MARKE
 p AS (SELECT evaluation_id, floor(CASE WHEN m <> 0 THEN c::DOUBLE / m ELSE 0 END * 100 + 0.5) / 100 AS percent FROM s),
 g AS (SELECT evaluation_id, percent, CASE WHEN percent >= 90 THEN 'A+' WHEN percent >= 80 THEN 'A' WHEN percent >= 70 THEN 'B+' WHEN percent >= 60 THEN 'B' WHEN percent >= 50 THEN 'C' WHEN percent >= 40 THEN 'P' ELSE 'F' END AS grade,
 CASE WHEN percent >= 90 THEN 10 WHEN percent >= 80 THEN 9 WHEN percent >= 70 THEN 8 WHEN percent >= 60 THEN 7 WHEN percent >= 50 THEN 6 WHEN percent >= 40 THEN 4 ELSE 0 END AS point,
-CASE WHEN percent >= 75 THEN 'DISTINCTION' WHEN percent >= 60 THEN 'FIRST' WHEN percent >= 50 THEN 'SECOND' WHEN percent >= 40 THEN 'PASS' ELSE 'FAIL' END AS classification FROM p)
+CASE WHEN percent >= 80 THEN 'FIRST_CLASS_DISTINCTION' WHEN percent >= 70 THEN 'FIRST_CLASS' WHEN percent >= 60 THEN 'HIGHER_SECOND_CLASS' WHEN percent >= 50 THEN 'SECOND_CLASS' WHEN percent >= 40 THEN 'PASS' ELSE 'FAIL' END AS classification FROM p)
 """
 
 
@@ -136,15 +136,62 @@ def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_classification(spark, sf_dir).groupBy("grade").agg(F.count(F.lit(1)).alias("n"), F.min("percent").alias("lowest"), F.max("percent").alias("highest"))
 
 
-@query(D + """, s AS (SELECT evaluation_id, sum(CAST(floor(amount * 100 + 0.5) AS BIGINT)) AS c FROM marks GROUP BY 1)
-SELECT evaluation_id, CASE WHEN status <> 'APPROVED' THEN 'NOT_APPROVED' WHEN quality_status = 'RESCAN_REQUIRED' THEN 'RESCAN_REQUIRED' WHEN c IS NULL THEN 'NO_MARKS'
-WHEN abs(c - CAST(floor(total_marks * 100 + 0.5) AS BIGINT)) > 0 THEN 'TOTAL_MISMATCH' ELSE 'OK' END AS outcome FROM evaluations LEFT JOIN s USING (evaluation_id)""")
-def final_result_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = domain.marks(spark, sf_dir).groupBy("evaluation_id").agg(F.sum(cents(F.col("amount"))).alias("c"))
+# The order and the codes of the checks before a result is final.
+_GATE = _FAIL + f""", s AS (SELECT evaluation_id, count(*) AS n, sum({_C.format('amount')}) AS a, sum({_C.format('marks')}) AS c, sum(max_marks) * 100 AS m, count(code) AS failed, count(DISTINCT question_number) AS d, max(question_number) AS top, count(*) FILTER (NOT reviewed) AS unreviewed,
+  count(*) FILTER (reviewed AND mark_status = 'NOT_STARTED') AS undecided FROM f GROUP BY 1),
+g AS (SELECT e.*, {_BOOK} AS book, s.* EXCLUDE (evaluation_id) FROM evaluations e LEFT JOIN s USING (evaluation_id))
+"""
+_FINAL = """CASE WHEN status <> 'APPROVED' THEN 'INVALID_EVALUATION_STATUS' WHEN book <> 'APPROVED' THEN 'INVALID_ANSWER_BOOK_STATUS' WHEN n IS NULL THEN 'NO_QUESTION_MARKS' WHEN failed > 0 THEN 'INVALID_MARKS' WHEN d < top THEN 'MISSING_QUESTIONS'
+WHEN unreviewed > 0 THEN 'UNREVIEWED' WHEN undecided > 0 THEN 'QUESTION_DECISION_REQUIRED' WHEN abs(a - CAST(floor(total_marks * 100 + 0.5) AS BIGINT)) > 0 THEN 'TOTAL_MARKS_MISMATCH' WHEN coalesce(m, 0) <= 0 THEN 'INVALID_EXAM_MAXIMUM_MARKS' WHEN c > m THEN 'TOTAL_EXCEEDS_EXAM_MAXIMUM' ELSE 'OK' END"""
+
+
+def gate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each evaluation with the sums and failures of its marks, and its book's state; the amounts stand in for the recorded total's parts."""
+    rows = ops.mark_failures(domain.marks(spark, sf_dir), domain.questions(spark, sf_dir))
+    sums = rows.groupBy("evaluation_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("amount"))).alias("a"), F.sum(cents(F.col("marks"))).alias("c"), (F.sum("max_marks") * 100).alias("m"), F.count("code").alias("failed"),
+        F.count_distinct("question_number").alias("d"), F.max("question_number").alias("top"), F.count_if(~F.col("reviewed")).alias("unreviewed"), F.count_if(F.col("reviewed") & (F.col("mark_status") == "NOT_STARTED")).alias("undecided"),
+    )
+    return domain.evaluations(spark, sf_dir).withColumn("book", book_status()).join(sums, "evaluation_id", "left")
+
+
+def submission_problems() -> tuple:
+    """The checks of a submission, in order: marks, missing, not reviewed, reviewed but undecided."""
+    return ((F.col("failed") > 0, "INVALID_MARKS"), (F.col("d") < F.col("top"), "MISSING_QUESTIONS"), (F.col("unreviewed") > 0, "UNREVIEWED"), (F.col("undecided") > 0, "QUESTION_DECISION_REQUIRED"))
+
+
+def final_outcome():
+    mismatch = F.abs(F.col("a") - cents(F.col("total_marks"))) > 0
     outcome = first_failure(
-        (F.col("status") != "APPROVED", "NOT_APPROVED"), (F.col("quality_status") == "RESCAN_REQUIRED", "RESCAN_REQUIRED"), (F.col("c").isNull(), "NO_MARKS"), (F.abs(F.col("c") - cents(F.col("total_marks"))) > 0, "TOTAL_MISMATCH")
-    )
-    return domain.evaluations(spark, sf_dir).join(sums, "evaluation_id", "left").select("evaluation_id", F.coalesce(outcome, F.lit("OK")).alias("outcome"))
+        (F.col("status") != "APPROVED", "INVALID_EVALUATION_STATUS"), (F.col("book") != "APPROVED", "INVALID_ANSWER_BOOK_STATUS"), (F.col("n").isNull(), "NO_QUESTION_MARKS"), *submission_problems(),
+        (mismatch, "TOTAL_MARKS_MISMATCH"), (F.coalesce("m", F.lit(0)) <= 0, "INVALID_EXAM_MAXIMUM_MARKS"), (F.col("c") > F.col("m"), "TOTAL_EXCEEDS_EXAM_MAXIMUM"),
+    )
+    return F.coalesce(outcome, F.lit("OK"))
+
+
+@query(D + _GATE + f"SELECT evaluation_id, {_FINAL} AS outcome FROM g")
+def final_result_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate_facts(spark, sf_dir).select("evaluation_id", final_outcome().alias("outcome"))
+
+
+@query(D + _GATE + """SELECT evaluation_id, CASE WHEN failed > 0 THEN 'INVALID_MARKS' WHEN d < top THEN 'MISSING_QUESTIONS' WHEN unreviewed > 0 THEN 'UNREVIEWED' WHEN undecided > 0 THEN 'QUESTION_DECISION_REQUIRED'
+WHEN CASE WHEN m > 0 THEN m ELSE 10000 END > 0 AND c > CASE WHEN m > 0 THEN m ELSE 10000 END THEN 'TOTAL_EXCEEDS_EXAM_MAXIMUM' ELSE 'OK' END AS outcome, c / 100.0::DOUBLE AS computed_total, CASE WHEN m > 0 THEN m ELSE 10000 END / 100.0::DOUBLE AS maximum FROM g WHERE n IS NOT NULL""")
+def submission_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submission against the sum of the questions' maxima, or the exam's (100 here) where that is not positive."""
+    cap = F.when(F.col("m") > 0, F.col("m")).otherwise(10000)
+    outcome = first_failure(*submission_problems(), ((cap > 0) & (F.col("c") > cap), "TOTAL_EXCEEDS_EXAM_MAXIMUM"))
+    return gate_facts(spark, sf_dir).where("n is not null").select("evaluation_id", F.coalesce(outcome, F.lit("OK")).alias("outcome"), (F.col("c") / 100.0).alias("computed_total"), (cap / 100.0).alias("maximum"))
+
+
+@query(D + _GATE + """SELECT evaluation_id, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'No question has marks.' END, CASE WHEN unreviewed > 0 THEN unreviewed || ' questions are not reviewed.' END, CASE WHEN c > m THEN 'The total is above the maximum.' END,
+CASE WHEN quality_status = 'RESCAN_REQUIRED' THEN 'Pages wait for a new scan.' END], lambda x: x IS NOT NULL), ' ') AS problems FROM g""")
+def client_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason in words; valid where there is none."""
+    says = F.array_compact(F.array(
+        F.when(F.col("n").isNull(), "No question has marks."), F.when(F.col("unreviewed") > 0, F.concat(F.col("unreviewed").cast("string"), F.lit(" questions are not reviewed."))),
+        F.when(F.col("c") > F.col("m"), "The total is above the maximum."), F.when(F.col("quality_status") == "RESCAN_REQUIRED", "Pages wait for a new scan."),
+    ))
+    return gate_facts(spark, sf_dir).select("evaluation_id", F.array_join(says, " ").alias("problems"))
 
 
 _STATE = "CASE event_type WHEN 'signup' THEN 'READY' WHEN 'view' THEN 'ASSIGNED' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'SUBMITTED' ELSE 'RETURNED' END"
@@ -167,6 +214,20 @@ def status_transitions_illegal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.illegal_steps(book_steps(spark, sf_dir), ops.BOOK_NEXT).select("event_id", "user_id", "before", "after")
 
 
+_PROCESSING = "CASE event_type WHEN 'signup' THEN 'RECEIVED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'OCR_PROCESSING' WHEN 'purchase' THEN 'FINALIZED' ELSE 'ERROR' END"
+_ALLOWED_PROCESSING = ", ".join(f"('{a}', '{b}')" for a, to in ops.PROCESSING_NEXT.items() for b in (a, *to))
+
+
+@query(f"""WITH s AS (SELECT event_id, user_id, {_PROCESSING} AS after, lag({_PROCESSING}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), allowed(a, b) AS (VALUES {_ALLOWED_PROCESSING})
+SELECT event_id, user_id, before, after FROM s WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM allowed WHERE a = before AND b = after)""")
+def processing_transitions_illegal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_type")
+    state = F.when(e == "signup", "RECEIVED").when(e == "view", "PROCESSING").when(e == "click", "OCR_PROCESSING").when(e == "purchase", "FINALIZED").otherwise("ERROR")
+    rows = domain.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", state.alias("after"))
+    steps = rows.withColumn("before", F.lag("after").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return ops.illegal_steps(steps, ops.PROCESSING_NEXT).select("event_id", "user_id", "before", "after")
+
+
 @query(f"SELECT user_id, {_STATE} AS status, ts AS since, n AS n_events FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def status_fold_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max(F.struct("ts", "event_id", "after"))

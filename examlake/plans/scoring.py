@@ -21,7 +21,7 @@ q AS (SELECT *, list_sort(([s1, s2, s3])[1:n]) AS s, ([c1, c2, 0.9::DOUBLE])[1:n
 g AS (SELECT *, s[n] - s[1] AS range, CASE WHEN m > 0 THEN (s[n] - s[1]) / m ELSE 0 END AS gap, m * 0.18::DOUBLE AS t, ((0::DOUBLE + c[1]) + CASE WHEN n > 1 THEN c[2] ELSE 0 END + CASE WHEN n > 2 THEN c[3] ELSE 0 END) / n AS mean FROM q),
 x AS (SELECT *, least(greatest(1 - gap, 0::DOUBLE), 1::DOUBLE) AS agreement, n = 3 AND ((s[2] - s[1] > t AND s[3] - s[2] <= t)) AS upper, n = 3 AND ((s[3] - s[2] > t AND s[2] - s[1] <= t)) AS lower FROM g),
 k AS (SELECT *, CASE WHEN n = 1 THEN s[1] WHEN range = 0 THEN s[1] WHEN n = 2 THEN (s[1] + s[2]) / 2 WHEN upper THEN (s[2] + s[3]) / 2 WHEN lower THEN (s[1] + s[2]) / 2 ELSE s[2] END AS marks,
-  CASE WHEN n = 1 THEN 'SINGLE_FALLBACK' WHEN range = 0 THEN 'UNANIMOUS' WHEN upper OR lower THEN 'QUORUM' ELSE 'WEIGHTED_MEDIAN' END AS strategy,
+  CASE WHEN n = 1 THEN 'SINGLE_FALLBACK' WHEN range = 0 THEN 'UNANIMOUS' WHEN upper OR lower THEN 'MAJORITY_QUORUM' ELSE 'WEIGHTED_MEDIAN' END AS strategy,
   CASE WHEN agreement >= 0.9::DOUBLE THEN least(0.98::DOUBLE, mean + 0.08::DOUBLE) WHEN agreement < 0.75::DOUBLE THEN greatest(0.4::DOUBLE, mean - 0.2::DOUBLE) ELSE mean END AS confidence FROM x),
 o AS (SELECT evaluation_id, question_number, question_id, moderator_id, least(greatest(floor(marks * 10 + 0.5::DOUBLE) / 10, 0::DOUBLE), m) AS marks, strategy, floor(range * 10 + 0.5::DOUBLE) / 10 AS score_range, floor(agreement * 100 + 0.5::DOUBLE) / 100 AS agreement,
   floor(confidence * 100 + 0.5::DOUBLE) / 100 AS confidence, (flag OR gap > 0.15::DOUBLE OR confidence < 0.82::DOUBLE) AS needs_review FROM k)

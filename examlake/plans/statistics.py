@@ -236,11 +236,21 @@ def explicit_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("question_id"), tx.explicit_header(text).alias("header"))
 
 
-@query(r"""SELECT doc_id, t AS redacted, (t <> text) AS changed FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-'(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*["'']?[^\s"''&]+["'']?', '\1=[REDACTED]', 'g'), '(?i)bearer\s+[a-z0-9._-]+', 'Bearer [REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{13,19}', '[NUMBER]', 'g') AS t FROM documents)""")
+def _redacted_sql(text: str) -> str:
+    for pattern, to in tx.REDACTIONS:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
+# Each text and, where its id is even, the secrets that an error message may carry.
+_MESSAGE = "text || CASE WHEN doc_id % 2 = 0 THEN ' GET /v1?key=abc' || doc_id || '&x=1 Authorization: bearer tok.' || doc_id || ' AIzaSy_' || doc_id || '-x AQ.Ab8' || doc_id ELSE '' END"
+
+
+@query(f"SELECT doc_id, md5({_redacted_sql('t')}) AS redacted, ({_redacted_sql('t')} <> t) AS changed FROM (SELECT doc_id, {_MESSAGE} AS t FROM documents)")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = domain.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", tx.redacted(F.col("text")).alias("redacted"), (tx.redacted(F.col("text")) != F.col("text")).alias("changed"))
+    rows = domain.table(spark, sf_dir, "documents").select("doc_id", F.expr(_MESSAGE).alias("t"))
+    clean = tx.redacted(F.col("t"))
+    return rows.select("doc_id", F.md5(clean.cast("binary")).alias("redacted"), (clean != F.col("t")).alias("changed"))
 
 
 @query("""WITH a AS (SELECT source, string_agg('--- Page ' || n || ' ---' || chr(10) || text, chr(10) ORDER BY n) AS t, count(*) AS n_pages FROM (SELECT source, text, row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS n, doc_id // 100 AS book FROM documents) GROUP BY source, book)

@@ -20,21 +20,27 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 8).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def rate_limited(events: DataFrame, seconds: int = 60, limit: int = 120) -> DataFrame:
+def _timely(events: DataFrame, delay: str) -> DataFrame:
+    """On a stream, events later than ``delay`` behind the newest are dropped, which bounds what is kept; a table has all."""
+    return events.withWatermark("ts", delay) if events.isStreaming else events
+
+
+def rate_limited(events: DataFrame, seconds: int = 60, limit: int = 120, delay: str = "1 day") -> DataFrame:
     """Windows in which a user sent more than ``limit`` events; the same on a table or a stream."""
-    counts = events.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = _timely(events, delay).groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return counts.where(F.col("n") > limit).select("user_id", F.col("w.start").alias("window_start"), "n")
 
 
-def windowed(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+def windowed(events: DataFrame, width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Events of each type by window, and how many users they come from: ``users`` on a table, ``about_users`` on a stream, which cannot count them exactly."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users") if not events.isStreaming else F.approx_count_distinct("user_id").alias("users")).select(
-        "event_type", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "users"
-    )
+    users = F.approx_count_distinct("user_id").alias("about_users") if events.isStreaming else F.count_distinct("user_id").alias("users")
+    counts = _timely(events, delay).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), users)
+    return counts.select("event_type", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", counts.columns[-1])
 
 
-def sessions(events: DataFrame, gap: str) -> DataFrame:
-    return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+def sessions(events: DataFrame, gap: str, delay: str = "1 day") -> DataFrame:
+    return _timely(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def once_each(events: DataFrame, delay: str = "1 day") -> DataFrame:
