@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, events, gates, ingest, rules, scoring, statistics
+from . import dashboards, events, gates, ingest, rules, scopes, scoring, statistics
 
-MODULES: tuple = (dashboards, rules, statistics, scoring, events, ingest, gates)
+MODULES: tuple = (dashboards, rules, statistics, scoring, events, ingest, gates, scopes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
