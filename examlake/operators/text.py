@@ -70,24 +70,55 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
     return rate(normalised(reference), normalised(hypothesis))
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def profile_terms(text: Column) -> Column:
-    """Distinct unigrams (three letters and more, no number, no stop word) and bigrams of such words, in order."""
-    words = tokens(text)
-    good = lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(STOP_WORDS)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(good(a) & good(b), F.concat_ws(" ", a, b)))
-    return F.array_distinct(F.concat(F.filter(words, good), F.array_compact(pairs)))
+def _telling(word: Column, least: int = 3) -> Column:
+    return (F.length(word) >= least) & ~word.isin(STOP_WORDS)
 
 
-def keyword_score(page_terms: Column, profile: Column) -> tuple[Column, Column]:
-    """(hits, score): share of the profile found, with a boost at 2, 3 and 4 hits; 0 to 0.98."""
-    hits = F.size(F.array_intersect(page_terms, profile))
-    share = F.when(F.size(profile) > 0, hits / F.size(profile)).otherwise(0.0)
-    boost = F.when(hits >= 4, 0.35).when(hits >= 3, 0.25).when(hits >= 2, 0.15).otherwise(0.0)
-    return hits, F.least(F.lit(0.98), 0.55 * share + boost)
+def profile_keywords(text: Column) -> Column:
+    """Distinct words that tell something (no stop word, no number): of three letters with hyphens as spaces, of four with hyphens left out."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    good = lambda n: lambda w: _telling(w, n) & ~w.rlike("^[0-9]+$")
+    return F.array_distinct(F.concat(F.filter(_words(F.replace(low, F.lit("-"), F.lit(" "))), good(3)), F.filter(_words(F.replace(low, F.lit("-"), F.lit(""))), good(4))))
+
+
+def profile_phrases(text: Column) -> Column:
+    """Distinct runs of two and three telling words, hyphens as spaces."""
+    words = _words(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("-"), F.lit(" ")))
+    good = F.transform(words, lambda w: F.when(_telling(w), w))
+    at = lambda i, k: F.get(good, i + k)
+    runs = F.transform(good, lambda w, i: F.array(F.when(w.isNotNull() & at(i, 1).isNotNull(), F.concat_ws(" ", w, at(i, 1))), F.when(w.isNotNull() & at(i, 1).isNotNull() & at(i, 2).isNotNull(), F.concat_ws(" ", w, at(i, 1), at(i, 2)))))
+    return F.array_distinct(F.array_compact(F.flatten(runs)))
+
+
+def profile_terms(profiles: DataFrame) -> DataFrame:
+    """``question_id``, ``term``, ``phrase`` (whether it is one): a row for each term of each profile."""
+    named = F.concat(
+        F.transform(profile_keywords(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(False).alias("phrase"))),
+        F.transform(profile_phrases(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(True).alias("phrase"))),
+    )
+    return profiles.select("question_id", F.explode(named).alias("t")).select("question_id", "t.*")
+
+
+def page_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """``page_id``, ``term``: which of ``terms`` stand on each page, as whole words; a phrase with one space (or hyphen) between its words.
+
+    Each page is split into words once (and once more without hyphens, where it has any); words that
+    no term has are dropped by a join with the terms' words, and only then are phrases put together.
+    """
+    low = F.lower("text")
+    forms = F.array_compact(F.array(F.replace(low, F.lit("-"), F.lit(" ")), F.when(F.contains(low, F.lit("-")), F.replace(low, F.lit("-"), F.lit("")))))
+    # What is neither a word's letter nor a space stands as a word of its own, so it keeps its neighbours apart.
+    split = pages.select("page_id", F.posexplode(forms).alias("form", "t")).select("page_id", "form", F.posexplode(F.split(F.regexp_replace("t", "[^a-z0-9_ ]", " | "), " ")).alias("at", "word"))
+    known = terms.select(F.explode(F.split("term", " ")).alias("word")).distinct()
+    kept = split.where("word <> '' and word <> '|'").join(known, "word")
+    words = kept.groupBy("page_id", "form").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+    nxt = lambda x, i, k: F.when(F.get("w", i + k).getField("at") == x.at + k, F.get("w", i + k).getField("word"))
+    grams = F.transform("w", lambda x, i: F.array(x.word, F.concat(x.word, F.lit(" "), nxt(x, i, 1)), F.concat(x.word, F.lit(" "), nxt(x, i, 1), F.lit(" "), nxt(x, i, 2))))
+    return words.select("page_id", F.explode(F.array_distinct(F.array_compact(F.flatten(grams)))).alias("term")).distinct()
 
 
 def explicit_header(text: Column) -> Column:
@@ -119,15 +150,22 @@ def header_numbers(text: Column) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower(text), F.lit(p), 1) for p in _HEADERS]))
 
 
-def _passing(pages: DataFrame, profiles: DataFrame, least: float) -> DataFrame:
-    """``page_id``, ``question_id``, ``hits``, ``score`` of each pair that shares enough profile terms, through an equi-join on terms."""
-    terms = profiles.select("question_id", F.explode(profile_terms(F.col("text"))).alias("term"))
-    sizes = profiles.select("question_id", F.size(profile_terms(F.col("text"))).alias("n_terms"))
-    found = pages.select("page_id", F.explode(profile_terms(F.col("text"))).alias("term"))
-    hits = found.join(terms, "term").groupBy("page_id", "question_id").agg(F.count(F.lit(1)).alias("hits")).join(sizes, "question_id")
-    boost = F.when(F.col("hits") >= 4, 0.35).when(F.col("hits") >= 3, 0.25).when(F.col("hits") >= 2, 0.15).otherwise(0.0)
-    scored = hits.withColumn("score", F.least(F.lit(0.98), 0.55 * F.col("hits") / F.col("n_terms") + boost))
-    return scored.where((F.col("score") >= least) | ((F.col("hits") >= 3) & (F.col("score") >= 0.4)))
+def page_scores(pages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``page_id``, ``question_id``, ``hits`` (keywords), ``phrases`` and ``score`` of each pair that shares a term.
+
+    0.25 for each phrase, at most 0.55; 0.55 times the share of keywords; 0.15, 0.25 and 0.35 more for two, three and four keywords; at most 0.98.
+    """
+    terms = profile_terms(profiles)
+    sizes = terms.groupBy("question_id").agg(F.greatest(F.lit(1), F.count_if(~F.col("phrase"))).alias("n_keywords"))
+    found = page_terms(pages, terms).join(terms, "term").groupBy("page_id", "question_id").agg(F.count_if(~F.col("phrase")).alias("hits"), F.count_if("phrase").alias("phrases"))
+    hits = F.col("hits")
+    boost = F.when(hits >= 4, 0.35).when(hits >= 3, 0.25).when(hits >= 2, 0.15).otherwise(0.0)
+    score = F.least(F.lit(0.98), F.least(F.lit(0.55), 0.25 * F.col("phrases")) + 0.55 * hits / F.col("n_keywords") + boost)
+    return found.join(sizes, "question_id").select("page_id", "question_id", "hits", "phrases", score.alias("score"))
+
+
+def _passes(least: float) -> Column:
+    return (F.col("score") >= least) | ((F.col("hits") >= 3) & (F.col("score") >= 0.4))
 
 
 def _confidence(score: Column) -> Column:
@@ -140,18 +178,49 @@ def map_pages(pages: DataFrame, profiles: DataFrame, least: float = 0.5) -> Data
     ``pages``: ``page_id``, ``text``; ``profiles``: ``question_id``, ``text``. Pages that share no term
     with any profile, or score below ``least``, give no row. Ties go to the smaller question.
     """
-    best = F.max(F.struct(F.col("score"), (-F.col("question_id")).alias("q"), F.col("hits")))
-    by_page = _passing(pages, profiles, least).groupBy("page_id").agg(best.alias("b"))
-    return by_page.select("page_id", (-F.col("b.q")).alias("question_id"), F.col("b.hits").alias("hits"), F.col("b.score").alias("score"), _confidence(F.col("b.score")).alias("confidence"))
+    best = F.max(F.struct(F.col("score"), (-F.col("question_id")).alias("q"), F.col("hits"), F.col("phrases")))
+    by_page = page_scores(pages, profiles).where(_passes(least)).groupBy("page_id").agg(best.alias("b"))
+    return by_page.select("page_id", (-F.col("b.q")).alias("question_id"), F.col("b.hits").alias("hits"), F.col("b.phrases").alias("phrases"), F.col("b.score").alias("score"), _confidence(F.col("b.score")).alias("confidence"))
+
+
+def page_headers(pages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``page_id``, ``question_id`` of each question that a header on the page names."""
+    named = pages.select("page_id", F.explode(header_numbers(F.col("text"))).alias("number"))
+    return named.join(profiles.select("question_id", F.col("question_id").cast("string").alias("number")), "number").select("page_id", "question_id")
+
+
+def combined(headers: DataFrame, scores: DataFrame, least: float = 0.5) -> DataFrame:
+    pairs = headers.withColumn("header", F.lit(True)).join(scores.where(_passes(least)), ["page_id", "question_id"], "full_outer")
+    source = F.when(F.col("header"), "AUTO_EXPLICIT").otherwise("AUTO_SEMANTIC")
+    return pairs.select("page_id", "question_id", "hits", "phrases", "score", source.alias("source"), F.when(F.col("header"), 0.85).otherwise(_confidence(F.col("score"))).alias("confidence"))
 
 
 def map_page_questions(pages: DataFrame, profiles: DataFrame, least: float = 0.5) -> DataFrame:
     """Every question of each page: those that a header on it names, and those that share enough profile terms.
 
-    Takes what :func:`map_pages` takes. ``hits`` and ``score`` are null where the header alone tells.
+    Takes what :func:`map_pages` takes. ``hits``, ``phrases`` and ``score`` are null where the header alone tells.
     """
-    named = pages.select("page_id", F.explode(header_numbers(F.col("text"))).alias("number"))
-    headers = named.join(profiles.select("question_id", F.col("question_id").cast("string").alias("number")), "number").select("page_id", "question_id", F.lit(True).alias("header"))
-    pairs = headers.join(_passing(pages, profiles, least), ["page_id", "question_id"], "full_outer")
-    source = F.when(F.col("header"), "AUTO_EXPLICIT").otherwise("AUTO_SEMANTIC")
-    return pairs.select("page_id", "question_id", "hits", "score", source.alias("source"), F.when(F.col("header"), 0.85).otherwise(_confidence(F.col("score"))).alias("confidence"))
+    return combined(page_headers(pages, profiles), page_scores(pages, profiles), least)
+
+
+# What tells that a page goes on.
+CUES = ("continued", "contd", "example:", "for example", "algorithm:", "steps:", "advantages:", "disadvantages:", "diagram:", "hence proven", "code:")
+
+
+def continuations(pages: DataFrame, mapped: DataFrame, headers: DataFrame, scores: DataFrame) -> DataFrame:
+    """Pages behind a mapped one that go on with its question, one step.
+
+    A page of at least 20 characters that names no other question in a header and shares two keywords, a
+    phrase or a score of 0.35 with the question, or one keyword where it has a cue; pairs that are
+    mapped already give no row.
+    """
+    cue = F.lit(False)
+    for c in CUES:
+        cue = cue | F.contains(F.lower("text"), F.lit(c))
+    following = mapped.select((F.col("page_id") + 1).alias("page_id"), "question_id", "confidence").join(mapped.select("page_id", "question_id"), ["page_id", "question_id"], "left_anti")
+    long = pages.where(F.char_length(F.trim("text")) >= 20).select("page_id", cue.alias("cue"))
+    own = following.join(scores, ["page_id", "question_id"]).join(long, "page_id")
+    own = own.where((F.col("hits") >= 2) | (F.col("phrases") >= 1) | (F.col("score") >= 0.35) | (F.col("cue") & (F.col("hits") >= 1)))
+    of_page = headers.groupBy("page_id").agg(F.min("question_id").alias("low"), F.max("question_id").alias("top"))
+    clear = own.join(of_page, "page_id", "left").where("low is null or (low = question_id and top = question_id)")
+    return clear.select("page_id", "question_id", "hits", "phrases", F.lit("AUTO_CONTINUATION").alias("source"), "confidence")

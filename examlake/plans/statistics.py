@@ -182,47 +182,85 @@ def ocr_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_GOOD = "len({0}) >= {1} AND {0} NOT IN (" + _STOP + ")"
+_SP = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]*"
+
+
+def _profile(hyphen: str, name: str) -> str:
+    return f"{name} AS (SELECT item_id AS q, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, list_filter(string_split(regexp_replace(replace(lower(coalesce(text, '')), '-', '{hyphen}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM benchmark))"
+
+
+# Terms of profiles; words of pages with their places, in both forms; terms on pages; scores; headers; pairs.
+_PROFILES = f"""{_profile(' ', 'pw')}, {_profile('', 'pc')},
+p AS (SELECT DISTINCT q, ws[i] AS term, false AS phrase FROM pw WHERE {_GOOD.format('ws[i]', 3)} AND NOT regexp_matches(ws[i], '^[0-9]+$') UNION SELECT q, ws[i], false FROM pc WHERE {_GOOD.format('ws[i]', 4)} AND NOT regexp_matches(ws[i], '^[0-9]+$')
+ UNION SELECT q, ws[i] || ' ' || ws[i + 1], true FROM pw WHERE i < len(ws) AND {_GOOD.format('ws[i]', 3)} AND {_GOOD.format('ws[i + 1]', 3)}
+ UNION SELECT q, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2], true FROM pw WHERE i + 1 < len(ws) AND {_GOOD.format('ws[i]', 3)} AND {_GOOD.format('ws[i + 1]', 3)} AND {_GOOD.format('ws[i + 2]', 3)})"""
+_MAPPED = f"""WITH {_PROFILES},
+tf AS (SELECT doc_id, 0 AS form, replace(lower(text), '-', ' ') AS t FROM documents UNION ALL SELECT doc_id, 1, replace(lower(text), '-', '') FROM documents WHERE text LIKE '%-%'),
+tw AS (SELECT doc_id, form, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, form, string_split(regexp_replace(t, '[^a-z0-9_ ]', ' | ', 'g'), ' ') AS ws FROM tf)),
+g AS (SELECT DISTINCT doc_id AS page_id, term FROM (SELECT doc_id, ws[i] AS term FROM tw UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM tw WHERE i < len(ws) UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM tw WHERE i + 1 < len(ws))),
+z AS (SELECT q, greatest(1, count(*) FILTER (NOT phrase)) AS n FROM p GROUP BY 1),
+h AS (SELECT page_id, q AS question_id, count(*) FILTER (NOT phrase) AS hits, count(*) FILTER (phrase) AS phrases FROM g JOIN p USING (term) GROUP BY ALL),
+s AS (SELECT page_id, question_id, hits, phrases, least(0.98::DOUBLE, least(0.55::DOUBLE, 0.25::DOUBLE * phrases) + 0.55::DOUBLE * hits / n + CASE WHEN hits >= 4 THEN 0.35::DOUBLE WHEN hits >= 3 THEN 0.25 WHEN hits >= 2 THEN 0.15 ELSE 0 END) AS score FROM h JOIN z ON z.q = question_id),
+ok AS (SELECT * FROM s WHERE score >= 0.5 OR (hits >= 3 AND score >= 0.4)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, question_id) AS k FROM ok),
+m AS (SELECT page_id, question_id, hits, phrases, round(score, 6) AS score, round(least(0.96::DOUBLE, greatest(0.7::DOUBLE, score + 0.15::DOUBLE)), 6) AS confidence FROM b WHERE k = 1),
+hd AS (SELECT DISTINCT page_id, item_id AS question_id FROM (SELECT doc_id AS page_id, unnest(list_concat(regexp_extract_all(lower(text), '(?:question|q|ans|answer){_SP}#?{_SP}([0-9]+)\\b', 1), regexp_extract_all(lower(text), '\\b([0-9]+){_SP}[.)-]{_SP}[a-z]', 1), regexp_extract_all(lower(text), '\\bq\\.?{_SP}([0-9]+)\\b', 1))) AS number FROM documents)
+ JOIN benchmark ON CAST(item_id AS VARCHAR) = number),
+c AS (SELECT page_id, question_id, hits, phrases, round(score, 6) AS score, CASE WHEN hd.page_id IS NOT NULL THEN 'AUTO_EXPLICIT' ELSE 'AUTO_SEMANTIC' END AS source,
+ round(CASE WHEN hd.page_id IS NOT NULL THEN 0.85::DOUBLE ELSE least(0.96::DOUBLE, greatest(0.7::DOUBLE, score + 0.15::DOUBLE)) END, 6) AS confidence FROM hd FULL JOIN ok USING (page_id, question_id))
+"""
 
 
-def _terms(table: str, key: str, name: str) -> str:
-    good = "len({0}) >= 3 AND NOT regexp_matches({0}, '^[0-9]+$') AND {0} NOT IN (" + _STOP + ")"
-    return f"""{name}_w AS (SELECT {key} AS id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM {table}),
-{name}_i AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM {name}_w),
-{name} AS (SELECT DISTINCT id, term FROM (SELECT id, ws[i] AS term FROM {name}_i WHERE {good.format('ws[i]')} UNION ALL SELECT id, ws[i] || ' ' || ws[i + 1] FROM {name}_i WHERE i < len(ws) AND {good.format('ws[i]')} AND {good.format('ws[i + 1]')}))"""
+@query(f"WITH {_PROFILES} SELECT q AS question_id, term, phrase FROM p")
+def question_profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.profile_terms(_profiles(spark, sf_dir))
 
 
-@query(f"WITH {_terms('benchmark', 'item_id', 'p')} SELECT id AS question_id, term FROM p")
-def question_profile_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(tx.profile_terms(F.col("text"))).alias("term"))
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
 
 
-_MAPPED = f"""WITH {_terms('benchmark', 'item_id', 'p')}, {_terms('documents', 'doc_id', 'd')},
-z AS (SELECT id, count(*) AS n_terms FROM p GROUP BY 1),
-h AS (SELECT d.id AS page_id, p.id AS question_id, count(*) AS hits FROM d JOIN p USING (term) GROUP BY ALL),
-s AS (SELECT page_id, question_id, hits, least(0.98::DOUBLE, 0.55::DOUBLE * hits / n_terms + CASE WHEN hits >= 4 THEN 0.35::DOUBLE WHEN hits >= 3 THEN 0.25 WHEN hits >= 2 THEN 0.15 ELSE 0 END) AS score FROM h JOIN z ON z.id = question_id),
-b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, question_id) AS k FROM s WHERE score >= 0.5 OR (hits >= 3 AND score >= 0.4)),
-m AS (SELECT page_id, question_id, hits, round(score, 6) AS score, round(least(0.96::DOUBLE, greatest(0.7::DOUBLE, score + 0.15::DOUBLE)), 6) AS confidence FROM b WHERE k = 1)
-"""
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
 
 @query(_MAPPED + "SELECT * FROM m")
 def automap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    profiles = domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    return rounded(tx.map_pages(pages, profiles), "score", "confidence")
+    return rounded(tx.map_pages(_pages(spark, sf_dir), _profiles(spark, sf_dir)), "score", "confidence")
 
 
-@query()
+@query(_MAPPED + "SELECT * FROM c")
 def automap_page_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = domain.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    profiles = domain.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    return rounded(tx.map_page_questions(pages, profiles), "score", "confidence")
+    return rounded(tx.map_page_questions(_pages(spark, sf_dir), _profiles(spark, sf_dir)), "score", "confidence")
+
+
+@query(_MAPPED + """, f AS (SELECT page_id + 1 AS page_id, question_id, confidence FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.page_id = c.page_id + 1 AND d.question_id = c.question_id)),
+t AS (SELECT doc_id, regexp_matches(lower(text), 'continued|contd|example:|for example|algorithm:|steps:|advantages:|disadvantages:|diagram:|hence proven|code:') AS cue FROM documents WHERE length(trim(text)) >= 20)
+SELECT page_id, question_id, hits, phrases, 'AUTO_CONTINUATION' AS source, confidence FROM f JOIN s USING (page_id, question_id) JOIN t ON t.doc_id = page_id
+WHERE (hits >= 2 OR phrases >= 1 OR score >= 0.35 OR (cue AND hits >= 1)) AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.page_id = f.page_id AND hd.question_id <> f.question_id)""")
+def continuation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, profiles = _pages(spark, sf_dir), _profiles(spark, sf_dir)
+    headers, scores = tx.page_headers(pages, profiles), tx.page_scores(pages, profiles)
+    return rounded(tx.continuations(pages, tx.combined(headers, scores), headers, scores), "confidence")
 
 
-@query(_MAPPED + "SELECT question_id, count(*) AS n_pages, count(*) FILTER (confidence >= 0.85) AS confident, count(*) FILTER (confidence < 0.85) AS needs_review, min(page_id) AS first_page FROM m GROUP BY 1")
+@query(_MAPPED + "SELECT question_id, count(*) AS n_pages, arg_max(source, page_id) AS source, max(confidence) AS confidence, max(confidence) >= 0.85 AS confident, min(page_id) AS first_page FROM c GROUP BY 1")
 def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sure = F.col("confidence") >= 0.85
-    return automap_pages(spark, sf_dir).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(sure).alias("confident"), F.count_if(~sure).alias("needs_review"), F.min("page_id").alias("first_page"))
+    """Each question's mapping: its pages, the highest confidence, and the way of the last page that matched."""
+    best = F.max("confidence")
+    return automap_page_questions(spark, sf_dir).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max_by("source", "page_id").alias("source"), best.alias("confidence"), (best >= 0.85).alias("confident"), F.min("page_id").alias("first_page"))
+
+
+@query(_MAPPED + """, u AS (SELECT question_id, count(*) AS n_pages, max(confidence) AS confidence FROM c GROUP BY 1)
+SELECT item_id AS question_id, coalesce(n_pages, 0) AS n_pages, CASE WHEN item_id % 7 = 0 THEN 'EXAMINER_VERIFIED' WHEN n_pages IS NULL THEN 'UNRESOLVED' ELSE 'AUTO' END AS source, CASE WHEN item_id % 7 = 0 THEN false ELSE coalesce(confidence < 0.85::DOUBLE, true) END AS needs_review, item_id % 7 = 0 AND n_pages > 0 AS kept_as_suggestion FROM benchmark LEFT JOIN u ON question_id = item_id""".replace("item_id % 7 = 0 AND n_pages > 0", "(item_id % 7 = 0 AND coalesce(n_pages, 0) > 0)"))
+def mapping_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final mapping: what an examiner verified (each seventh question here) stays, with found pages kept as a suggestion; questions without pages are unresolved; what is not confident needs review."""
+    found = automap_page_questions(spark, sf_dir).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("c"))
+    rows = _profiles(spark, sf_dir).select("question_id").join(found, "question_id", "left")
+    verified, n = F.col("question_id") % 7 == 0, F.coalesce("n", F.lit(0)).cast("bigint")
+    source = F.when(verified, "EXAMINER_VERIFIED").when(F.col("n").isNull(), "UNRESOLVED").otherwise("AUTO")
+    return rows.select("question_id", n.alias("n_pages"), source.alias("source"), F.when(verified, False).otherwise(F.coalesce(F.col("c") < 0.85, F.lit(True))).alias("needs_review"), (verified & (n > 0)).alias("kept_as_suggestion"))
 
 
 _HEAD = r"regexp_extract(text, '(?im)(?:^|[^A-Za-z0-9_])(?:q(?:uestion)?|ans(?:wer)?)[.\s]*([0-9]{1,3})(?:[^A-Za-z0-9_]|$)', 1)"

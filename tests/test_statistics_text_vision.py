@@ -89,16 +89,38 @@ def test_headers_pages_and_terms(spark):
     assert [r.h for r in rows] == [3, 3, 3, 3, 3, 33, None, None]
     pages = spark.createDataFrame([("3, 5-7 6 x 9-8",), ("",)], "s string").select(tx.page_numbers(F.col("s")).alias("p")).collect()
     assert [r.p for r in pages] == [[3, 5, 6, 7, 8, 9], []]
-    terms = spark.createDataFrame([("Explain the Krebs cycle; Krebs cycle 42",)], "t string").select(tx.profile_terms(F.col("t")).alias("p")).first().p
-    assert terms == ["krebs", "cycle", "krebs cycle", "cycle krebs"]
-    safe = spark.createDataFrame([('api_key = "abc" mail a@b.co',)], "t string").select(tx.redacted(F.col("t")).alias("r")).first().r
-    assert safe == "api_key=[REDACTED] mail [EMAIL]"
+    terms = spark.createDataFrame([("Explain the Krebs cycle; Krebs cycle 42 non-linear",)], "t string").select(tx.profile_keywords(F.col("t")).alias("k"), tx.profile_phrases(F.col("t")).alias("p")).first()
+    assert terms.k == ["krebs", "cycle", "non", "linear", "nonlinear"]
+    assert terms.p == ["krebs cycle", "krebs cycle krebs", "cycle krebs", "cycle krebs cycle", "non linear"]
+    secret = "GET /x?Key=a1&b=2 bearer t.k AIzaSy_9-x AQ.b_1 mail a@b.co 4111111111111111"
+    safe = spark.createDataFrame([(secret,)], "t string").select(tx.redacted(F.col("t")).alias("r")).first().r
+    assert safe == "GET /x?key=REDACTED&b=2 Bearer REDACTED REDACTED REDACTED mail a@b.co 4111111111111111"
 
 
-def test_bigrams_reach_the_end_of_long_texts(spark):
+def test_terms_reach_the_end_of_long_texts(spark):
     text = F.concat(F.repeat(F.lit("the "), 100_001), F.lit("krebs cycle"))
-    rows = spark.range(1).select(F.explode(F.array(text, F.lit("krebs"), F.lit(""), F.lit(None))).alias("t"))
-    assert [r.p for r in rows.select(tx.profile_terms(F.col("t")).alias("p")).collect()] == [["krebs", "cycle", "krebs cycle"], ["krebs"], [], None]
+    rows = spark.range(1).select(F.posexplode(F.array(text, F.lit("krebs"), F.lit(""), F.lit(None))).alias("n", "t"))
+    assert [r.p for r in rows.select(tx.profile_phrases(F.col("t")).alias("p")).collect()] == [["krebs cycle"], [], [], []]
+    profiles = spark.createDataFrame([(1, "krebs cycle")], "question_id long, text string")
+    pages = rows.select(F.col("n").alias("page_id"), F.col("t").alias("text"))
+    assert sorted((r.page_id, r.term) for r in tx.page_terms(pages, tx.profile_terms(profiles)).collect()) == [(0, "cycle"), (0, "krebs"), (0, "krebs cycle"), (1, "krebs")]
+
+
+def test_phrases_need_one_space_between(spark):
+    profiles = spark.createDataFrame([(1, "krebs cycle")], "question_id long, text string")
+    texts = ["krebs cycle", "krebs  cycle", "krebs, cycle", "krebs-cycle", "Krebs\ncycle", "xkrebs cycle", "krebs_ cycle"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    got = tx.page_scores(pages, profiles).collect()
+    assert {r.page_id: (r.hits, r.phrases) for r in got} == {0: (2, 1), 1: (2, 0), 2: (2, 0), 3: (2, 1), 4: (2, 0), 5: (1, 0), 6: (1, 0)}
+
+
+def test_continuations(spark):
+    profiles = spark.createDataFrame([(1, "krebs cycle mitochondria respiration"), (2, "newton motion force")], "question_id long, text string")
+    texts = ["Q1 about it", "krebs and the cycle go on and on", "too short cycle", "Q1 once more", "Q2 krebs cycle and more of all that", "q1 again", "continued: respiration of all the cells", "q1", "nothing of the kind is said here"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    headers, scores = tx.page_headers(pages, profiles), tx.page_scores(pages, profiles)
+    got = tx.continuations(pages, headers.withColumn("confidence", F.lit(0.85)), headers, scores).collect()
+    assert sorted((r.page_id, r.question_id) for r in got) == [(1, 1), (6, 1)]
 
 
 def test_pages_have_all_their_questions(spark, monkeypatch):
