@@ -19,6 +19,8 @@ from .common import checkpointed, n_partitions, ranked_in_ranges, text_or_empty
 CELLS = 8
 #: Peeling rounds; each takes one sub-table. At the load of the larger sketches far fewer suffice.
 ROUNDS = 15
+#: Rounds for the fingerprints themselves, which are small; a pair that needs more is tried again at a larger size.
+FIRST_ROUNDS = 9
 PARAGRAPH = r"[^\n.!?]{0,120}[\n.!?]+|[^\n.!?]{1,120}"
 
 
@@ -40,24 +42,28 @@ def _cell(digest: Column, sub: int, size: Column, seed: Column) -> Column:
     return (F.pmod(F.xxhash64(digest, seed + sub), size) * 3 + sub).cast("int")
 
 
+def _placed(rows: DataFrame, keys: list[str], named: Column) -> DataFrame:
+    """A row for each cell that each digest goes to; ``named`` is an array of structs with ``digests`` (an array), whose other fields stay."""
+    each = rows.select(*keys, "size", "seed", F.explode(named).alias("t")).select(*keys, "size", "seed", "t", F.explode("t.digests").alias("digest")).select("*", "t.*").drop("t", "digests")
+    return each.withColumns({"x": _packed(F.col("digest")), "at": F.array(*[_cell(F.col("digest"), j, F.col("size"), F.col("seed")) for j in range(3)])}).withColumn("cell", F.explode("at")).drop("at", "digest")
+
+
 def sketches(rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
     """Sketch cells of the digests in each of ``columns``: ``keys``, ``which`` (the column), ``size``, ``seed``, ``cell``, ``n``, ``x``.
 
     ``rows`` has ``keys`` (unique), ``size`` (cells of a sub-table) and ``seed``; it should be dealt by a prefix of ``keys``.
     """
     named = F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("digests")) for c in columns])
-    each = rows.select(*keys, "size", "seed", F.explode(named).alias("t")).select(*keys, "size", "seed", "t.which", F.explode("t.digests").alias("digest"))
-    placed = each.select(*keys, "which", "size", "seed", _packed(F.col("digest")).alias("x"), F.explode(F.array(*[_cell(F.col("digest"), j, F.col("size"), F.col("seed")) for j in range(3)])).alias("cell"))
-    return placed.groupBy(*keys, "which", "size", "seed", "cell").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bit_xor("x").alias("x"))
+    return _placed(rows, keys, named).groupBy(*keys, "which", "size", "seed", "cell").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bit_xor("x").alias("x"))
 
 
-def subtracted(cells: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]], name: str = "kind") -> DataFrame:
-    """For each ``name`` of ``pairs``, the sketch of its first text minus that of its second, cell by cell; what cancels is gone."""
+def subtracted(cells: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each ``kind`` of ``pairs``, the sketch of its first text minus that of its second, cell by cell; what cancels is gone."""
     which = F.col("which")
     side = lambda kind, sign: F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("sign"))
     sides = F.array_compact(F.array(*[F.when(which == plus, side(kind, 1)).when(which == minus, side(kind, -1)) for kind, (plus, minus) in pairs.items()]))
     each = cells.select(*keys, "size", "seed", "cell", "n", "x", F.explode(sides).alias("s"))
-    return each.groupBy(*keys, F.col("s.kind").alias(name), "size", "seed", "cell").agg(F.sum(F.col("n") * F.col("s.sign")).cast("int").alias("n"), F.bit_xor("x").alias("x")).where("n <> 0 or x <> 0")
+    return each.groupBy(*keys, F.col("s.kind").alias("kind"), "size", "seed", "cell").agg(F.sum(F.col("n") * F.col("s.sign")).cast("int").alias("n"), F.bit_xor("x").alias("x")).where("n <> 0 or x <> 0")
 
 
 def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests: bool = False) -> DataFrame:
@@ -85,9 +91,11 @@ def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS, keep_digests:
 
 
 def _peeled(pairs: DataFrame, keys: list[str], attempt: int, **options) -> DataFrame:
-    """Sketches ``plus`` and ``minus`` of each row at the size of ``attempt``, subtracts and peels."""
+    """Sketches ``plus`` and ``minus`` of each row at the size of ``attempt``, subtracts (in the same sum over each cell) and peels."""
     sized = pairs.withColumns(_attempt(attempt, F.size("plus") + F.size("minus")))
-    return peel(subtracted(sketches(sized, keys, ("plus", "minus")), keys, {"": ("plus", "minus")}, "pair").drop("pair"), keys, **options)
+    sides = F.array(*[F.struct(F.lit(sign).alias("sign"), F.col(c).alias("digests")) for sign, c in ((1, "plus"), (-1, "minus"))])
+    cells = _placed(sized, keys, sides).groupBy(*keys, "size", "seed", "cell").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"))
+    return peel(cells.where("n <> 0 or x <> 0"), keys, **options)
 
 
 def differing_digests(pairs: DataFrame, keys: list[str], tries: int = 4) -> DataFrame:
@@ -179,7 +187,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     strings = cells.groupBy("u").agg(*[F.collect_list(F.when(F.col("which") == w, item)).alias(f"_{w}") for w in ("own", "edited")])
 
     kinds = {"near_edited": "edited", "near_next": "next"}
-    tried = checkpointed(peel(subtracted(cells, ["u"], {kind: ("own", other) for kind, other in kinds.items()}), ["u", "kind"]).withColumn("attempt", F.lit(0)))
+    tried = checkpointed(peel(subtracted(cells, ["u"], {kind: ("own", other) for kind, other in kinds.items()}), ["u", "kind"], FIRST_ROUNDS).withColumn("attempt", F.lit(0)))
     # Where cells remain, larger sketches are subtracted: one sized for the pair, then twice and four times as large.
     failed = tried.where("n_left > 0").select("u", "kind")
     for attempt in (1, 2, 3):

@@ -127,11 +127,11 @@ def find_licences(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     hashed = texts.select("row", "_words", F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"))
     known = _template_grams(spark, templates)
     listed = _hash_list(known)
-    # Each place gives its two grams; the words themselves are put together only where a template has the hash.
+    # Each place gives the hashes of its two grams; the words themselves are put together only where a template has the hash.
     # sequence() runs downwards where its end is below its start; such short texts have no grams.
-    gram = "struct({h} as hash, if({h} in (" + listed + "), array_join(slice(_words, i + 1, {k}), ' '), null) as gram)"
-    pair = f"array({gram.format(h=_HASH[2], k=2)}, if(i + 3 < size(_h), {gram.format(h=_HASH[4], k=4)}, null))"
-    grams = hashed.select("row", F.posexplode(F.expr(f"if(size(_h) < 2, cast(array() as array<array<struct<hash: bigint, gram: string>>>), transform(sequence(0, size(_h) - 2), i -> {pair}))")).alias("at", "_pair")).select("row", "at", F.inline("_pair"))
+    hashes = f"if(size(_h) < 2, cast(array() as array<array<bigint>>), transform(sequence(0, size(_h) - 2), i -> array({_HASH[2]}, if(i + 3 < size(_h), {_HASH[4]}, null))))"
+    gram = lambda j, k: f"struct(p[{j}] as hash, if(p[{j}] in ({listed}), array_join(slice(_words, i + 1, {k}), ' '), null) as gram)"
+    grams = hashed.select("row", F.posexplode(F.expr(f"transform({hashes}, (p, i) -> array({gram(0, 2)}, {gram(1, 4)}))")).alias("at", "_pair")).select("row", "at", F.inline("_pair"))
     votes = grams.join(F.broadcast(known), ["hash", "gram"]).withColumn("diagonal", F.col("at") - F.col("t_at"))
     by_diagonal = votes.groupBy("row", "template", "diagonal").agg(F.collect_set("t_at").alias("t_ats"), F.min("at").alias("low"), F.max(F.col("at") + F.col("k") - 1).alias("high"))
     traits = spark.createDataFrame([(n, t.exact, len(t.words) - t.k + 1) for n, t in enumerate(templates)], "template int, exact boolean, n_grams int")
