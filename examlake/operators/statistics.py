@@ -8,11 +8,40 @@ from pyspark.sql import functions as F
 from ..functions.expr import pearson
 
 
+def _bucketed(rows: DataFrame, keys: list[str], value: str, n_buckets: int) -> DataFrame:
+    """Adds ``_b``, a range of ``value`` (equal values share one), and ``_before``, the rows of the group in the ranges before.
+
+    So few groups, or one that holds most rows, are still ranked by many tasks. The bounds are
+    ``n_buckets`` - 1 approximate quantiles of all rows; they decide how even the ranges are, never the ranks.
+    """
+    cuts = rows.select(F.percentile_approx(value, [k / n_buckets for k in range(1, n_buckets)], 1000)).first()[0] or []
+    at = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col(value)))
+    marked = rows.withColumn("_b", at)
+    sizes = marked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a group
+    return marked.join(sizes.select(*keys, "_b", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total")), [*keys, "_b"])
+
+
+def ranked(rows: DataFrame, keys: list[str], value: str, tie: list[str], name: str, n_buckets: int = 64) -> DataFrame:
+    """Adds ``name``, the row's place (from 1) in its group by ``value`` and then ``tie``, and ``_total``, the group's size."""
+    w = Window.partitionBy(*keys, "_b").orderBy(value, *tie)
+    return _bucketed(rows, keys, value, n_buckets).withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_b", "_before")
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation by group; only the one or two rows that each needs are gathered."""
+    placed = ranked(rows.where(F.col(value).isNotNull()), keys, value, [], "_r")
+    out = []
+    for name, q in quantiles.items():
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        low, high = (F.max(F.when(F.col("_r") - 1 == f(at), F.col(value).cast("double"))) for f in (F.floor, F.ceil))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def gini(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """|2 sum(i x_i) / (n sum x) - (n + 1) / n| by group, x ascending, zeros included; 0 for one row or a zero sum."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.withColumn("_i", F.row_number().over(w))
-    s = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col("_i") * F.col(value)).alias("w"))
+    s = ranked(rows, keys, value, [], "_i").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col("_i") * F.col(value)).alias("w"))
     g = F.abs(2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n"))
     return s.select(*keys, F.when((F.col("n") > 1) & (F.col("s") != 0), g).otherwise(0.0).alias("gini"))
 
@@ -42,12 +71,14 @@ def otsu_eta(rows: DataFrame, keys: list[str], value: str, threshold: str) -> Da
 
 
 def ordinal_ranks(rows: DataFrame, keys: list[str], value: str, tie: str, name: str) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie)).cast("double"))
+    return ranked(rows, keys, value, [tie], name).drop("_total").withColumn(name, F.col(name).cast("double"))
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str, n_buckets: int = 64) -> DataFrame:
+    """Ranks by group; equal values share the mean of their places."""
+    own = Window.partitionBy(*keys, "_b")  # equal values are in one range
+    rank = F.col("_before") + F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b", value)) - 1) / 2.0
+    return _bucketed(rows, keys, value, n_buckets).withColumn(name, rank).drop("_b", "_before", "_total")
 
 
 def correlation(rows: DataFrame, keys: list[str], x: str, y: str, name: str) -> DataFrame:

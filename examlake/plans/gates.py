@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cents, first_failure, js_round
 from ..operators import correction, geometry
+from ..operators.statistics import percentiles
 from ..sources import domain
 from ..sources.domain import SQL as D
 from .ingest import boxes
@@ -131,7 +132,8 @@ _SUMMARY = " UNION ALL ".join(f"SELECT '{m}' AS measure, count(*) AS n, min({m})
 @query(_EVIDENCE + f", u AS ({_SUMMARY}) SELECT measure, n, {_r('low high mean middle deviation')} FROM u")
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = evidence(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in _MEASURES])).alias("v")).select("v.*")
-    s = long.groupBy("measure").agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("middle"), F.stddev_pop("x").alias("deviation"))
+    s = long.groupBy("measure").agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
+    s = s.join(percentiles(long, ["measure"], "x", {"middle": 0.5}), "measure")
     return rounded(s, "low", "high", "mean", "middle", "deviation")
 
 

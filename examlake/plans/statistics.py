@@ -42,8 +42,8 @@ def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.15), 6) AS p15, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.85), 6) AS p85,
 round(quantile_cont(value, 0.99), 6) AS p99, round(median(value), 6) AS middle FROM events GROUP BY 1""")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q, name: F.round(F.percentile("value", q), 6).alias(name)
-    return events(spark, sf_dir).groupBy("event_type").agg(p(0.01, "p1"), p(0.15, "p15"), p(0.5, "p50"), p(0.85, "p85"), p(0.99, "p99"), F.round(F.median("value"), 6).alias("middle"))
+    wanted = {"p1": 0.01, "p15": 0.15, "p50": 0.5, "p85": 0.85, "p99": 0.99, "middle": 0.5}
+    return rounded(ops.percentiles(events(spark, sf_dir), ["event_type"], "value", wanted), *wanted)
 
 
 @query("""WITH m AS (SELECT user_id, median(value) AS m FROM events GROUP BY 1) SELECT user_id, round(1.4826::DOUBLE * median(abs(value - m)), 6) AS sigma FROM events JOIN m USING (user_id) GROUP BY 1""")
