@@ -68,8 +68,8 @@ def test_book_transitions(spark):
 @pytest.mark.parametrize(
     ("scores", "maximum", "marks", "strategy"),
     [
-        ([8.5, 8.5, 8.5], 10, 8.5, "UNANIMOUS"), ([9.0, 8.5, 4.0], 10, 8.8, "QUORUM"), ([9.0, 6.0], 10, 7.5, "WEIGHTED_MEDIAN"), ([7.0], 10, 7.0, "SINGLE_FALLBACK"), ([2.0, 5.0, 9.0], 10, 5.0, "WEIGHTED_MEDIAN"),
-        ([1.0, 2.0, 9.0], 10, 1.5, "QUORUM"), ([0.0, 0.0], 0, 0.0, "UNANIMOUS"), ([12.0], 10, 10.0, "SINGLE_FALLBACK"),
+        ([8.5, 8.5, 8.5], 10, 8.5, "UNANIMOUS"), ([9.0, 8.5, 4.0], 10, 8.8, "MAJORITY_QUORUM"), ([9.0, 6.0], 10, 7.5, "WEIGHTED_MEDIAN"), ([7.0], 10, 7.0, "SINGLE_FALLBACK"), ([2.0, 5.0, 9.0], 10, 5.0, "WEIGHTED_MEDIAN"),
+        ([1.0, 2.0, 9.0], 10, 1.5, "MAJORITY_QUORUM"), ([0.0, 0.0], 0, 0.0, "UNANIMOUS"), ([12.0], 10, 10.0, "SINGLE_FALLBACK"),
     ],
 )
 def test_consensus_cases(spark, scores, maximum, marks, strategy):
