@@ -77,12 +77,16 @@ def test_stable_frames(spark):
 
 def test_quadrilaterals(spark):
     point = "array(named_struct('x', {}D, 'y', {}D), named_struct('x', {}D, 'y', {}D), named_struct('x', {}D, 'y', {}D), named_struct('x', {}D, 'y', {}D))"
-    square, flat, out = point.format(0, 0, 100, 0, 100, 100, 0, 100), point.format(0, 0, 100, 0, 180, 30, 80, 30), point.format(-5, 0, 100, 0, 100, 100, 0, 100)
-    rows = spark.sql(f"select {square} as a, {flat} as b, {out} as c")
+    shapes = {
+        "a": (20, 20, 120, 20, 120, 120, 20, 120), "b": (20, 20, 120, 20, 185, 90, 85, 90), "c": (-9, 20, 120, 20, 120, 120, 20, 120), "d": (20, 20, 60, 20, 60, 60, 20, 60), "e": (0, 0, 199, 0, 199, 199, 0, 199),
+        "f": (5, 5, 150, 5, 150, 150, 5, 150), "g": (20, 20, 186, 20, 186, 55, 20, 55), "h": (5, 60, 195, 60, 195, 100, 20, 100), "i": (-8, 20, 120, 20, 120, 120, 20, 120),
+    }
+    rows = spark.sql("select " + ", ".join(f"{point.format(*v)} as {k}" for k, v in shapes.items()))
     w = F.lit(200.0)
-    got = rows.select(*[geometry.quadrilateral_problem(F.col(c), w, w).alias(f"p{c}") for c in "abc"], geometry.corner_distances(F.col("a"), F.col("c")).alias("d"), geometry.ordered_corners(F.col("a")).alias("o")).first()
-    assert (got.pa, got.pb, got.pc) == (None, "BAD_ANGLE", "OUT_OF_FRAME") and got.d.max_distance == 5.0
-    angles = [math.atan2(p.y - 50, p.x - 50) for p in got.o]
+    got = rows.select(*[geometry.quadrilateral_problem(F.col(c), w, w).alias(f"p{c}") for c in shapes], geometry.corner_distances(F.col("a"), F.col("c")).alias("d"), geometry.ordered_corners(F.col("a")).alias("o")).first()
+    assert [got[f"p{c}"] for c in shapes] == [None, "BAD_ANGLE", "OUT_OF_FRAME", "TOO_SMALL", "TOO_LARGE", "FRAME_BORDER", "BAD_ASPECT", "FRAME_BORDER", None]
+    assert got.d.max_distance == 29.0
+    angles = [math.atan2(p.y - 70, p.x - 70) for p in got.o]
     assert angles == sorted(angles)
 
 
