@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,26 +31,29 @@ def quadrilateral_problem(corners: Column, width: Column, height: Column) -> Col
     Its area is 0.12 to 0.85 of the frame, corners leave the frame by 8 pixels at most and fewer than three
     lie within 12 of its border, mean sides are 25 or more and 0.25 to 4 to each other, angles are 55 to 125 degrees.
     """
-    q = ordered_corners(corners)
-    at = lambda i: F.get(q, F.lit(i % 4))
-    share = F.abs(sum((at(i).x * at(i + 1).y - at(i + 1).x * at(i).y for i in range(4)), F.lit(0.0))) / 2 / (width * height)
-    side = lambda i: F.hypot(at(i + 1).x - at(i).x, at(i + 1).y - at(i).y)
-    across, down = (side(0) + side(2)) / 2, (side(1) + side(3)) / 2
-    aspect = across / F.greatest(F.lit(1.0), down)
-
-    def angle(i: int) -> Column:
-        ux, uy, vx, vy = at(i + 3).x - at(i).x, at(i + 3).y - at(i).y, at(i + 1).x - at(i).x, at(i + 1).y - at(i).y
-        cos = F.try_divide(ux * vx + uy * vy, F.hypot(ux, uy) * F.hypot(vx, vy))
-        return F.degrees(F.acos(clamp(F.coalesce(cos, F.lit(1.0)), -1.0, 1.0)))
-
-    bent = reduce(lambda a, b: a | b, [(angle(i) < 55) | (angle(i) > 125) for i in range(4)])
     outside = F.exists(corners, lambda c: (c.x < -8) | (c.y < -8) | (c.x > width + 8) | (c.y > height + 8))
     touching = F.size(F.filter(corners, lambda c: (c.x <= 12) | (c.y <= 12) | (c.x >= width - 12) | (c.y >= height - 12)))
-    degenerate = reduce(lambda a, b: a | b, [side(i) < 1e-4 for i in range(4)])
-    return first_failure(
-        (F.size(corners) != 4, "NOT_FOUR_CORNERS"), (share < 0.12, "TOO_SMALL"), (share > 0.85, "TOO_LARGE"), (outside, "OUT_OF_FRAME"), (touching >= 3, "FRAME_BORDER"), ((across < 25) | (down < 25), "SHORT_SIDES"),
-        ((aspect < 0.25) | (aspect > 4.0), "BAD_ASPECT"), (degenerate, "DEGENERATE"), (bent, "BAD_ANGLE"),
-    )
+
+    def of_sides(q: Column) -> Column:
+        at = lambda i: F.get(q, F.lit(i % 4))
+        area = F.abs(sum((at(i).x * at(i + 1).y - at(i + 1).x * at(i).y for i in range(4)), F.lit(0.0))) / 2
+        sides = F.array(*[F.hypot(at(i + 1).x - at(i).x, at(i + 1).y - at(i).y) for i in range(4)])
+        dots = F.array(*[(at(i + 3).x - at(i).x) * (at(i + 1).x - at(i).x) + (at(i + 3).y - at(i).y) * (at(i + 1).y - at(i).y) for i in range(4)])
+        return F.struct((area / (width * height)).alias("share"), sides.alias("sides"), dots.alias("dots"))
+
+    def problem(m: Column) -> Column:
+        side = lambda i: F.get(m.sides, F.lit(i % 4))
+        across, down = (side(0) + side(2)) / 2, (side(1) + side(3)) / 2
+        aspect = across / F.greatest(F.lit(1.0), down)
+        angles = F.transform(m.dots, lambda d, i: F.degrees(F.acos(clamp(F.coalesce(F.try_divide(d, F.get(m.sides, i) * F.get(m.sides, (i + 3) % 4)), F.lit(1.0)), -1.0, 1.0))))
+        return first_failure(
+            (F.coalesce(F.size(corners), F.lit(0)) != 4, "NOT_FOUR_CORNERS"), (m.share < 0.12, "TOO_SMALL"), (m.share > 0.85, "TOO_LARGE"), (outside, "OUT_OF_FRAME"), (touching >= 3, "FRAME_BORDER"), ((across < 25) | (down < 25), "SHORT_SIDES"),
+            ((aspect < 0.25) | (aspect > 4.0), "BAD_ASPECT"), (F.exists(m.sides, lambda s: s < 1e-4), "DEGENERATE"), (F.exists(angles, lambda a: (a < 55) | (a > 125)), "BAD_ANGLE"),
+        )
+
+    # A lambda over one element holds a value that is used many times; plain columns would sort the corners at each use.
+    measured = F.transform(F.array(ordered_corners(corners)), of_sides)
+    return F.get(F.transform(measured, problem), F.lit(0))
 
 
 def _iou(a: tuple, b: tuple) -> float:
