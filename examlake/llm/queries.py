@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, licences, near_dedup, oracle, packing, quality_rules, rule_ensemble, sharding, tokens, toxicity
+from . import byte_bpe, chat, fingerprints, licences, near_dedup, oracle, packing, quality_rules, rule_ensemble, sharding, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 80, 4)
 
 
+def op11_word_shuffle_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_paragraph_sketches": op1_paragraph_sketches,
@@ -105,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "op11_word_shuffle_bpe": op11_word_shuffle_bpe,
     }
 
 
