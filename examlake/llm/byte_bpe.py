@@ -193,7 +193,7 @@ class _Numbered(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int) -> Iterator[pa.RecordBatch]:
     """Rows of texts (their positions) and rows of words (a block's distinct words, a bucket each)."""
     from pyspark import TaskContext
 
@@ -221,7 +221,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             ids.append(key.as_py())
             places.append(_planes(np.concatenate(found)))
             chars += len(text)
-            if chars >= BLOCK_CHARS:
+            if chars >= block_chars:
                 yield from flushed()
                 ids, places, numbered, chars, block = [], [], _Numbered(), 0, block + 1
     if ids:
@@ -275,7 +275,7 @@ def decoded(ids: DataFrame, tokens: DataFrame, ids_col: str = "ids", out_col: st
     return pieces.groupBy(row).agg(*kept, whole.alias(out_col)).drop(row)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``id_col``, ``ids`` and ``decoded`` of each whole text.
 
     ``ids`` holds the token ids as little-endian unsigned 32-bit integers (``id_list`` makes an array of
@@ -288,7 +288,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     key = T.StructField("key", docs.schema[id_col].dataType)
     parts = T.StructType([T.StructField("block", T.LongType()), key, *T.StructType.fromDDL("places binary, bucket int, words array<string>, numbers array<int>, is_text boolean")])
     texts = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
-    split = _written(texts.mapInArrow(lambda batches: _blocks(batches, buckets), parts), "is_text")
+    split = _written(texts.mapInArrow(lambda batches: _blocks(batches, buckets, block_chars), parts), "is_text")
 
     dealt = split.where(~F.col("is_text")).select("block", "bucket", "words", "numbers").repartition(n_partitions(spark), "bucket")
     held = dealt.select("block", "bucket", F.explode(F.arrays_zip("words", "numbers")).alias("w")).select("block", "bucket", F.col("w.words").alias("word"), F.col("w.numbers").alias("number"))

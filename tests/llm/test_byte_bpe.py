@@ -38,7 +38,7 @@ def test_every_code_point_is_split_as_the_library_splits(library):
         assert text_ids(text) == library.encode_ordinary(text), hex(lo)
 
 
-def test_long_words_merge_as_short_ones(monkeypatch):
+def test_long_words_merge_as_short_ones():
     rng, mine = random.Random(9), byte_bpe.encoder(PATH)
     for _ in range(300):
         word = "".join(rng.choice("aabbcinthe") for _ in range(rng.randint(2, 200))).encode()
@@ -51,13 +51,12 @@ def test_stretches_change_nothing(monkeypatch, library):
         assert text_ids(text) == library.encode_ordinary(text)
 
 
-def test_documents_round_trip(spark, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 300)
+def test_documents_round_trip(spark, library):
     rng = random.Random(4)
     texts = [*ODD, None, None, "the " * 30_000, *[" ".join(rng.choice(["the", "of", "Größe", "naïve", "zq" * rng.randint(1, 4)]) for _ in range(rng.randint(0, 80))) for _ in range(60)]]
     rows = [(None if n % 9 == 4 else n % 40, t, "x", None) for n, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, block long").repartition(3)
-    got = byte_bpe.encode_documents(docs, PATH).collect()
+    got = byte_bpe.encode_documents(docs, PATH, block_chars=300).collect()
     want = sorted(((r[0], tuple(library.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows), key=repr)
     assert sorted(((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in got), key=repr) == want
 
