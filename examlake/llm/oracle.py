@@ -122,6 +122,33 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id, (d
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) r USING (doc_id)
 """
 
+OP12 = r"""
+WITH RECURSIVE crc(c, s, i, x) AS (
+  SELECT conv_id, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT c, s, i + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END
+  FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(x, ascii(s[i // 8 + 1])::BIGINT) ELSE x END AS y FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT c, (xor(x, 4294967295) % 4)::INTEGER AS h FROM crc WHERE i = 8 * length(s)),
+own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(strlen(coalesce(role, '')), ':', role, text))) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (
+  SELECT own.c, list_concat(coalesce(base.ts[1:h.h], []), own.ts[h.h + 1:]) AS ts
+  FROM own JOIN h USING (c) LEFT JOIN own AS base ON base.c = own.c - own.c % 20),
+member AS (SELECT c, d, ts[1:d] AS pre, len(ts) AS n FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+node AS (
+  SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(pre[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM member GROUP BY pre, d),
+kids AS (SELECT p.conv_id, p.d, count(*) AS n FROM node p JOIN node k ON k.d = p.d + 1 AND k.pre[1:p.d] = p.pre GROUP BY p.conv_id, p.d),
+full_ AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (conv_id, d)),
+up AS (SELECT pre[1:a] AS pre, a AS d, n_convs, words, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_)),
+sums AS (SELECT pre, d, sum((n_children = 0)::INTEGER) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM up GROUP BY pre, d)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sums s ON s.d = f.d AND s.pre = f.pre LEFT JOIN node p ON p.d = f.d - 1 AND p.pre = f.pre[1:f.d - 1]
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
@@ -144,4 +171,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 WHERE rank <= 20
 """
 
-SQL: dict[str, str] = {"op10_minhash_near_dedup": OP10, "op13_pair_bound_search": OP13, "op4_licence_scan": _op4(), "op5_chat_format": OP5, "op6_quality_rules": OP6}
+SQL: dict[str, str] = {"op10_minhash_near_dedup": OP10, "op12_burst_trie": OP12, "op13_pair_bound_search": OP13, "op4_licence_scan": _op4(), "op5_chat_format": OP5, "op6_quality_rules": OP6}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fingerprints, lexical, licences, near_dedup, oracle, packing, quality_rules, rule_ensemble, sharding, tokens, toxicity
+from . import byte_bpe, chat, fingerprints, lexical, licences, near_dedup, oracle, packing, prefix_trie, quality_rules, rule_ensemble, sharding, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,11 @@ def op11_word_shuffle_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.trie_nodes(prefix_trie.conversations(turns, shared_of=20))
+
+
 def op13_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), 20)
 
@@ -122,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
         "op11_word_shuffle_bpe": op11_word_shuffle_bpe,
+        "op12_burst_trie": op12_burst_trie,
         "op13_pair_bound_search": op13_pair_bound_search,
     }
 
