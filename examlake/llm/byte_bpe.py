@@ -2,9 +2,10 @@
 
 Texts are split into words (matches of the splitting pattern) block by block; a block keeps its
 distinct words, numbered, and the positions of each text as numbers. The words of all blocks meet by
-hash, each distinct word is encoded once, its ids are decoded through a join with the table of token
+hash and in order, so each distinct word is encoded once, its ids are looked up in the table of token
 bytes, and both are joined back to the blocks that hold the word. Each text is then put together
 again by position. A word of all blocks (a blank, "the") is a row for each block, never for each place.
+The positions lie bucketed by block, so only words travel.
 """
 
 from __future__ import annotations
@@ -113,6 +114,7 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         self.ranks = read_ranks(path)
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
 
     def ids(self, word: bytes) -> list[int]:
         whole = self.ranks.get(word)
@@ -178,13 +180,14 @@ def splitter() -> Splitter:
     return Splitter()
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as four runs of bytes, lowest first: the higher runs are nearly all zero, so they compress."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed: four runs of bytes, the lowest first, as the higher ones are nearly all zero."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * n), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
 class _Numbered(dict):
@@ -194,17 +197,16 @@ class _Numbered(dict):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """Rows of texts (their positions) and rows of words (a block's distinct words, a bucket each)."""
+    """For each block a row of its texts (how many words each has, and all positions) and rows of its distinct words, a bucket each."""
     from pyspark import TaskContext
 
     part, words_of = TaskContext.get().partitionId(), splitter().words
-    ids, places, numbered, chars, block = [], [], _Numbered(), 0, part << 32
-    id_type = None
+    keys, sizes, places, numbered, chars, block = [], [], [], _Numbered(), 0, part << 32
+    key_type = None
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        at = pa.array(np.full(n, block))
-        yield _split_rows(id_type, at, pa.array(ids, id_type), pa.array(places, pa.binary()), None, None, None)
+        at = np.concatenate(places) if places else np.zeros(0, np.uint32)
+        yield _rows(key_type, block, 1, keys=pa.array([keys], pa.list_(key_type)), sizes=pa.array([sizes], pa.list_(pa.int64())), places=pa.array([_packed(at)], pa.binary()))
         if numbered:
             words = np.array(list(numbered), dtype=object)
             bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in numbered), np.int32, len(words))
@@ -212,43 +214,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int) -
             used, starts = np.unique(bucket[order], return_index=True)
             offsets = pa.array(np.append(starts, len(words)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words[order], order.astype(np.int32))]
-            yield _split_rows(id_type, pa.array(np.full(len(used), block)), None, None, pa.array(used), *lists)
+            yield _rows(key_type, block, len(used), bucket=pa.array(used), words=lists[0], numbers=lists[1])
 
     for batch in batches:
-        id_type = batch.schema.field(0).type
-        for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        key_type = batch.schema.field(0).type
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = [np.fromiter(map(numbered.__getitem__, words), np.uint32, len(words)) for words in words_of(text)]
-            ids.append(key.as_py())
-            places.append(_planes(np.concatenate(found)))
+            keys.append(key)
+            sizes.append(sum(map(len, found)))
+            places += found
             chars += len(text)
             if chars >= block_chars:
                 yield from flushed()
-                ids, places, numbered, chars, block = [], [], _Numbered(), 0, block + 1
-    if ids:
+                keys, sizes, places, numbered, chars, block = [], [], [], _Numbered(), 0, block + 1
+    if keys:
         yield from flushed()
 
 
-def _split_rows(id_type, block, key, places, bucket, words, numbers) -> pa.RecordBatch:
-    n = len(block)
-    columns = {
-        "block": block,
-        "key": key if key is not None else pa.nulls(n, id_type),
-        "places": places if places is not None else pa.nulls(n, pa.binary()),
-        "bucket": bucket if bucket is not None else pa.nulls(n, pa.int32()),
-        "words": words if words is not None else pa.nulls(n, pa.list_(pa.string())),
-        "numbers": numbers if numbers is not None else pa.nulls(n, pa.list_(pa.int32())),
-        "is_text": pa.array(np.full(n, bucket is None)),
-    }
-    return pa.RecordBatch.from_pydict(columns)
+def _rows(key_type: pa.DataType, block: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"keys": pa.list_(key_type), "sizes": pa.list_(pa.int64()), "places": pa.binary(), "bucket": pa.int32(), "words": pa.list_(pa.string()), "numbers": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_pydict({"block": pa.array(np.full(n, block))} | {c: columns.get(c, pa.nulls(n, t)) for c, t in kinds.items()})
 
 
-def _written(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: one state for all readers, and a cut of the lineage."""
+def _bucketed(df: DataFrame, buckets: int, by: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: one state for all readers, a cut of the lineage, and rows that lie together by ``by``.
+
+    The table's name is given up at once; its files stay, and the result reads those.
+    """
     spark = df.sparkSession
     use_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/words-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"words_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    df.write.bucketBy(buckets, by).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _coded(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
+    """Ids and bytes of words that come in order, so each distinct word is encoded once and joined to all the blocks that hold it."""
+    coder, last, ids, raw = encoder(ranks_path), None, b"", b""
+    for batch in batches:
+        all_ids, all_bytes = [], []
+        for word in batch.column(2).to_pylist():
+            if word != last:
+                found = coder.ids(word.encode())
+                last, ids, raw = word, np.array(found, "<u4").tobytes(), b"".join([coder.tokens[i] for i in found])
+            all_ids.append(ids)
+            all_bytes.append(raw)
+        yield pa.RecordBatch.from_pydict({"block": batch.column(0), "number": batch.column(1), "ids": pa.array(all_ids, pa.binary()), "bytes": pa.array(all_bytes, pa.binary())})
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
@@ -283,67 +297,50 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     text has no ids. Each row is encoded by itself, so null or repeated ids, ties and repeated rows change
     nothing; an empty table gives an empty result, and other columns are not looked at.
     """
-    spark = docs.sparkSession
-    buckets = BUCKETS_EACH * n_partitions(spark)
-    key = T.StructField("key", docs.schema[id_col].dataType)
-    parts = T.StructType([T.StructField("block", T.LongType()), key, *T.StructType.fromDDL("places binary, bucket int, words array<string>, numbers array<int>, is_text boolean")])
+    n = n_partitions(docs.sparkSession)
+    key = docs.schema[id_col].dataType
+    parts = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key)), *T.StructType.fromDDL("sizes array<long>, places binary, bucket int, words array<string>, numbers array<int>")])
     texts = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
-    split = _written(texts.mapInArrow(lambda batches: _blocks(batches, buckets, block_chars), parts), "is_text")
-
-    dealt = split.where(~F.col("is_text")).select("block", "bucket", "words", "numbers").repartition(n_partitions(spark), "bucket")
-    held = dealt.select("block", "bucket", F.explode(F.arrays_zip("words", "numbers")).alias("w")).select("block", "bucket", F.col("w.words").alias("word"), F.col("w.numbers").alias("number"))
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = encoder(ranks_path).ids
-        for words in batches:
-            yield pd.Series([ids(w.encode()) for w in words])
+    split = _bucketed(texts.mapInArrow(lambda batches: _blocks(batches, BUCKETS_EACH * n, block_chars), parts), n, "block")
 
-    # Each distinct word once. Its bucket follows from it, so bucket and word are grouped and joined where the bucket lies.
-    distinct = held.groupBy("bucket", "word").agg(F.lit(1).alias("_")).select("bucket", "word", encode("word").alias("ids"))
-    named = token_table(spark, ranks_path).select(F.col("id").alias("_id"), "bytes")
-    pieces = distinct.select("bucket", "word", F.posexplode("ids").alias("at", "_id")).join(F.broadcast(named), "_id")
-    coded = pieces.groupBy("bucket", "word").agg(F.array_sort(F.collect_list(F.struct("at", "_id", "bytes"))).alias("tokens"))
-    back = held.join(coded, ["bucket", "word"]).select("block", "bucket", "number", F.col("tokens._id").alias("ids"), F.expr("aggregate(tokens.bytes, x'', (s, b) -> s || b)").alias("bytes"))
-    packed = back.groupBy("bucket", "block").agg(F.collect_list(F.struct("number", "ids", "bytes")).alias("coded"))
+    # A word's bucket follows from the word, so equal words meet where their bucket lies, and there in order.
+    dealt = split.where("bucket is not null").select("block", "bucket", "words", "numbers").repartition(n, "bucket")
+    held = dealt.select("block", F.explode_outer(F.arrays_zip("words", "numbers")).alias("w")).select("block", F.col("w.numbers").alias("number"), F.col("w.words").alias("word"))
+    coded = held.sortWithinPartitions("word").mapInArrow(lambda batches: _coded(batches, ranks_path), "of_block long, number int, ids binary, bytes binary")
 
-    positions = split.where("is_text").select("block", "key", "places")
-    out = T.StructType([key, *T.StructType.fromDDL("ids binary, decoded binary")])
-    of_block = packed.select(F.col("block").alias("of_block"), "coded")
-    return positions.groupBy("block").cogroup(of_block.groupBy("of_block")).applyInArrow(_put_together, out).withColumnRenamed("key", id_col)
+    # Positions stay where they were written; only the coded words of a block are moved to them.
+    positions = split.where("places is not null").select("block", "keys", "sizes", "places")
+    out = T.StructType([T.StructField("key", key), *T.StructType.fromDDL("ids binary, decoded binary")])
+    return positions.groupBy("block").cogroup(coded.groupBy("of_block")).applyInArrow(_put_together, out).withColumnRenamed("key", id_col)
 
 
 def _put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
     """Ids and bytes of a block's texts, from positions and the coded words."""
-    coded = words.column("coded").combine_chunks()
-    coded = (coded.flatten() if isinstance(coded, pa.ListArray) else pa.concat_arrays([c.flatten() for c in coded.chunks])) if len(words) else None
-    ids, decoded_ = [], []
-    if coded is not None:
-        number = coded.field("number").to_numpy(zero_copy_only=False)
-        lists = [_values_by_number(coded.field(c), number) for c in ("ids", "bytes")]
-    for raw in texts.column("places").to_pylist():
-        at = _from_planes(raw)
-        if not len(at):
-            ids.append(b"")
-            decoded_.append(b"")
-            continue
-        for out, (values, start, size) in zip((ids, decoded_), lists, strict=True):
-            n = size[at]
-            ends = np.cumsum(n)
-            out.append(values[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1])].tobytes())
-    return pa.table({"key": texts.column("key"), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded_, pa.binary())})
-
-
-def _values_by_number(lists: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All values in a row, and for each number where its own begin and how many there are."""
-    if pa.types.is_list(lists.type):
-        values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-    else:
-        buffers = lists.buffers()
-        offsets = np.frombuffer(buffers[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-        values = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+    number = words.column("number").to_numpy()
+    lists = [_by_number(words.column("ids"), number, "<u4"), _by_number(words.column("bytes"), number, np.uint8)]
+    keys, found = [], ([], [])
+    for row in texts.to_pylist():  # one
+        keys += row["keys"]
+        ends = np.cumsum(row["sizes"])
+        places = _unpacked(row["places"], int(ends[-1]))
+        for lo, hi in zip(ends - row["sizes"], ends, strict=True):
+            at = places[lo:hi]
+            for out, (values, start, size) in zip(found, lists, strict=True):
+                n = size[at]
+                after = np.cumsum(n)
+                out.append(values[np.repeat(start[at] - (after - n), n) + np.arange(after[-1])].tobytes() if len(at) else b"")
+    key_type = texts.schema.field("keys").type.value_type
+    return pa.table({"key": pa.array(keys, key_type), "ids": pa.array(found[0], pa.binary()), "decoded": pa.array(found[1], pa.binary())})
+
+
+def _by_number(column: pa.ChunkedArray, number: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of all words in a row and, by a word's number, where its own begin and how many they are."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    raw, width = whole.buffers()[2], np.dtype(kind).itemsize
+    values = np.frombuffer(raw, np.uint8)[: offsets[-1]].view(kind) if raw is not None else np.zeros(0, kind)
     start, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    start[number], size[number] = offsets[:-1], np.diff(offsets)
+    start[number], size[number] = offsets[:-1] // width, np.diff(offsets) // width
     return values, start, size
 
 
