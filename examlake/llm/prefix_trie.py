@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 #: Suffixes that a container holds at most.
-LIMIT = 4096
+LIMIT = 256
 #: Conversations whose ids lie in one range of so many are written down together before the digest of those that end at a node.
 RUN = 1 << 14
 #: Hex digits of a turn id (half a SHA-256 digest of role and text).
