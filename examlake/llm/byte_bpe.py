@@ -2,10 +2,11 @@
 
 Texts are split into words (matches of the splitting pattern) block by block; a block keeps its
 distinct words, numbered, and the positions of each text as numbers. The words of all blocks meet by
-hash and in order, so each distinct word is encoded once, its ids are looked up in the table of token
-bytes, and both are joined back to the blocks that hold the word. Each text is then put together
-again by position. A word of all blocks (a blank, "the") is a row for each block, never for each place.
-The positions lie bucketed by block, so only words travel.
+hash, bucket by bucket, so each distinct word is encoded once, its ids are looked up in the table of
+token bytes, and both are joined back to the blocks that hold the word. Each text is then put together
+again by position. A word of all blocks (a blank, "the") travels once for each block, never for each
+place, and a block's words of one bucket are one compressed row. The positions lie bucketed by block,
+so they don't travel at all.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import types as T
 from .common import n_partitions, text_or_empty, use_checkpoint_dir
 
 #: A block ends with the text that brings it to so many characters. Bounds memory, never results.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
+#: Bytes that the words of a bucket may take in a worker, about; what is beyond is encoded again when it comes again.
+BUCKET_BYTES = 128_000_000
 #: Words of more bytes than this are merged through a heap.
 LONG_WORD = 256
 #: Longer texts are split into words in stretches of about this length, so that no list holds all words of one text.
 STRETCH = 1_000_000
 #: Buckets of words for each shuffle partition.
-BUCKETS_EACH = 4
+BUCKETS_EACH = 8
 
 # The white space of the pattern.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -180,13 +183,16 @@ def splitter() -> Splitter:
     return Splitter()
 
 
+_ZSTD = pa.Codec("zstd")
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32, compressed: four runs of bytes, the lowest first, as the higher ones are nearly all zero."""
-    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+    return _ZSTD.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * n), np.uint8)
+    planes = np.frombuffer(_ZSTD.decompress(raw, 4 * n), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
@@ -207,14 +213,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int) -
     def flushed() -> Iterator[pa.RecordBatch]:
         at = np.concatenate(places) if places else np.zeros(0, np.uint32)
         yield _rows(key_type, block, 1, keys=pa.array([keys], pa.list_(key_type)), sizes=pa.array([sizes], pa.list_(pa.int64())), places=pa.array([_packed(at)], pa.binary()))
-        if numbered:
-            words = np.array(list(numbered), dtype=object)
-            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in numbered), np.int32, len(words))
-            order = np.argsort(bucket, kind="stable")
-            used, starts = np.unique(bucket[order], return_index=True)
-            offsets = pa.array(np.append(starts, len(words)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (words[order], order.astype(np.int32))]
-            yield _rows(key_type, block, len(used), bucket=pa.array(used), words=lists[0], numbers=lists[1])
+        words = [w.encode() for w in numbered]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        held = np.split(order, starts[1:]) if len(order) else []
+        joined = [[words[i] for i in some] for some in held]
+        if held:
+            yield _rows(
+                key_type, block, len(used), bucket=pa.array(used), n=pa.array([len(x) for x in held], pa.int32()), numbers=pa.array([_packed(x) for x in held], pa.binary()),
+                lengths=pa.array([_packed(np.fromiter(map(len, x), np.int64, len(x))) for x in joined], pa.binary()), words=pa.array([_ZSTD.compress(b"".join(x), asbytes=True) for x in joined], pa.binary()),
+            )
 
     for batch in batches:
         key_type = batch.schema.field(0).type
@@ -231,9 +240,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_chars: int) -
         yield from flushed()
 
 
-def _rows(key_type: pa.DataType, block: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"keys": pa.list_(key_type), "sizes": pa.list_(pa.int64()), "places": pa.binary(), "bucket": pa.int32(), "words": pa.list_(pa.string()), "numbers": pa.list_(pa.int32())}
-    return pa.RecordBatch.from_pydict({"block": pa.array(np.full(n, block))} | {c: columns.get(c, pa.nulls(n, t)) for c, t in kinds.items()})
+def _rows(key_type: pa.DataType, block: int, count: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"keys": pa.list_(key_type), "sizes": pa.list_(pa.int64()), "places": pa.binary(), "bucket": pa.int32(), "n": pa.int32(), "numbers": pa.binary(), "lengths": pa.binary(), "words": pa.binary()}
+    return pa.RecordBatch.from_pydict({"block": pa.array(np.full(count, block))} | {c: columns.get(c, pa.nulls(count, t)) for c, t in kinds.items()})
 
 
 def _bucketed(df: DataFrame, buckets: int, by: str) -> DataFrame:
@@ -252,17 +261,35 @@ def _bucketed(df: DataFrame, buckets: int, by: str) -> DataFrame:
 
 
 def _coded(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
-    """Ids and bytes of words that come in order, so each distinct word is encoded once and joined to all the blocks that hold it."""
-    coder, last, ids, raw = encoder(ranks_path), None, b"", b""
+    """Ids and bytes of each block's words. Rows come bucket by bucket, so what a bucket has seen is enough to encode each distinct word once."""
+    coder, bucket, seen, room = encoder(ranks_path), None, {}, BUCKET_BYTES
     for batch in batches:
-        all_ids, all_bytes = [], []
-        for word in batch.column(2).to_pylist():
-            if word != last:
-                found = coder.ids(word.encode())
-                last, ids, raw = word, np.array(found, "<u4").tobytes(), b"".join([coder.tokens[i] for i in found])
-            all_ids.append(ids)
-            all_bytes.append(raw)
-        yield pa.RecordBatch.from_pydict({"block": batch.column(0), "number": batch.column(1), "ids": pa.array(all_ids, pa.binary()), "bytes": pa.array(all_bytes, pa.binary())})
+        for at in range(batch.num_rows):
+            row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+            if row["bucket"] != bucket:
+                bucket, seen, room = row["bucket"], {}, BUCKET_BYTES
+            ends = np.cumsum(_unpacked(row["lengths"], row["n"]), dtype=np.int64).tolist()
+            words, start, ids, raw = _ZSTD.decompress(row["words"], ends[-1], asbytes=True), 0, [], []
+            for end in ends:
+                word = words[start:end]
+                start = end
+                found = seen.get(word)
+                if found is None:
+                    tokens = coder.ids(word)
+                    found = np.array(tokens, "<u4").tobytes(), b"".join([coder.tokens[i] for i in tokens])
+                    room -= 250 + 2 * len(word) + len(found[0])
+                    if room > 0:
+                        seen[word] = found
+                ids.append(found[0])
+                raw.append(found[1])
+            yield pa.RecordBatch.from_pylist([{
+                "of_block": row["block"], "n": row["n"], "numbers": row["numbers"],
+                "id_counts": _packed(np.fromiter(map(len, ids), np.int64, len(ids)) // 4), "ids": _packed(np.frombuffer(b"".join(ids), "<u4")),
+                "byte_counts": _packed(np.fromiter(map(len, raw), np.int64, len(raw))), "bytes": _ZSTD.compress(b"".join(raw), asbytes=True),
+            }], pa.schema(_CODED))
+
+
+_CODED = [("of_block", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary()), ("id_counts", pa.binary()), ("ids", pa.binary()), ("byte_counts", pa.binary()), ("bytes", pa.binary())]
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
@@ -299,14 +326,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """
     n = n_partitions(docs.sparkSession)
     key = docs.schema[id_col].dataType
-    parts = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key)), *T.StructType.fromDDL("sizes array<long>, places binary, bucket int, words array<string>, numbers array<int>")])
+    parts = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key)), *T.StructType.fromDDL("sizes array<long>, places binary, bucket int, n int, numbers binary, lengths binary, words binary")])
     texts = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
     split = _bucketed(texts.mapInArrow(lambda batches: _blocks(batches, BUCKETS_EACH * n, block_chars), parts), n, "block")
 
-    # A word's bucket follows from the word, so equal words meet where their bucket lies, and there in order.
-    dealt = split.where("bucket is not null").select("block", "bucket", "words", "numbers").repartition(n, "bucket")
-    held = dealt.select("block", F.explode_outer(F.arrays_zip("words", "numbers")).alias("w")).select("block", F.col("w.numbers").alias("number"), F.col("w.words").alias("word"))
-    coded = held.sortWithinPartitions("word").mapInArrow(lambda batches: _coded(batches, ranks_path), "of_block long, number int, ids binary, bytes binary")
+    # A word's bucket follows from the word, so equal words meet where their bucket lies.
+    dealt = split.where("bucket is not null").select("block", "bucket", "n", "numbers", "lengths", "words").repartition(n, "bucket").sortWithinPartitions("bucket")
+    coded = dealt.mapInArrow(lambda batches: _coded(batches, ranks_path), "of_block long, n int, numbers binary, id_counts binary, ids binary, byte_counts binary, bytes binary")
 
     # Positions stay where they were written; only the coded words of a block are moved to them.
     positions = split.where("places is not null").select("block", "keys", "sizes", "places")
@@ -316,8 +342,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
 
 def _put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
     """Ids and bytes of a block's texts, from positions and the coded words."""
-    number = words.column("number").to_numpy()
-    lists = [_by_number(words.column("ids"), number, "<u4"), _by_number(words.column("bytes"), number, np.uint8)]
+    numbers, counts, values = [], ([], []), ([], [])
+    for row in words.to_pylist():
+        numbers.append(_unpacked(row["numbers"], row["n"]))
+        id_counts, byte_counts = (_unpacked(row[c], row["n"]).astype(np.int64) for c in ("id_counts", "byte_counts"))
+        counts[0].append(id_counts)
+        counts[1].append(byte_counts)
+        values[0].append(_unpacked(row["ids"], int(id_counts.sum())))
+        values[1].append(np.frombuffer(_ZSTD.decompress(row["bytes"], int(byte_counts.sum())), np.uint8))
+    lists = [_by_number(np.concatenate(v), np.concatenate(c), np.concatenate(numbers)) for v, c in zip(values, counts, strict=True)] if numbers else []
     keys, found = [], ([], [])
     for row in texts.to_pylist():  # one
         keys += row["keys"]
@@ -325,22 +358,22 @@ def _put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
         places = _unpacked(row["places"], int(ends[-1]))
         for lo, hi in zip(ends - row["sizes"], ends, strict=True):
             at = places[lo:hi]
-            for out, (values, start, size) in zip(found, lists, strict=True):
+            for k, out in enumerate(found):
+                if not len(at):
+                    out.append(b"")
+                    continue
+                every, start, size = lists[k]
                 n = size[at]
                 after = np.cumsum(n)
-                out.append(values[np.repeat(start[at] - (after - n), n) + np.arange(after[-1])].tobytes() if len(at) else b"")
+                out.append(every[np.repeat(start[at] - (after - n), n) + np.arange(after[-1])].tobytes())
     key_type = texts.schema.field("keys").type.value_type
     return pa.table({"key": pa.array(keys, key_type), "ids": pa.array(found[0], pa.binary()), "decoded": pa.array(found[1], pa.binary())})
 
 
-def _by_number(column: pa.ChunkedArray, number: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The values of all words in a row and, by a word's number, where its own begin and how many they are."""
-    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
-    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
-    raw, width = whole.buffers()[2], np.dtype(kind).itemsize
-    values = np.frombuffer(raw, np.uint8)[: offsets[-1]].view(kind) if raw is not None else np.zeros(0, kind)
-    start, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    start[number], size[number] = offsets[:-1] // width, np.diff(offsets) // width
+def _by_number(values: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``values`` and, by a word's number, where its own begin and how many they are."""
+    start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    start[numbers], size[numbers] = np.cumsum(counts) - counts, counts
     return values, start, size
 
 
