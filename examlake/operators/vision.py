@@ -120,8 +120,8 @@ def fatal_defects(e: dict[str, Column]) -> Column:
     over = lambda k: e[k] > FATAL[k] if k in e else off
     under = lambda k: e[k] < FATAL[k] if k in e else off
     return every_failure(
-        (over("clipped_px"), "CLIPPED"), (over("glare_collision") | over("glare_fraction"), "GLARE"), (under("acutance") | over("edge_spread"), "BLUR"), (under("stroke_contrast") | over("faint_fraction"), "INK_LOSS"),
-        (over("margin_occlusion") & e.get("geometry_reliable", F.lit(True)), "OCCLUDED"), (F.abs(e["aspect_deviation"]) > FATAL["aspect_deviation"] if "aspect_deviation" in e else off, "ASPECT"),
+        (over("clipped_px"), "FATAL_TEXT_CLIPPED"), (over("glare_collision") | over("glare_fraction"), "FATAL_GLARE_COLLISION"), (under("acutance") | over("edge_spread"), "FATAL_OPTICAL_DEFOCUS"), (under("stroke_contrast") | over("faint_fraction"), "FATAL_INK_LOSS"),
+        (over("margin_occlusion") & e.get("geometry_reliable", F.lit(True)), "FATAL_MARGIN_OCCLUSION"), (F.abs(e["aspect_deviation"]) > FATAL["aspect_deviation"] if "aspect_deviation" in e else off, "FATAL_GEOMETRIC_COLLAPSE"),
     )
 
 
@@ -142,6 +142,46 @@ def verdict(fatal: Column, risks: Column) -> Column:
     return F.when(F.size(fatal) > 0, "UNUSABLE").when(F.size(risks) == 0, "GOOD").when((F.size(risks) == 1) & F.array_contains(risks, "Shadow"), "ACCEPTABLE").when((F.size(risks) <= 2) & soft, "ACCEPTABLE").otherwise("BORDERLINE")
 
 
+# What an operator is told about each defect.
+GUIDANCE = {
+    "FATAL_TEXT_CLIPPED": "Position page fully inside camera viewfinder to prevent boundary clipping.",
+    "FATAL_OPTICAL_DEFOCUS": "Hold camera steady and ensure optical auto-focus locks on student handwriting.",
+    "FATAL_GLARE_COLLISION": "Turn off direct overhead flash or adjust page angle to eliminate specular glare.",
+    "FATAL_MARGIN_OCCLUSION": "Remove fingers, clips, or foreign obstructions from the document margins.",
+    "FATAL_INK_LOSS": "Handwriting contrast too faint. Ensure well-lit capture or request student use dark pen.",
+    "FATAL_GEOMETRIC_COLLAPSE": "Place page flat on a contrasting background to ensure proper corner detection.",
+}
+# What a reviewer is asked about each risk; %s is the measure beside it.
+CHECKLIST = {
+    "Blur": ("Inspect character clarity (acutance: %s). Ensure words are decipherable.", "acutance", 1.0, "%.1f"),
+    "Contrast": ("Inspect faint stroke segments (faint stroke ratio: %s%%). Check pencil markings.", "faint_fraction", 100.0, "%.1f"),
+    "Faint strokes": ("Inspect faint stroke segments (faint stroke ratio: %s%%). Check pencil markings.", "faint_fraction", 100.0, "%.1f"),
+    "Shadow": ("Inspect darkest shadow region (quadrant deficit: %s levels). Confirm text not lost.", "background_deficit", 1.0, "%.1f"),
+    "Skew": ("Inspect text baseline tilt (%s°). Confirm line grouping is intact.", "skew", 1.0, "%.1f"),
+    "Separation": ("Inspect character topological separation (Otsu eta: %s). Confirm characters do not bridge.", "otsu_eta", 1.0, "%.3f"),
+}
+
+
+def guidance(fatal: Column) -> Column:
+    """Sentences for the defects found, in their order, with a bar between."""
+    says = F.create_map(*[F.lit(x) for kv in GUIDANCE.items() for x in kv])
+    return F.array_join(F.transform(fatal, lambda c: F.coalesce(says[c], F.concat(F.lit("Address physical defect: "), c))), " | ")
+
+
+def checklist(risks: Column, e: dict[str, Column]) -> Column:
+    """What to look at on a page for review, an entry for each risk in order; measures that are not given show as null."""
+    asked = F.lit(None).cast("string")
+    says = {risk: F.format_string(text, F.format_string(form, e[m] * k)) if m in e else asked for risk, (text, m, k, form) in CHECKLIST.items()}
+
+    def entry(risk: Column) -> Column:
+        out = F.concat(F.lit("Inspect document condition regarding: "), risk)
+        for name, said in says.items():
+            out = F.when(risk == name, said).otherwise(out)
+        return out
+
+    return F.transform(risks, entry)
+
+
 def rescan_decision(fatal: Column, risks: Column, sparse: Column) -> Column:
     v = verdict(fatal, risks)
     return F.when(F.size(fatal) > 0, "RESCAN").when(sparse, "HUMAN_REVIEW").when(v == "GOOD", "CONTINUE").when((v == "ACCEPTABLE") & (F.size(risks) <= 1), "CONTINUE").otherwise("HUMAN_REVIEW")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cents, first_failure, js_round
-from ..operators import correction, geometry
+from ..operators import correction, geometry, vision
 from ..operators.statistics import percentiles
 from ..sources import domain
 from ..sources.domain import SQL as D
@@ -64,14 +64,9 @@ def cache_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("evaluation_id", "question_number", F.coalesce(code, F.lit("FRESH")).alias("staleness"))
 
 
-# What an operator is told about each defect.
-GUIDANCE = {"BLUR": "Hold the camera still and refocus.", "INK_LOSS": "Add light; the writing is too faint.", "GLARE": "Avoid reflections.", "CLIPPED": "Show the whole page.", "OCCLUDED": "Move fingers off the page.", "ASPECT": "Hold the camera level."}
-
-
-@query(_EVIDENCE + "SELECT page_id, array_to_string(list_transform(fatal, lambda x: CASE x WHEN 'BLUR' THEN 'Hold the camera still and refocus.' WHEN 'INK_LOSS' THEN 'Add light; the writing is too faint.' END), ' | ') AS guidance FROM v WHERE len(fatal) > 0")
+@query(_EVIDENCE + f"""SELECT page_id, array_to_string(list_transform(fatal, lambda x: CASE x {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in vision.GUIDANCE.items())} END), ' | ') AS guidance FROM v WHERE len(fatal) > 0""")
 def operator_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    says = F.create_map(*[F.lit(x) for kv in GUIDANCE.items() for x in kv])
-    return quality_verdict(spark, sf_dir).where("fatal <> ''").select("page_id", F.array_join(F.transform(F.split("fatal", ","), lambda c: says[c]), " | ").alias("guidance"))
+    return quality_verdict(spark, sf_dir).where("fatal <> ''").select("page_id", vision.guidance(F.split("fatal", ",")).alias("guidance"))
 
 
 @query("""SELECT p_partkey AS question_id, 'Question: ' || p_name || chr(10) || 'Maximum marks: ' || p_size || chr(10) || CASE WHEN p_size > 25 THEN 'Rubric:' || chr(10) || '1. Method (' || p_size // 2 || ')' || chr(10) || '2. Result (' || (p_size - p_size // 2) || ')' ELSE 'No rubric' END AS prompt FROM part""")

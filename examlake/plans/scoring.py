@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import js_round
 from ..operators import planning, scoring, vision
 from ..sources import domain
 
@@ -23,8 +24,8 @@ x AS (SELECT *, least(greatest(1 - gap, 0::DOUBLE), 1::DOUBLE) AS agreement, n =
 k AS (SELECT *, CASE WHEN n = 1 THEN s[1] WHEN range = 0 THEN s[1] WHEN n = 2 THEN (s[1] + s[2]) / 2 WHEN upper THEN (s[2] + s[3]) / 2 WHEN lower THEN (s[1] + s[2]) / 2 ELSE s[2] END AS marks,
   CASE WHEN n = 1 THEN 'SINGLE_FALLBACK' WHEN range = 0 THEN 'UNANIMOUS' WHEN upper OR lower THEN 'MAJORITY_QUORUM' ELSE 'WEIGHTED_MEDIAN' END AS strategy,
   CASE WHEN agreement >= 0.9::DOUBLE THEN least(0.98::DOUBLE, mean + 0.08::DOUBLE) WHEN agreement < 0.75::DOUBLE THEN greatest(0.4::DOUBLE, mean - 0.2::DOUBLE) ELSE mean END AS confidence FROM x),
-o AS (SELECT evaluation_id, question_number, question_id, moderator_id, least(greatest(floor(marks * 10 + 0.5::DOUBLE) / 10, 0::DOUBLE), m) AS marks, strategy, floor(range * 10 + 0.5::DOUBLE) / 10 AS score_range, floor(agreement * 100 + 0.5::DOUBLE) / 100 AS agreement,
-  floor(confidence * 100 + 0.5::DOUBLE) / 100 AS confidence, (flag OR gap > 0.15::DOUBLE OR confidence < 0.82::DOUBLE) AS needs_review FROM k)
+o AS (SELECT evaluation_id, question_number, question_id, moderator_id, CASE WHEN n = 1 THEN s1 ELSE least(greatest(floor(marks * 10 + 0.5::DOUBLE) / 10, 0::DOUBLE), m) END AS marks, strategy, CASE WHEN n = 1 THEN 0::DOUBLE ELSE floor(range * 10 + 0.5::DOUBLE) / 10 END AS score_range, CASE WHEN n = 1 THEN 1::DOUBLE ELSE floor(agreement * 100 + 0.5::DOUBLE) / 100 END AS agreement,
+  CASE WHEN n = 1 THEN c1 ELSE floor(confidence * 100 + 0.5::DOUBLE) / 100 END AS confidence, CASE WHEN n = 1 THEN flag ELSE (flag OR gap > 0.15::DOUBLE OR confidence < 0.82::DOUBLE) END AS needs_review FROM k)
 """
 
 
@@ -49,6 +50,44 @@ def consensus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select(*_KEYS, agreed.alias("c")).select(*_KEYS, "c.*")
 
 
+_HUNDREDTHS = "floor({} * 100 + 0.5::DOUBLE) / 100"
+_TEXT = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS evaluation_id, l_linenumber AS question_number, l_partkey AS question_id, l_suppkey AS moderator_id, l_linenumber % 3 + 1 AS n, p_size::DOUBLE AS m, floor(p_size * 0.6::DOUBLE + 0.5::DOUBLE) AS a, {_HUNDREDTHS.format("least(l_quantity, p_size::DOUBLE)")} AS s1,
+  {_HUNDREDTHS.format("least(l_quantity, p_size::DOUBLE) * (1::DOUBLE - l_discount)")} AS s2, {_HUNDREDTHS.format("least(l_quantity, p_size::DOUBLE) * (1::DOUBLE - l_tax)")} AS s3, 1::DOUBLE - l_discount AS c1, 1::DOUBLE - l_tax AS c2, l_returnflag, l_linestatus, l_returnflag = 'R' AS flag FROM lineitem JOIN part ON l_partkey = p_partkey),
+q AS (SELECT *, ([s1, s2, s3])[1:n] AS given, list_sort(([s1, s2, s3])[1:n]) AS s, ([c1, c2, 0.9::DOUBLE])[1:n] AS c FROM r),
+g AS (SELECT *, s[n] - s[1] AS range, CASE WHEN m > 0 THEN (s[n] - s[1]) / m ELSE 0 END AS gap, m * 0.18::DOUBLE AS t FROM q),
+k AS (SELECT *, CASE WHEN n = 1 THEN s1 ELSE least(greatest(floor(CASE WHEN range = 0 THEN s[1] WHEN n = 2 THEN (s[1] + s[2]) / 2 WHEN s[2] - s[1] > t AND s[3] - s[2] <= t THEN (s[2] + s[3]) / 2 WHEN s[3] - s[2] > t AND s[2] - s[1] <= t THEN (s[1] + s[2]) / 2 ELSE s[2] END * 10 + 0.5::DOUBLE) / 10, 0::DOUBLE), m) END AS marks FROM g)
+SELECT evaluation_id, question_number, question_id, moderator_id, marks, s[1] * 0.5::DOUBLE AS low, s[n] AS high,
+  CASE WHEN n = 1 THEN s1 * 0.5::DOUBLE ELSE least(a, floor((0::DOUBLE + s1 * 0.5::DOUBLE + CASE WHEN n > 1 THEN s2 * 0.5::DOUBLE ELSE 0 END + CASE WHEN n > 2 THEN s3 * 0.5::DOUBLE ELSE 0 END) / n * 10 + 0.5::DOUBLE) / 10) END AS method_marks,
+  CASE WHEN n = 1 THEN s1 * 0.25::DOUBLE ELSE least(m - a, floor((0::DOUBLE + s1 * 0.25::DOUBLE + CASE WHEN n > 2 THEN s3 * 0.25::DOUBLE ELSE 0 END) / CASE WHEN n > 2 THEN 2 ELSE 1 END * 10 + 0.5::DOUBLE) / 10) END AS result_marks,
+  CASE WHEN n = 1 THEN CASE WHEN l_linestatus = 'F' THEN 'steps shown' ELSE ' ' END WHEN l_linestatus = 'F' THEN 'steps shown' ELSE 'seen by 2' END AS method_evidence, CASE WHEN n = 1 THEN '' ELSE '{scoring.NO_EVIDENCE}' END AS result_evidence,
+  array_to_string(CASE WHEN n = 1 OR l_returnflag = 'b' THEN [l_returnflag] ELSE [l_returnflag, 'b'] END, ',') AS missing, CASE WHEN n = 1 THEN 'model-1' ELSE 'Ensemble (' || array_to_string((['model-1', 'model-2', 'model-3'])[1:n], ' + ') || ')' END AS model,
+  CASE WHEN n = 1 THEN 'as marked' ELSE 'Consensus score: ' || {_TEXT.format("marks")} || '/' || m::BIGINT || ' across ' || n || ' parallel models.' || CASE WHEN gap > 0.15::DOUBLE THEN ' ⚠ Divergence notice: Models varied by ' || printf('%.1f', floor(range * 10 + 0.5::DOUBLE) / 10) || ' marks (' || floor(gap * 100 + 0.5::DOUBLE)::BIGINT || '%). Examiner inspection recommended.' ELSE '' END
+    || chr(10) || array_to_string(list_transform(given, lambda x, i: '[model-' || i || ': ' || {_TEXT.format("x")} || '/' || m::BIGINT || '] as marked'), chr(10)) END AS summary FROM k""")
+def consensus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records that scorers agree on: range, criteria, concepts, summary and names. The second scorer judges one criterion only."""
+    line, part = domain.table(spark, sf_dir, "lineitem"), domain.table(spark, sf_dir, "part")
+    m, n = F.col("p_size").cast("double"), (F.col("l_linenumber") % 3 + 1).cast("int")
+    a = F.floor(m * 0.6 + 0.5).cast("double")
+    s1 = F.least("l_quantity", m)
+
+    def result(i: int, marks: Column, confidence: Column) -> Column:
+        marks = js_round(marks, 2)
+        method = F.struct(F.lit("Method").alias("name"), a.alias("max_marks"), (marks * 0.5).alias("awarded"), (F.when(F.col("l_linestatus") == "F", "steps shown").otherwise(" ") if i == 1 else F.lit(f"seen by {i}")).alias("evidence"))
+        value = F.struct(F.lit("Result").alias("name"), (m - a).alias("max_marks"), (marks * 0.25).alias("awarded"), F.lit("").alias("evidence"))
+        parts = (F.lit(f"model-{i}"), marks, marks * 0.5, marks, confidence, F.col("l_returnflag") == "R", F.array(method) if i == 2 else F.array(method, value), F.array("l_returnflag") if i == 1 else F.array(F.lit("b"), "l_returnflag"), F.lit("as marked"))
+        return F.struct(*[v.alias(c) for c, v in zip(("model", "marks", "low", "high", "confidence", "review", "criteria", "missing", "summary"), parts, strict=True)]).cast(scoring.RESULT)
+
+    results = F.array(result(1, s1, 1 - F.col("l_discount")), result(2, s1 * (1 - F.col("l_discount")), 1 - F.col("l_tax")), result(3, s1 * (1 - F.col("l_tax")), F.lit(0.9)))
+    rows = line.join(part, line["l_partkey"] == part["p_partkey"])
+    keys = [F.col(c).alias(k) for c, k in zip(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _KEYS, strict=True)]
+    r = scoring.consensus_records(rows.select(*keys, F.slice(results, F.lit(1), n).alias("results"), m.alias("m")), "results", "m", "r")
+    at = lambda i, c: F.get("r.criteria", F.lit(i))[c]
+    return r.select(*_KEYS, "r.marks", "r.low", "r.high", at(0, "awarded").alias("method_marks"), at(1, "awarded").alias("result_marks"), at(0, "evidence").alias("method_evidence"), at(1, "evidence").alias("result_evidence"), F.array_join("r.missing", ",").alias("missing"), "r.model", "r.summary")
+
+
 @query(_SCORED + "SELECT strategy, CASE WHEN confidence >= 0.85::DOUBLE THEN 'HIGH' WHEN confidence >= 0.70::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS band, count(*) AS n, count(*) FILTER (needs_review) AS to_review FROM o GROUP BY ALL")
 def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus_scores(spark, sf_dir).groupBy("strategy", scoring.confidence_band(F.col("confidence")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_if("needs_review").alias("to_review"))
@@ -162,7 +201,7 @@ def grid_regional_background(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EVIDENCE = f"""WITH {_GRID}, r AS (SELECT page_id, label, {_REGIONS} AS r, list_aggregate(g, 'quantile_cont', 0.9) - list_aggregate(g, 'quantile_cont', 0.1) AS delta, list_aggregate(g, 'quantile_cont', 0.5) AS mid, list_aggregate({_LAP}, 'var_pop') AS lap, g FROM g),
 e AS (SELECT page_id, round(lap / 20, 3) AS acutance, round(delta, 3) AS stroke_contrast, round(len(list_filter(g, lambda x: abs(x - mid) < 25)) / 64::DOUBLE, 3) AS faint_fraction, round(list_min(r) / list_max(r), 3) AS background_ratio, round(list_max(r) - list_min(r), 3) AS background_deficit, (label * 2)::DOUBLE AS skew FROM r),
-d AS (SELECT *, list_filter([CASE WHEN acutance < 120 THEN 'BLUR' END, CASE WHEN stroke_contrast < 18 OR faint_fraction > 0.60::DOUBLE THEN 'INK_LOSS' END], lambda x: x IS NOT NULL) AS fatal,
+d AS (SELECT *, list_filter([CASE WHEN acutance < 120 THEN 'FATAL_OPTICAL_DEFOCUS' END, CASE WHEN stroke_contrast < 18 OR faint_fraction > 0.60::DOUBLE THEN 'FATAL_INK_LOSS' END], lambda x: x IS NOT NULL) AS fatal,
   list_filter([CASE WHEN acutance < 220 THEN 'Blur' END, CASE WHEN stroke_contrast < 35 THEN 'Contrast' END, CASE WHEN faint_fraction > 0.35::DOUBLE THEN 'Faint strokes' END, CASE WHEN skew > 7 THEN 'Skew' END, CASE WHEN background_ratio < 0.65::DOUBLE OR background_deficit > 45 THEN 'Shadow' END], lambda x: x IS NOT NULL) AS risks FROM e),
 v AS (SELECT *, CASE WHEN len(fatal) > 0 THEN 'UNUSABLE' WHEN len(risks) = 0 THEN 'GOOD' WHEN len(risks) = 1 AND list_contains(risks, 'Shadow') THEN 'ACCEPTABLE' WHEN len(risks) <= 2 AND NOT list_contains(risks, 'Blur') AND NOT list_contains(risks, 'Contrast') THEN 'ACCEPTABLE' ELSE 'BORDERLINE' END AS verdict FROM d)
 """
