@@ -86,14 +86,21 @@ def part_offsets(ranked: DataFrame, total: str) -> DataFrame:
     )
 
 
+#: Hashes of ids are compared in this many steps, so a share of rows is exact to one in 4e18.
+_STEPS = 1 << 62
+
+
+def hash_limit(total: int, max_rows: int) -> int:
+    """The hash (below ``_STEPS``) under which about ``max_rows`` of ``total`` rows lie; all of them where there are no more."""
+    return _STEPS if total <= max_rows else _STEPS * max_rows // total
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """Texts and labels of at most about ``max_rows`` training rows (crc32 of the id mod 5 is not 0).
 
-    The rows are those of least hash, so the same for the same table. Their ids are few enough to
-    broadcast, so texts are not moved.
+    The rows are those of least hash, so the same for the same table, however large it is. Their ids are few
+    enough to broadcast, so texts are not moved. An id that has both labels gives a row for each of them.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", F.col(label).cast("int").alias(label)).distinct()
-    total = usable.count()
-    if total > max_rows:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    usable = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(hash_limit(usable.count(), max_rows)))
     return docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(usable), "doc_id")  # max_rows ids

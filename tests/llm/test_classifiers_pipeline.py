@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from examlake.llm import rule_ensemble, toxicity
+from examlake.llm import common, rule_ensemble, toxicity
 from examlake.llm.queries import op3_quality_ensemble, op7_toxicity_kernel
 
 SF = "/root/testdata/sf0.01"
@@ -172,3 +172,19 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == kept.count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_training_rows_are_bounded_at_any_size(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    usable = {i for i in range(4000) if zlib.crc32(str(i).encode()) % 5}
+    taken = {r.doc_id for r in common.labelled_rows(docs, labels, "toxic", 500).collect()}
+    assert taken < usable and 400 < len(taken) < 600
+    assert {r.doc_id for r in common.labelled_rows(docs, labels, "toxic", 4000).collect()} == usable
+    for total in (30_000_000_000, 10**15, 10**18):  # rows are still taken where labels are very many
+        share = common.hash_limit(total, 20_000) / common.hash_limit(1, 1)
+        assert share * total == pytest.approx(20_000, rel=1e-3)
+    monkeypatch.setattr(common, "hash_limit", lambda total, most, whole=common.hash_limit: whole(30_000_000_000 // 4000 * total, most * 10**7))
+    assert 0 < common.labelled_rows(docs, labels, "toxic", 50).count() < 400
+    both = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic"))).where("doc_id < 10")
+    assert sorted(r.toxic for r in common.labelled_rows(docs, both, "toxic", 100).where("doc_id = 1").collect()) in ([], [0, 1])
