@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import significance
 from ..operators import statistics as ops
 from ..operators import text as tx
 from ..sources import domain
@@ -147,6 +148,29 @@ def turn_pairs(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFr
     return domain.table(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ref", F.lag("text").over(w)).where("role = 'assistant'").select("conv_id", "turn", "ref", "text")
 
 
+_TELEMETRY = ("ref_chars", "text_chars", "ref_words", "blanks", "letters_e", "turn")
+_SWEPT = _TURNS + """, v AS (SELECT levenshtein(a, b) / greatest(1, length(a)) AS cer, length(a)::DOUBLE AS ref_chars, length(b)::DOUBLE AS text_chars, (length(a) - length(replace(a, ' ', '')))::DOUBLE AS ref_words, (length(b) - length(replace(b, ' ', '')))::DOUBLE AS blanks, (length(b) - length(regexp_replace(b, '[eE]', '', 'g')))::DOUBLE AS letters_e, turn::DOUBLE AS turn FROM n),
+u AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS x, cer AS y FROM v" for m in _TELEMETRY) + """),
+k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY metric ORDER BY y) + (count(*) OVER (PARTITION BY metric, y) - 1) / 2.0::DOUBLE AS ry FROM u)
+"""
+
+
+@query(_SWEPT + f"SELECT metric, count(*) AS n, round({_pearson('x', 'y')}, 6) AS r, round({_pearson('rx', 'ry')}, 6) AS rho FROM k GROUP BY 1")
+def telemetry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How measures of a turn go with its error rate, all from one unpivoted table."""
+    return telemetry_significance(spark, sf_dir).select("metric", "n", "r", "rho")
+
+
+@query()
+def telemetry_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the chance of each correlation under none."""
+    pairs = turn_pairs(spark, sf_dir, folded=True)
+    a, b = tx.normalised(F.coalesce("ref", F.lit(""))), tx.normalised(F.col("text"))
+    without = lambda c, p: (F.char_length(c) - F.char_length(F.regexp_replace(c, p, ""))).cast("double")
+    rows = pairs.select(tx.char_error_rate(F.col("ref"), F.col("text")).alias("cer"), F.char_length(a).alias("ref_chars"), F.char_length(b).alias("text_chars"), without(a, " ").alias("ref_words"), without(b, " ").alias("blanks"), without(b, "[eE]").alias("letters_e"), "turn")
+    return rounded(significance.sweep(rows, list(_TELEMETRY), "cer"), "r", "rho", "r_p", "rho_p")
+
+
 @query(_TURNS + "SELECT conv_id, turn, round(levenshtein(a, b) / greatest(1, length(a)), 6) AS cer, round(greatest(0::DOUBLE, 1 - levenshtein(a, b) / greatest(1, length(a))), 6) AS accuracy, (levenshtein(a, b) / greatest(1, length(a)) >= 0.85 OR b = '') AS failed FROM n")
 def ocr_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cer(turn_pairs(spark, sf_dir, folded=True))
