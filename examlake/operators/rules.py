@@ -115,36 +115,33 @@ def custody(evaluations: DataFrame, book_status: Column) -> DataFrame:
 
 def issues_of_marks(evaluations: DataFrame, marks: DataFrame, questions: DataFrame) -> DataFrame:
     """The issues that :func:`duplicate_marks`, :func:`total_over_maximum`, :func:`arithmetic_gap`, :func:`per_mark` and
-    :func:`incomplete` find, from one scan and one join of the marks: an aggregation by question, then one by evaluation.
+    :func:`incomplete` find. Those of a single mark come straight from its row; only numbers are summed, by question and
+    then by evaluation, combined before each shuffle.
     """
     rows = marks.join(questions.select("question_id", "max_marks"), "question_id", "left")
     m, s = F.col("marks"), F.col("mark_status")
-    text = lambda *c: F.concat_ws("-", *c)
-    own = text(*[F.col(c).cast("string") for c in ("evaluation_id", "question_number", "question_id")])
-    found = lambda rule, key, detail: F.struct(F.concat(F.lit(f"{rule}-"), key).alias("issue_id"), F.lit(rule).alias("rule"), detail.alias("detail"))
-    bad = lambda test, rule: F.when(test, found(rule, own, F.format_string("%.2f", "marks")))
-    row_issues = F.array_compact(F.array(bad(m < 0, "negative"), bad(m > F.col("max_marks"), "over-rubric"), bad((s == "NOT_ATTEMPTED") & (m != 0), "not-attempted-with-marks")))
-    known = F.col("max_marks").isNotNull()
+    text = lambda *c: F.concat_ws("-", *[F.col(x).cast("string") for x in c])
+    slash = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
+
+    def found(df: DataFrame, key: Column, *rules: tuple[Column, str, Column]) -> DataFrame:
+        each = F.array_compact(F.array(*[F.when(holds, F.struct(F.concat(F.lit(f"{rule}-"), key).alias("issue_id"), F.lit(rule).alias("rule"), detail.alias("detail"))) for holds, rule, detail in rules]))
+        severity = F.when(F.col("i.rule") == "arithmetic", "MEDIUM").otherwise("HIGH")
+        return df.select("evaluation_id", F.explode(each).alias("i")).select("i.issue_id", "i.rule", severity.alias("severity"), "evaluation_id", "i.detail")
+
+    told = F.format_string("%.2f", "marks")
+    of_marks = found(rows, text("evaluation_id", "question_number", "question_id"), (m < 0, "negative", told), (m > F.col("max_marks"), "over-rubric", told), ((s == "NOT_ATTEMPTED") & (m != 0), "not-attempted-with-marks", told))
     by_question = rows.groupBy("evaluation_id", "question_number").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(known, cents(m))).alias("c"), F.sum("max_marks").alias("m"), F.sum(cents(F.col("amount"))).alias("a"),
-        F.max(s.isin("MARKED", "FLAGGED", "NOT_ATTEMPTED")).alias("seen"), F.flatten(F.collect_list(row_issues)).alias("issues"),
-    )
-    key = text(F.col("evaluation_id").cast("string"), F.col("question_number").cast("string"))
-    twice = F.when(F.col("n") > 1, found("duplicate", key, F.col("n").cast("string")))
-    sums = by_question.groupBy("evaluation_id").agg(
-        F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("a").alias("a"), F.count_if("seen").alias("seen"), F.max("question_number").cast("bigint").alias("top"),
-        F.flatten(F.collect_list(F.concat("issues", F.array_compact(F.array(twice))))).alias("issues"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("max_marks").isNotNull(), cents(m))).alias("c"), F.sum("max_marks").alias("m"), F.sum(cents(F.col("amount"))).alias("a"), F.max(s.isin("MARKED", "FLAGGED", "NOT_ATTEMPTED")).alias("seen")
     )
+    twice = found(by_question, text("evaluation_id", "question_number"), (F.col("n") > 1, "duplicate", F.col("n").cast("string")))
+    sums = by_question.groupBy("evaluation_id").agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.sum("a").alias("a"), F.count_if("seen").alias("seen"), F.max("question_number").cast("bigint").alias("top"))
     both = sums.join(evaluations.select("evaluation_id", "status", "total_marks"), "evaluation_id", "left")
-    there, e, gap = F.col("status").isNotNull() | F.col("total_marks").isNotNull(), F.col("evaluation_id").cast("string"), F.abs(F.col("a") - cents(F.col("total_marks")))
-    slash = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
-    whole = F.array_compact(F.array(
-        F.when(there & (F.col("c") > F.col("m") * 100), found("over-maximum", e, slash("c", "m"))), F.when(gap > 1, found("arithmetic", e, gap.cast("string"))),
-        F.when(F.col("status").isin(*AWAITING) & (F.col("seen") < F.col("top")), found("incomplete", e, slash("seen", "top"))),
-    ))
-    each = both.select("evaluation_id", F.explode(F.concat("issues", whole)).alias("i"))
-    severity = F.when(F.col("i.rule") == "arithmetic", "MEDIUM").otherwise("HIGH")
-    return each.select("i.issue_id", "i.rule", severity.alias("severity"), "evaluation_id", "i.detail")
+    there, gap = F.col("status").isNotNull() | F.col("total_marks").isNotNull(), F.abs(F.col("a") - cents(F.col("total_marks")))
+    whole = found(
+        both, text("evaluation_id"), (there & (F.col("c") > F.col("m") * 100), "over-maximum", slash("c", "m")), (gap > 1, "arithmetic", gap.cast("string")),
+        (F.col("status").isin(*AWAITING) & (F.col("seen") < F.col("top")), "incomplete", slash("seen", "top")),
+    )
+    return all_issues(of_marks, twice, whole)
 
 
 def all_issues(*frames: DataFrame) -> DataFrame:

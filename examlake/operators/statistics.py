@@ -46,18 +46,23 @@ def gini(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return s.select(*keys, F.when((F.col("n") > 1) & (F.col("s") != 0), g).otherwise(0.0).alias("gini"))
 
 
-def spread(value: str) -> list[Column]:
-    """Aggregates of the non-zero values: mean, population deviation, quartiles, IQR and coefficient of variation."""
+def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Of the non-zero values of each group: mean, population deviation, least, greatest, quartiles, their distance and the coefficient of variation.
+
+    Quartiles come from ranks by ranges of values, so a group may hold most of the rows.
+    """
     x = F.when(F.col(value) != 0, F.col(value))
-    mean, std = F.avg(x), F.stddev_pop(x)
-    p25, p75 = F.percentile(x, 0.25), F.percentile(x, 0.75)
-    return [mean.alias("mean"), std.alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), p25.alias("p25"), p75.alias("p75"), (p75 - p25).alias("iqr"), F.coalesce(F.try_divide(std, mean), F.lit(0.0)).alias("cov")]
+    sums = rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"))
+    quartiles = percentiles(rows.where(F.col(value) != 0), keys, value, {"p25": 0.25, "p75": 0.75})
+    same = [sums[k].eqNullSafe(quartiles[k]) for k in keys]
+    both = sums.join(quartiles, same, "left").select(*[sums[c] for c in sums.columns], "p25", "p75")
+    return both.withColumns({"iqr": F.col("p75") - F.col("p25"), "cov": F.coalesce(F.try_divide("std", "mean"), F.lit(0.0))})
 
 
 def mad_sigma(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """1.4826 times the median distance from the median, by group."""
-    middle = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_m"))
-    return rows.join(middle, keys).groupBy(*keys).agg((F.percentile(F.abs(F.col(value) - F.col("_m")), 0.5) * 1.4826).alias("sigma"))
+    """1.4826 times the median distance from the median, by group; both medians from ranks by ranges of values."""
+    away = rows.join(percentiles(rows, keys, value, {"_m": 0.5}), keys).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
+    return percentiles(away, keys, "_d", {"sigma": 0.5}).withColumn("sigma", F.col("sigma") * 1.4826)
 
 
 def otsu_eta(rows: DataFrame, keys: list[str], value: str, threshold: str) -> DataFrame:

@@ -37,7 +37,7 @@ def distribution_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT user_id, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS low, max(x) AS high, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr,
 CASE WHEN avg(x) <> 0 THEN stddev_pop(x) / avg(x) ELSE 0 END AS cov FROM (SELECT user_id, nullif(value, 0) AS x FROM events) GROUP BY 1) SELECT user_id, {_r('mean std low high p25 p75 iqr cov')} FROM s""")
 def distribution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(events(spark, sf_dir).groupBy("user_id").agg(*ops.spread("value")), "mean", "std", "low", "high", "p25", "p75", "iqr", "cov")
+    return rounded(ops.spread(events(spark, sf_dir), ["user_id"], "value"), "mean", "std", "low", "high", "p25", "p75", "iqr", "cov")
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.15), 6) AS p15, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.85), 6) AS p85,
