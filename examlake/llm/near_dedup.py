@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, releasing, text_or_empty
 from .graph import components
 
 #: Chance that a pair at 0.8 shares no bucket: (1 - 0.8 ** ROWS) ** BANDS, 5e-6.
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 4,
     with a null component. Other columns are ignored; an empty table gives no rows.
     """
     given = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    feats = checkpointed(given.mapInArrow(_features(shingle_words), "id long, n_shingles long, set_key binary, bands array<bigint>"))
+    feats = checkpointed(given.mapInArrow(releasing(_features(shingle_words)), "id long, n_shingles long, set_key binary, bands array<bigint>"))
     classes = feats.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     reps = checkpointed(classes)
     families = checkpointed(_families(reps).join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node"))
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_words: int = 4,
     placed = families.select("node", "family").join(by_family.select("family", "n_blocks"), "family").select(
         F.col("node").alias("_id"), "family", "n_blocks", block.alias("block"), F.when(small, F.pmod(F.xxhash64("family"), F.lit(n_bins))).otherwise(F.col("family")).alias("bin")
     )
-    sets = given.join(placed, "_id").mapInPandas(_sets(shingle_words), "_id long, family long, n_blocks int, block int, bin long, shingles binary")
+    sets = given.join(placed, "_id").mapInPandas(releasing(_sets(shingle_words)), "_id long, family long, n_blocks int, block int, bin long, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     dealt = sets.select(F.col("_id").alias("id"), "family", "block", (F.col("n_blocks") == 1).alias("small"), "bin", "shingles", other)
     dealt = dealt.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, n_partitions, text_or_empty
+from .common import checkpointed, n_partitions, releasing, text_or_empty
 from .tokens import encoder
 
 _PLACE = T.StructType([T.StructField("bin", T.LongType()), T.StructField("shift", T.IntegerType()), T.StructField("fill", T.IntegerType()), T.StructField("first", T.BooleanType())])
@@ -69,7 +69,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             yield pa.RecordBatch.from_arrays([ids_, pa.array(numbers[:, 0].astype(np.int32)), *[pa.array(numbers[:, c]) for c in (1, 2, 3)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     given = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    return given.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return given.mapInArrow(releasing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan_in: int = 8, hand_on: int = 1024) -> DataFrame:
@@ -109,7 +109,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.98, fan
         yield from part.to_batches(10_000)
 
     fields = T.StructType([*dealt.schema.fields, *_PLACE.fields])
-    packed = checkpointed(dealt.mapInArrow(locally, fields))
+    packed = checkpointed(dealt.mapInArrow(releasing(locally), fields))
 
     def merge(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         fills = bins["fill"].tolist()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, labelled_rows, text_or_empty
+from .common import checkpointed, labelled_rows, releasing, text_or_empty
 
 #: Labelled training rows at most; chosen by a hash of the id.
 MAX_ROWS = 20_000
@@ -272,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
     texts): then nothing can be learnt.
     """
     rows = labelled_rows(docs, labels, "toxic", max_rows).withColumn("fifth", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    words = checkpointed(rows.where("fifth <> 0").select("text", "toxic").mapInPandas(_words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    words = checkpointed(rows.where("fifth <> 0").select("text", "toxic").mapInPandas(releasing(_words), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     total = words.agg(F.sum("t"), F.sum("c"), F.count(F.lit(1))).first()
     t_all, c_all, n_words = (x or 0 for x in total)
     if not t_all or not c_all:
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
         at = [i for i, (n, _) in enumerate(places) if n == length]
         weights[length] = (np.array([places[i][1] for i in at], np.int64), by_place[at].astype(np.float32))
     model = ToxicityModel(weights, float(beta[-1]), (2.0, 0.0, 0.0))
-    held = rows.where("fifth = 0").select("doc_id", "text", "toxic").mapInPandas(_tops(model), "doc_id long, toxic int, first float, second float").drop("doc_id").collect()  # max_rows / 5
+    held = rows.where("fifth = 0").select("doc_id", "text", "toxic").mapInPandas(releasing(_tops(model)), "doc_id long, toxic int, first float, second float").drop("doc_id").collect()  # max_rows / 5
     y = np.array([r.toxic for r in held])
     if min(y.sum(), len(y) - y.sum()) >= 3:
         top = np.clip([[r.first, r.second] for r in held], -1.5, 1.5)
@@ -343,9 +343,12 @@ def with_score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
 
     @F.pandas_udf("double")
     def chance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = model.tables()
-        for texts in batches:
-            top = np.clip(top_two(texts.tolist(), tables, model.bias), -1.5, 1.5).astype(np.float64)
-            yield pd.Series(1 / (1 + np.exp(-(a * top[:, 0] + b * top[:, 1] + c))))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tables = model.tables()
+            for texts in batches:
+                top = np.clip(top_two(texts.tolist(), tables, model.bias), -1.5, 1.5).astype(np.float64)
+                yield pd.Series(1 / (1 + np.exp(-(a * top[:, 0] + b * top[:, 1] + c))))
+
+        yield from releasing(run)(batches)
 
     return docs.withColumn(out_col, chance(text_or_empty(text_col)))
