@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,16 @@ def _bucketed(rows: DataFrame, keys: list[str], value: str, n_buckets: int) -> D
     ``n_buckets`` - 1 approximate quantiles of all rows; they decide how even the ranges are, never the ranks.
     """
     cuts = rows.select(F.percentile_approx(value, [k / n_buckets for k in range(1, n_buckets)], 1000)).first()[0] or []
-    at = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col(value)))
+    # A sum of comparisons: a filter of an array by a lambda would be carried over to the other side of the join, where the value isn't.
+    at = reduce(lambda n, c: n + F.when(F.col(value) > float(c), 1).otherwise(0), sorted(set(cuts)), F.lit(0))
     marked = rows.withColumn("_b", at)
-    sizes = marked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a group
-    return marked.join(sizes.select(*keys, "_b", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total")), [*keys, "_b"])
+    # Columns of the sizes have names of their own, so the join is of two frames and not of one with itself.
+    own = [f"_k{i}" for i in range(len(keys))]
+    sizes = marked.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col("_b").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*own).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a group
+    sizes = sizes.select(*own, "_r", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*own)).alias("_total"))
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)] + [F.col("_b") == F.col("_r")]
+    return marked.join(sizes, on).drop(*own, "_r")
 
 
 def ranked(rows: DataFrame, keys: list[str], value: str, tie: list[str], name: str, n_buckets: int = 64) -> DataFrame:
