@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, events, gates, ingest, regions, rules, scopes, scoring, statistics
+from . import dashboards, events, gates, ingest, ledger, regions, rules, scopes, scoring, statistics
 
-MODULES: tuple = (dashboards, rules, statistics, scoring, events, ingest, gates, scopes, regions)
+MODULES: tuple = (dashboards, rules, statistics, scoring, events, ingest, gates, scopes, regions, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -72,9 +72,10 @@ _MODES = ("DEFAULT", "ALL", "APPROVED")
 @query(D + """SELECT mode, evaluation_id, status FROM evaluations, (VALUES ('DEFAULT'), ('ALL'), ('APPROVED')) t(mode)
 WHERE CASE mode WHEN 'DEFAULT' THEN status IN ('SUBMITTED', 'UNDER_REVIEW') WHEN 'ALL' THEN status IN ('SUBMITTED', 'UNDER_REVIEW', 'APPROVED', 'RETURNED') ELSE status = mode END""")
 def moderation_queue_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = domain.evaluations(spark, sf_dir).select("evaluation_id", "status")
+    rows = domain.evaluations(spark, sf_dir).select("evaluation_id", "status", "started_at")
     in_mode = F.array_compact(F.array(*[F.when(ops.queue_mode(F.col("status"), None if m == "DEFAULT" else m), m) for m in _MODES]))
-    return rows.select(F.explode(in_mode).alias("mode"), "evaluation_id", "status")
+    shown = rows.select(F.explode(in_mode).alias("mode"), "evaluation_id", "status", "started_at")
+    return shown.orderBy("mode", F.col("started_at").desc(), "evaluation_id").drop("started_at")  # latest first, as the queue is shown
 
 
 @query(D + """SELECT moderator_name, m.evaluation_id, question_number, v.status, e.examiner_name, e.exam, marked_at FROM marks m JOIN moderators USING (moderator_id) LEFT JOIN evaluations v ON v.evaluation_id = m.evaluation_id LEFT JOIN examiners e USING (examiner_id)
@@ -82,7 +83,7 @@ WHERE moderator_id = 3 AND reviewed""")
 def moderator_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.filtered(domain.marks(spark, sf_dir), moderator_id=3, reviewed=True).join(domain.moderators(spark, sf_dir).select("moderator_id", "moderator_name"), "moderator_id")
     whole = rows.join(domain.evaluations(spark, sf_dir).select("evaluation_id", "status", "examiner_id"), "evaluation_id", "left").join(domain.examiners(spark, sf_dir), "examiner_id", "left")
-    return whole.select("moderator_name", "evaluation_id", "question_number", "status", "examiner_name", "exam", "marked_at")
+    return whole.select("moderator_name", "evaluation_id", "question_number", "status", "examiner_name", "exam", "marked_at").orderBy(F.col("marked_at").desc(), "evaluation_id", "question_number")
 
 
 _RESULTS = """, results AS (SELECT evaluation_id AS result_id, evaluation_id, examiner_id, exam, examiner_name, institution, total_marks, started_at AS finalized_at, CASE quality_status WHEN 'PASSED' THEN 'PUBLISHED' ELSE 'WITHHELD' END AS status
