@@ -2,7 +2,9 @@
 
 A turn is a list of parts; a visitor (one case for each type) turns text into escaped
 text and an image, audio or document into an ordered placeholder, and notes the
-attachment's reference and the tokens that the placeholder expands to. Escaping writes
+attachment's reference and the tokens that the placeholder expands to. A part that a text
+referred to stands where the reference stood, with a placeholder of its own kind, so reading
+back puts the reference into the text again. Escaping writes
 ``\\`` as ``\\b``, ``<`` as ``\\l`` and a line break inside a role as ``\\n``, so no text can
 hold a control string, and reading back is exact.
 """
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 OPEN, HEAD_END, CLOSE = "<|turn|>", "\n", "<|end|>"
 ATTACHMENTS = ("image", "audio", "document")
+#: In a placeholder: the part was a reference in a text.
+IN_TEXT = "ref:"
 #: Tokens that a placeholder expands to where a part names none.
 TOKENS = {"image": 256, "audio": 128, "document": 512}
 PART = "struct<type: string, text: string, ref: string, n_tokens: int>"
@@ -39,12 +43,12 @@ def flatten_parts(parts: Column) -> Column:
     """Struct of ``body``, ``attachments`` (type, ref, tokens, in order) and ``n_expanded``.
 
     A null part, an unknown type without text and a null text give nothing; an unknown type with a
-    text counts as text.
+    text counts as text. An attachment with a text was a reference in a text: ``![type](ref)``.
     """
     is_attachment = lambda p: p.type.isin(list(ATTACHMENTS))
     default = F.create_map(*[x for k, v in TOKENS.items() for x in (F.lit(k), F.lit(v))])
     given = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    body = F.array_join(F.transform(given, lambda p: F.when(is_attachment(p), F.concat(F.lit("<|"), p.type, F.lit("|>"))).otherwise(escaped(F.coalesce(p.text, F.lit(""))))), "")
+    body = F.array_join(F.transform(given, lambda p: F.when(is_attachment(p), F.concat(F.lit("<|"), F.when(F.coalesce(p.text, F.lit("")) != "", IN_TEXT).otherwise(""), p.type, F.lit("|>"))).otherwise(escaped(F.coalesce(p.text, F.lit(""))))), "")
     attachments = F.transform(F.filter(given, is_attachment), lambda p: F.struct(p.type.alias("type"), p.ref.alias("ref"), F.coalesce(p.n_tokens, default[p.type]).alias("n_tokens")))
     return F.struct(body.alias("body"), attachments.alias("attachments"), F.aggregate(attachments, F.lit(0).cast("long"), lambda s, a: s + a.n_tokens).alias("n_expanded"))
 
@@ -93,17 +97,33 @@ def format_turns(turns: DataFrame, block: int = 64) -> DataFrame:
 
 
 #: Pieces of a body: a placeholder, or a run of escaped text (which holds no ``<``).
-_PIECES = r"<\|(?:image|audio|document)\|>|[^<]+"
+_PIECES = r"<\|(?:ref:)?(?:image|audio|document)\|>|[^<]+"
 
 
-def read_parts(body: Column) -> Column:
-    """The typed parts that a body was made from, in order: (``type``, ``text``); neighbouring texts are one part, empty ones none."""
+def _pieces(body: Column) -> Column:
+    """The pieces of a body, in order: ``type``, ``text`` and whether the piece was a reference in a text."""
+    is_ref = lambda p: p.startswith(f"<|{IN_TEXT}")
+    begin = lambda p: F.when(is_ref(p), 3 + len(IN_TEXT)).otherwise(3)
     return F.transform(
         F.regexp_extract_all(body, F.lit(_PIECES), F.lit(0)),
-        lambda p: F.when(p.startswith("<|"), F.struct(F.substring(p, F.lit(3), F.char_length(p) - 4).alias("type"), F.lit("").alias("text"))).otherwise(F.struct(F.lit("text").alias("type"), unescaped(p).alias("text"))),
+        lambda p: F.when(p.startswith("<|"), F.struct(F.substring(p, begin(p), F.char_length(p) - begin(p) - 1).alias("type"), F.lit("").alias("text"), is_ref(p).alias("in_text"))).otherwise(
+            F.struct(F.lit("text").alias("type"), unescaped(p).alias("text"), F.lit(False).alias("in_text"))
+        ),
     )
 
 
+def read_parts(body: Column) -> Column:
+    """The typed parts that a body was made from, in order: (``type``, ``text``); neighbouring texts are one part, empty ones none."""
+    return F.transform(_pieces(body), lambda p: F.struct(p.type.alias("type"), p.text.alias("text")))
+
+
+def _restored(pieces: Column, before: Column) -> Column:
+    """Parts (type, text) of a turn with ``before`` attachments in the turns before it; references in texts have their text again."""
+    nth = lambda i: before + F.size(F.filter(F.slice(pieces, F.lit(1), i + 1), lambda q: q.type != "text")) - 1
+    source = lambda p, i: F.concat(F.lit("!["), p.type, F.lit("]("), F.get(F.col("attachments"), nth(i)).ref, F.lit(")"))
+    return F.transform(pieces, lambda p, i: F.struct(p.type.alias("type"), F.when(p.in_text, source(p, i)).otherwise(p.text).alias("text")))
+
+
 def _part_text(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: p.text), "")
 
@@ -112,28 +132,40 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """From ``formatted`` and ``loss_spans`` alone: ``turns`` (role, text, parts) and ``loss_texts``.
 
     ``parts`` has the type of each part, so a placeholder differs from a text that looks like one; its
-    reference and tokens are the entry of ``attachments`` of the same order. ``text`` joins the texts
-    and leaves attachments out, as ``loss_texts`` do.
+    reference and tokens are the entry of ``attachments`` of the same order. ``text`` joins the texts,
+    references in them as they stood, and leaves other attachments out, as ``loss_texts`` do.
     """
     raw = F.filter(F.split("formatted", "<\\|turn\\|>"), lambda s: s != "")
     turns = F.transform(
         raw,
         lambda s: F.struct(
             _unrole(F.substring_index(s, HEAD_END, 1)).alias("role"),
-            read_parts(F.substring(s, F.instr(s, F.lit(HEAD_END)) + 1, F.char_length(s) - F.instr(s, F.lit(HEAD_END)) - len(CLOSE))).alias("parts"),
+            _pieces(F.substring(s, F.instr(s, F.lit(HEAD_END)) + 1, F.char_length(s) - F.instr(s, F.lit(HEAD_END)) - len(CLOSE))).alias("pieces"),
         ),
     )
-    turns = F.transform(turns, lambda t: F.struct(t.role.alias("role"), _part_text(t.parts).alias("text"), t.parts.alias("parts")))
+    # Where attachments begin in each turn; conversations without any need no counting.
+    count = lambda t: F.size(F.filter(t.pieces, lambda p: p.type != "text"))
+    running = F.aggregate(
+        F.col("_turns"), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, t: F.struct((s.at + count(t)).alias("at"), F.concat(s.starts, F.array(s.at)).alias("starts")), lambda s: s.starts,
+    )
+    starts = F.when(F.size("attachments") > 0, running)
+    parts = lambda t, i: _restored(t.pieces, F.coalesce(F.get(F.col("_starts"), i), F.lit(0)))
+    whole = F.transform(F.col("_turns"), lambda t, i: F.struct(t.role.alias("role"), parts(t, i).alias("parts")))
+    said = F.transform(F.col("_whole"), lambda t: F.struct(t.role.alias("role"), _part_text(t.parts).alias("text"), t.parts.alias("parts")))
     loss = F.transform("loss_spans", lambda x: _part_text(read_parts(F.substring(F.col("formatted"), (x.start + 1).cast("int"), x.length.cast("int")))))
-    return formatted.withColumns({"turns": turns, "loss_texts": loss})
+    held = formatted.withColumn("_turns", turns).withColumn("_starts", starts).withColumn("_whole", whole)
+    return held.withColumns({"turns": said, "loss_texts": loss}).drop("_turns", "_starts", "_whole")
+
+
+_REFERENCE = r"!\[(?:image|audio|document)\]\([^()\s]+\)"
 
 
 def referenced_parts(text: Column) -> Column:
-    """A text as parts: its whole text, then one part for each reference in it, ``![image](place)``, ``![audio](place)`` or ``![document](place)``, in order."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"!\[(?:image|audio|document)\]\([^()\s]+\)"), F.lit(0))
-    none = F.lit(None).cast("string"), F.lit(None).cast("int")
-    refs = F.transform(
-        found,
-        lambda m: F.struct(F.regexp_extract(m, r"\[([a-z]+)\]", 1).alias("type"), none[0].alias("text"), F.regexp_extract(m, r"\(([^()\s]+)\)", 1).alias("ref"), none[1].alias("n_tokens")),
-    )
-    return F.concat(text_part(text), refs)
+    """A text as parts in its own order: texts, and where it refers to something, ``![image](place)``, ``![audio](place)`` or ``![document](place)``, a part of that type."""
+    given = F.coalesce(text, F.lit(""))
+    of_text = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("n_tokens"))
+    of_ref = lambda m: F.struct(F.regexp_extract(m, r"\[([a-z]+)\]", 1).alias("type"), m.alias("text"), F.regexp_extract(m, r"\(([^()\s]+)\)", 1).alias("ref"), F.lit(None).cast("int").alias("n_tokens"))
+    texts, found = F.split(given, _REFERENCE, -1), F.regexp_extract_all(given, F.lit(_REFERENCE), F.lit(0))
+    pairs = F.flatten(F.zip_with(texts, found, lambda t, m: F.array(of_text(t), F.when(m.isNotNull(), of_ref(m)))))
+    return F.when(F.instr(given, F.lit("![")) > 0, F.filter(pairs, lambda p: p.isNotNull())).otherwise(text_part(text))

@@ -92,12 +92,12 @@ WITH c AS (
 p AS (
   SELECT *, CASE WHEN role = 'assistant' THEN [] ELSE regexp_extract_all(t, '!\[(?:image|audio|document)\]\([^()\s]+\)') END AS found FROM c),
 q AS (
-  SELECT conv_id, turn, role, t, list_transform(found, lambda m: regexp_extract(m, '\[([a-z]+)\]', 1)) AS kinds,
+  SELECT conv_id, turn, role, t, CASE WHEN role = 'assistant' THEN t ELSE regexp_replace(t, '!\[(?:image|audio|document)\]\([^()\s]+\)', '', 'g') END AS rest, list_transform(found, lambda m: regexp_extract(m, '\[([a-z]+)\]', 1)) AS kinds,
          list_transform(found, lambda m: regexp_extract(m, '\[([a-z]+)\]', 1) || ':' || regexp_extract(m, '\(([^()\s]+)\)', 1)) AS refs FROM p),
 a AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t) AS said,
          coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '') AS loss,
-         sum(8 + length(role) + 1 + length(t) + length(t) - length(replace(replace(t, chr(92), ''), '<', '')) + coalesce(list_sum(list_transform(kinds, lambda k: length(k) + 4)), 0) + 7) AS formatted_chars,
+         sum(8 + length(role) + 1 + length(rest) + length(rest) - length(replace(replace(rest, chr(92), ''), '<', '')) + coalesce(list_sum(list_transform(kinds, lambda k: length(k) + 8)), 0) + 7) AS formatted_chars,
          sum(len(kinds)) AS n_attachments, coalesce(sum(list_sum(list_transform(kinds, lambda k: CASE k WHEN 'image' THEN 256 WHEN 'audio' THEN 128 ELSE 512 END))), 0) AS n_expanded,
          coalesce(string_agg(array_to_string(refs, ','), ',' ORDER BY turn, role, t) FILTER (len(refs) > 0), '') AS attachments
   FROM q GROUP BY conv_id)

@@ -117,6 +117,17 @@ def test_references_in_texts_and_their_sql(spark, tmp_path):
     assert {r.conv_id: (r.n_attachments, r.n_expanded, r.attachments) for r in got.collect()} == {1: (3, 896, "image:a.png,audio:b.wav,document:p.pdf"), 2: (0, 0, ""), -7: (0, 0, "")}
 
 
+def test_references_keep_their_place(spark):
+    text = "see ![image](a) then ![audio](b) < end![document](c)"
+    rows = [(1, 0, "user", text), (1, 1, "assistant", "fine"), (1, 2, "user", "![image](d)![image](e)x"), (1, 3, "user", "<|ref:image|>![image](a b)")]
+    turns = spark.createDataFrame(rows, TURNS).select("conv_id", "turn", "role", chat.referenced_parts(F.col("text")).alias("parts"))
+    made = chat.format_turns(turns, block=2)
+    assert made.first().formatted.startswith("<|turn|>user\nsee <|ref:image|> then <|ref:audio|> \\l end<|ref:document|><|end|>")
+    back = chat.read_back(made).first()
+    assert [t.text for t in back.turns] == [r[3] for r in rows] and [a.ref for a in back.attachments] == list("abcde")
+    assert [tuple(p) for p in back.turns[0].parts] == [("text", "see "), ("image", "![image](a)"), ("text", " then "), ("audio", "![audio](b)"), ("text", " < end"), ("document", "![document](c)")]
+
+
 def test_clashing_columns_of_turns(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a")], TURNS).select("*", chat.text_part(F.col("text")).alias("parts"), F.lit("x").alias("body"), F.lit("y").alias("_block"), F.lit("z").alias("items"))
     assert chat.format_turns(rows).first().formatted == "<|turn|>user\na<|end|>"
