@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from examlake.functions.expr import clamp, falsy, js_round
-from examlake.operators import planning, rules, scoring
+from examlake.operators import planning, rules, scoring, vision
 from examlake.plans import scoring as scoring_plans
 
 
@@ -69,7 +69,7 @@ def test_book_transitions(spark):
     ("scores", "maximum", "marks", "strategy"),
     [
         ([8.5, 8.5, 8.5], 10, 8.5, "UNANIMOUS"), ([9.0, 8.5, 4.0], 10, 8.8, "MAJORITY_QUORUM"), ([9.0, 6.0], 10, 7.5, "WEIGHTED_MEDIAN"), ([7.0], 10, 7.0, "SINGLE_FALLBACK"), ([2.0, 5.0, 9.0], 10, 5.0, "WEIGHTED_MEDIAN"),
-        ([1.0, 2.0, 9.0], 10, 1.5, "MAJORITY_QUORUM"), ([0.0, 0.0], 0, 0.0, "UNANIMOUS"), ([12.0], 10, 10.0, "SINGLE_FALLBACK"),
+        ([1.0, 2.0, 9.0], 10, 1.5, "MAJORITY_QUORUM"), ([0.0, 0.0], 0, 0.0, "UNANIMOUS"), ([12.0], 10, 12.0, "SINGLE_FALLBACK"),  # passed through as it is
     ],
 )
 def test_consensus_cases(spark, scores, maximum, marks, strategy):
@@ -137,3 +137,29 @@ def test_slots_open_only_up_to_the_level_that_covers_the_books(spark):
         books, people = spark.range(n).select(F.col("id").alias("book_id")), spark.createDataFrame(list(enumerate(loads)), "examiner_id long, load int")
         assert planning._water_level(books, people).first().top == top
         assert planning.assign_least_loaded(books, people).count() == n
+
+
+def test_a_single_scorer_is_passed_through(spark):
+    row = spark.sql("select array(7.34D) as s, array(0.6D) as c, array(false) as r, 10D as m")
+    got = row.select(scoring.consensus(F.col("s"), F.col("c"), F.col("r"), F.col("m")).alias("x")).first().x
+    assert (got.marks, got.confidence, got.needs_review, got.agreement, got.score_range, got.strategy) == (7.34, 0.6, False, 1.0, 0.0, "SINGLE_FALLBACK")
+
+
+def test_whole_records_of_scorers(spark):
+    one = ("m1", 8.0, 7.0, 9.0, 0.9, False, [("Method", 6.0, 5.0, " "), ("Result", 4.0, 3.0, "shown")], ["heap", "stack"], "good")
+    two = ("m2", 6.0, 5.5, 8.0, 0.8, False, [("Method", 6.0, 9.0, "steps")], ["stack", "queue"], "fair")
+    rows = spark.createDataFrame([(1, [one, two], 10.0), (2, [two], 10.0), (3, [one, one, one], 10.0)], f"k int, results array<{scoring.RESULT}>, m double")
+    got = {r.k: r.record for r in scoring.consensus_records(rows, "results", "m").collect()}
+    both = got[1]
+    assert (both.marks, both.low, both.high, both.agreement, both.confidence, both.needs_review) == (7.0, 5.5, 9.0, 0.8, 0.85, True)
+    assert [tuple(c) for c in both.criteria] == [("Method", 6.0, 6.0, "steps"), ("Result", 4.0, 3.0, "shown")] and both.missing == ["heap", "stack", "queue"] and both.model == "Ensemble (m1 + m2)"
+    assert both.summary == "Consensus score: 7/10 across 2 parallel models. ⚠ Divergence notice: Models varied by 2.0 marks (20%). Examiner inspection recommended.\n[m1: 8/10] good\n[m2: 6/10] fair"
+    assert (got[2].marks, got[2].confidence, got[2].needs_review, got[2].model, got[2].summary) == (6.0, 0.8, False, "m2", "fair") and [tuple(c) for c in got[2].criteria] == [("Method", 6.0, 9.0, "steps")]
+    assert got[3].strategy == "UNANIMOUS" and got[3].summary.startswith("Consensus score: 8/10 across 3 parallel models.\n[m1") and got[3].criteria[0].evidence == scoring.NO_EVIDENCE
+
+
+def test_guidance_and_checklist(spark):
+    row = spark.sql("select array('FATAL_INK_LOSS', 'ODD') as fatal, array('Skew', 'Faint strokes', 'Small glyphs') as risks, 8.26D as skew, 0.4D as faint_fraction")
+    says, asks = row.select(vision.guidance(F.col("fatal")), vision.checklist(F.col("risks"), {"skew": F.col("skew"), "faint_fraction": F.col("faint_fraction")})).first()
+    assert says == "Handwriting contrast too faint. Ensure well-lit capture or request student use dark pen. | Address physical defect: ODD"
+    assert asks == ["Inspect text baseline tilt (8.3°). Confirm line grouping is intact.", "Inspect faint stroke segments (faint stroke ratio: 40.0%). Check pencil markings.", "Inspect document condition regarding: Small glyphs"]
