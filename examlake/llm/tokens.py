@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Bytes that a worker's cache of words may take, about. Bounds memory, never results.
-CACHE_BYTES = 40_000_000
+CACHE_BYTES = 56_000_000
 #: What an entry takes beside its key and ids.
 _ENTRY_BYTES = 200
 
