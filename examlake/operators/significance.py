@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import pearson
-from .statistics import average_ranks
+from .statistics import value_ranks, with_ranks
 
 
 def _gamma_ratio(a: Column) -> Column:
@@ -55,10 +55,12 @@ def sweep(rows: DataFrame, metrics: list[str], target: str) -> DataFrame:
     """``metric``, ``n``, ``r``, ``rho`` (ranks of ties shared) and their ``r_p`` and ``rho_p`` of each metric against ``target``.
 
     Rows without the metric or the target are left out of that metric. A metric or target that is constant has 0 for both
-    and no chance is small: its p is 1. All metrics are one unpivoted table, ranked by ranges of values.
+    and no chance is small: its p is 1. All metrics are one unpivoted table, ranked by ranges of distinct values; ``rows`` is read several times.
     """
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
     long = rows.select(F.explode(cells).alias("c"), F.col(target).cast("double").alias("y")).select("c.metric", "c.x", "y").where("x is not null and y is not null")
-    ranked = average_ranks(average_ranks(long, ["metric"], "x", "rx"), ["metric"], "y", "ry")
+    ranked = long
+    for value, name in (("x", "rx"), ("y", "ry")):
+        ranked = with_ranks(ranked, value_ranks(long, ["metric"], value, name), ["metric"], value, name)
     out = ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"), pearson("rx", "ry").alias("rho"))
     return out.withColumns({"r_p": t_two_sided(F.col("r"), F.col("n")), "rho_p": t_two_sided(F.col("rho"), F.col("n"))})

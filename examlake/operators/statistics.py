@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import pearson
 
 
-def _bucketed(rows: DataFrame, keys: list[str], value: str, n_buckets: int) -> DataFrame:
-    """Adds ``_b``, a range of ``value`` (equal values share one), and ``_before``, the rows of the group in the ranges before.
+def _bucketed(rows: DataFrame, keys: list[str], value: str, n_buckets: int, weight: Column | None = None) -> DataFrame:
+    """Adds ``_b``, a range of ``value`` (equal values share one), and ``_before``, the rows of the group in the ranges before (or the sum of their ``weight``).
 
     So few groups, or one that holds most rows, are still ranked by many tasks. The bounds are
     ``n_buckets`` - 1 approximate quantiles of all rows; they decide how even the ranges are, never the ranks.
@@ -22,7 +22,7 @@ def _bucketed(rows: DataFrame, keys: list[str], value: str, n_buckets: int) -> D
     marked = rows.withColumn("_b", at)
     # Columns of the sizes have names of their own, so the join is of two frames and not of one with itself.
     own = [f"_k{i}" for i in range(len(keys))]
-    sizes = marked.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col("_b").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = marked.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col("_b").alias("_r")).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*own).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range of a group
     sizes = sizes.select(*own, "_r", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*own)).alias("_total"))
     on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)] + [F.col("_b") == F.col("_r")]
@@ -86,11 +86,27 @@ def ordinal_ranks(rows: DataFrame, keys: list[str], value: str, tie: str, name:
     return ranked(rows, keys, value, [tie], name).drop("_total").withColumn(name, F.col(name).cast("double"))
 
 
+def value_ranks(rows: DataFrame, keys: list[str], value: str, name: str, n_buckets: int = 64) -> DataFrame:
+    """The rank of each distinct value of a group, the mean of the places that its rows share: ``keys``, ``value`` and ``name``.
+
+    Equal values are counted before they are ranked, so a value that most rows have is one row here.
+    """
+    tied = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    lower = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("_before") + F.coalesce(F.sum("_c").over(lower), F.lit(0)) + (F.col("_c") + 1) / 2.0
+    return _bucketed(tied, keys, value, n_buckets, F.col("_c")).select(*keys, value, rank.alias(name))
+
+
+def with_ranks(rows: DataFrame, ranks: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the rank that :func:`value_ranks` gave to their value."""
+    own = {c: f"_v{i}" for i, c in enumerate((*keys, value))}
+    other = ranks.select(*[F.col(c).alias(o) for c, o in own.items()], name)
+    return rows.join(other, [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()]).drop(*own.values())
+
+
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str, n_buckets: int = 64) -> DataFrame:
     """Ranks by group; equal values share the mean of their places."""
-    own = Window.partitionBy(*keys, "_b")  # equal values are in one range
-    rank = F.col("_before") + F.rank().over(own.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_b", value)) - 1) / 2.0
-    return _bucketed(rows, keys, value, n_buckets).withColumn(name, rank).drop("_b", "_before", "_total")
+    return with_ranks(rows, value_ranks(rows, keys, value, name, n_buckets), keys, value, name)
 
 
 def correlation(rows: DataFrame, keys: list[str], x: str, y: str, name: str) -> DataFrame:

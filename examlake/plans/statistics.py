@@ -10,6 +10,7 @@ from ..operators import statistics as ops
 from ..operators import text as tx
 from ..sources import domain
 from ..sources.domain import SQL as D
+from .events import folder
 from .registry import registry
 
 QUERIES, ORACLE, query = registry()
@@ -145,7 +146,9 @@ def turn_pairs(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFr
     """Each assistant's turn and the turn before; ``folded``: as the SQL has them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     text = F.regexp_replace("text", r"[^\x00-\x7F]", "?") if folded else F.col("text")
-    return domain.table(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ref", F.lag("text").over(w)).where("role = 'assistant'").select("conv_id", "turn", "ref", "text")
+    pairs = domain.table(spark, sf_dir, "conversations").withColumn("text", text).withColumn("ref", F.lag("text").over(w)).where("role = 'assistant'").select("conv_id", "turn", "ref", "text")
+    # An edit distance costs far more than its texts to move: dealing pairs spreads few bytes, and long conversations, over all tasks.
+    return pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
 
 
 _TELEMETRY = ("ref_chars", "text_chars", "ref_words", "blanks", "letters_e", "turn")
@@ -167,7 +170,11 @@ def telemetry_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = turn_pairs(spark, sf_dir, folded=True)
     a, b = tx.normalised(F.coalesce("ref", F.lit(""))), tx.normalised(F.col("text"))
     without = lambda c, p: (F.char_length(c) - F.char_length(F.regexp_replace(c, p, ""))).cast("double")
-    rows = pairs.select(tx.char_error_rate(F.col("ref"), F.col("text")).alias("cer"), F.char_length(a).alias("ref_chars"), F.char_length(b).alias("text_chars"), without(a, " ").alias("ref_words"), without(b, " ").alias("blanks"), without(b, "[eE]").alias("letters_e"), "turn")
+    rows = pairs.select(tx.char_error_rate(F.col("ref"), F.col("text")).alias("cer"), F.char_length(a).alias("ref_chars"), F.char_length(b).alias("text_chars"), without(a, " ").alias("ref_words"), without(b, " ").alias("blanks"), without(b, "[eE]").alias("letters_e"), F.col("turn").cast("double").alias("turn"))
+    # Read by every ranking below, and an edit distance is dear: written once in the shared folder.
+    path = folder(spark)
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     return rounded(significance.sweep(rows, list(_TELEMETRY), "cer"), "r", "rho", "r_p", "rho_p")
 
 

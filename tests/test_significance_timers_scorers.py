@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from examlake.operators import scorers, significance
+from examlake.operators import scorers, significance, statistics
 from examlake.streaming import timers
 
 
@@ -113,3 +113,18 @@ def test_only_unresolved_questions_are_asked(spark):
     assert got == {("x", 1, 1, 0.9, "AUTO"), ("x", 1, 2, 0.65, "AUTO_MULTIMODAL"), ("y", 4, 1, 0.65, "AUTO_MULTIMODAL")}
     assert scorers.with_fallback(mapped, pages, questions, None).count() == 1
     assert scorers.with_fallback(mapped.where("false"), pages.where("false"), questions, share).count() == 0
+
+
+def test_a_value_that_most_rows_have_is_ranked_as_one_row(spark):
+    rows = spark.createDataFrame([("a", 5.0)] * 500 + [("a", 1.0), ("a", None), ("a", 9.0), ("b", 5.0), (None, 2.0), (None, 2.0)], "g string, x double")
+    ranks = statistics.value_ranks(rows, ["g"], "x", "r")
+    assert {(r.g, r.x): r.r for r in ranks.collect()} == {("a", None): 1.0, ("a", 1.0): 2.0, ("a", 5.0): 252.5, ("a", 9.0): 503.0, ("b", 5.0): 1.0, (None, 2.0): 1.5}
+    assert ranks.count() == 6 and statistics.average_ranks(rows, ["g"], "x", "r").where("r = 252.5").count() == 500
+
+
+def test_edit_distances_of_turns_are_taken_once(spark):
+    from examlake.plans import statistics as plans
+
+    found = plans.telemetry_significance(spark, "/root/testdata/sf0.001")
+    assert "levenshtein" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 6
