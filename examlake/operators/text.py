@@ -108,6 +108,7 @@ def page_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
 
     Each page is split into words once (and once more without hyphens, where it has any); words that
     no term has are dropped by a join with the terms' words, and only then are phrases put together.
+    What is left is dealt by page, to more tasks the more there is to read, so a task's share doesn't grow with the input.
     """
     low = F.lower("text")
     forms = F.array_compact(F.array(F.replace(low, F.lit("-"), F.lit(" ")), F.when(F.contains(low, F.lit("-")), F.replace(low, F.lit("-"), F.lit("")))))
@@ -115,10 +116,20 @@ def page_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
     split = pages.select("page_id", F.posexplode(forms).alias("form", "t")).select("page_id", "form", F.posexplode(F.split(F.regexp_replace("t", "[^a-z0-9_ ]", " | "), " ")).alias("at", "word"))
     known = terms.select(F.explode(F.split("term", " ")).alias("word")).distinct()
     kept = split.where("word <> '' and word <> '|'").join(known, "word")
-    words = kept.groupBy("page_id", "form").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
-    nxt = lambda x, i, k: F.when(F.get("w", i + k).getField("at") == x.at + k, F.get("w", i + k).getField("word"))
+    dealt = kept.repartition(_n_shares(pages), "page_id")
+    words = dealt.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("form", "at", "word"))).alias("w"))
+    nxt = lambda x, i, k: F.when((F.get("w", i + k).getField("form") == x.form) & (F.get("w", i + k).getField("at") == x.at + k), F.get("w", i + k).getField("word"))
     grams = F.transform("w", lambda x, i: F.array(x.word, F.concat(x.word, F.lit(" "), nxt(x, i, 1)), F.concat(x.word, F.lit(" "), nxt(x, i, 1), F.lit(" "), nxt(x, i, 2))))
-    return words.select("page_id", F.explode(F.array_distinct(F.array_compact(F.flatten(grams)))).alias("term")).distinct()
+    return words.select("page_id", F.explode(F.array_distinct(F.array_compact(F.flatten(grams)))).alias("term"))
+
+
+#: Tasks for each part of a table that is read: a part is at most what spark.sql.files.maxPartitionBytes says, before it is unpacked.
+SHARES = 8
+
+
+def _n_shares(rows: DataFrame) -> int:
+    """How many tasks the rows of a table are dealt to: as many as the session shuffles into, and more for a large table."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARES * rows.rdd.getNumPartitions())
 
 
 def explicit_header(text: Column) -> Column:

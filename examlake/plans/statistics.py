@@ -151,6 +151,12 @@ def turn_pairs(spark: SparkSession, sf_dir: str, folded: bool = False) -> DataFr
     return pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
 
 
+def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = folder(spark)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 _TELEMETRY = ("ref_chars", "text_chars", "ref_words", "blanks", "letters_e", "turn")
 _SWEPT = _TURNS + """, v AS (SELECT levenshtein(a, b) / greatest(1, length(a)) AS cer, length(a)::DOUBLE AS ref_chars, length(b)::DOUBLE AS text_chars, (length(a) - length(replace(a, ' ', '')))::DOUBLE AS ref_words, (length(b) - length(replace(b, ' ', '')))::DOUBLE AS blanks, (length(b) - length(regexp_replace(b, '[eE]', '', 'g')))::DOUBLE AS letters_e, turn::DOUBLE AS turn FROM n),
 u AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS x, cer AS y FROM v" for m in _TELEMETRY) + """),
@@ -172,10 +178,7 @@ def telemetry_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     without = lambda c, p: (F.char_length(c) - F.char_length(F.regexp_replace(c, p, ""))).cast("double")
     rows = pairs.select(tx.char_error_rate(F.col("ref"), F.col("text")).alias("cer"), F.char_length(a).alias("ref_chars"), F.char_length(b).alias("text_chars"), without(a, " ").alias("ref_words"), without(b, " ").alias("blanks"), without(b, "[eE]").alias("letters_e"), F.col("turn").cast("double").alias("turn"))
     # Read by every ranking below, and an edit distance is dear: written once in the shared folder.
-    path = folder(spark)
-    rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
-    return rounded(significance.sweep(rows, list(_TELEMETRY), "cer"), "r", "rho", "r_p", "rho_p")
+    return rounded(significance.sweep(_written(spark, rows), list(_TELEMETRY), "cer"), "r", "rho", "r_p", "rho_p")
 
 
 @query(_TURNS + "SELECT conv_id, turn, round(levenshtein(a, b) / greatest(1, length(a)), 6) AS cer, round(greatest(0::DOUBLE, 1 - levenshtein(a, b) / greatest(1, length(a))), 6) AS accuracy, (levenshtein(a, b) / greatest(1, length(a)) >= 0.85 OR b = '') AS failed FROM n")
@@ -272,7 +275,8 @@ SELECT page_id, question_id, hits, phrases, 'AUTO_CONTINUATION' AS source, confi
 WHERE (hits >= 2 OR phrases >= 1 OR score >= 0.35 OR (cue AND hits >= 1)) AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.page_id = f.page_id AND hd.question_id <> f.question_id)""")
 def continuation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, profiles = _pages(spark, sf_dir), _profiles(spark, sf_dir)
-    headers, scores = tx.page_headers(pages, profiles), tx.page_scores(pages, profiles)
+    # Both are read several times below, and every reading would split all pages again: written once in the shared folder.
+    headers, scores = _written(spark, tx.page_headers(pages, profiles)), _written(spark, tx.page_scores(pages, profiles))
     return rounded(tx.continuations(pages, tx.combined(headers, scores), headers, scores), "confidence")
 
 

@@ -165,3 +165,20 @@ def test_page_decisions(spark):
     fatal, risks = vision.fatal_defects(e), vision.risk_factors(e)
     got = rows.select(vision.verdict(fatal, risks).alias("v"), vision.rescan_decision(fatal, risks, F.lit(False)).alias("d")).collect()
     assert [(r.v, r.d) for r in got] == [c[1:] for c in cases]
+
+
+def test_words_of_pages_are_dealt_by_what_there_is_to_read(spark):
+    """A table of many parts gives more shares than the session shuffles into; scores are not worked out again where they are read."""
+    from examlake.plans import statistics as plans
+
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        pages, profiles = plans._pages(spark, "/root/testdata/sf0.01"), plans._profiles(spark, "/root/testdata/sf0.01")
+        parts, before = pages.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        terms = plans.tx.page_terms(pages, plans.tx.profile_terms(profiles))
+        assert parts > 1 and terms.rdd.getNumPartitions() == plans.tx.SHARES * parts > before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    found = plans.continuation_pages(spark, "/root/testdata/sf0.01")
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
