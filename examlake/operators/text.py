@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shares import SHARES, n_shares  # noqa: F401
+
 # Words that tell nothing about a question.
 STOP_WORDS = """a about above after again against all am an and any are aren as at be because been before being below between both briefly but
 by can cannot could describe detail did difference different discuss do does down during each either example explain few for from
@@ -116,22 +118,13 @@ def page_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
     split = pages.select("page_id", F.posexplode(forms).alias("form", "t")).select("page_id", "form", F.posexplode(F.split(F.regexp_replace("t", "[^a-z0-9_ ]", " | "), " ")).alias("at", "word"))
     known = terms.select(F.explode(F.split("term", " ")).alias("word")).distinct()
     kept = split.where("word <> '' and word <> '|'").join(known, "word")
-    dealt = kept.repartition(_n_shares(pages), "page_id")
+    dealt = kept.repartition(n_shares(pages), "page_id")
     words = dealt.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("form", "at", "word"))).alias("w"))
     nxt = lambda x, i, k: F.when((F.get("w", i + k).getField("form") == x.form) & (F.get("w", i + k).getField("at") == x.at + k), F.get("w", i + k).getField("word"))
     grams = F.transform("w", lambda x, i: F.array(x.word, F.concat(x.word, F.lit(" "), nxt(x, i, 1)), F.concat(x.word, F.lit(" "), nxt(x, i, 1), F.lit(" "), nxt(x, i, 2))))
     return words.select("page_id", F.explode(F.array_distinct(F.array_compact(F.flatten(grams)))).alias("term"))
 
 
-#: Tasks for each part of a table that is read: a part is at most what spark.sql.files.maxPartitionBytes says, before it is unpacked.
-SHARES = 8
-
-
-def _n_shares(rows: DataFrame) -> int:
-    """How many tasks the rows of a table are dealt to: as many as the session shuffles into, and more for a large table."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARES * rows.rdd.getNumPartitions())
-
-
 def explicit_header(text: Column) -> Column:
     """The number in the first question header (``Q3``, ``Ans. 3``, ``3)`` at a line's start), or null; ASCII word borders."""
     found = F.regexp_extract(text, r"(?im)(?:^|[^A-Za-z0-9_])(?:q(?:uestion)?|ans(?:wer)?)[.\s]*([0-9]{1,3})(?![A-Za-z0-9_])", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import js_round
+from ..functions.shares import n_shares
 from ..operators import geometry
 from ..sources import domain, ingest
 from ..sources.domain import SQL as D
@@ -53,8 +54,12 @@ def question_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(D + """SELECT evaluation_id, 'exams/' || exam || '/answer-books/' || evaluation_id || '/pages/page-' || lpad(CAST(question_number AS VARCHAR), 4, '0') AS object_key, count(*) AS n
 FROM marks JOIN evaluations USING (evaluation_id) JOIN examiners USING (examiner_id) GROUP BY ALL""")
 def page_object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = domain.marks(spark, sf_dir).join(domain.evaluations(spark, sf_dir).select("evaluation_id", "examiner_id"), "evaluation_id").join(domain.examiners(spark, sf_dir).select("examiner_id", "exam"), "examiner_id")
-    return rows.groupBy("evaluation_id", ingest.object_key(F.col("exam"), F.col("evaluation_id"), F.col("question_number").cast("int")).alias("object_key")).agg(F.count(F.lit(1)).alias("n"))
+    # Numbers are counted before keys are written out, and all of a book is dealt to one task.
+    marks = domain.marks(spark, sf_dir)
+    pages = marks.select("evaluation_id", "question_number").repartition(n_shares(marks), "evaluation_id").groupBy("evaluation_id", "question_number").agg(F.count(F.lit(1)).alias("n"))
+    books = domain.evaluations(spark, sf_dir).select("evaluation_id", "examiner_id").join(domain.examiners(spark, sf_dir).select("examiner_id", "exam"), "examiner_id").select("evaluation_id", "exam")
+    rows = pages.join(books, "evaluation_id").select("evaluation_id", ingest.object_key(F.col("exam"), F.col("evaluation_id"), F.col("question_number").cast("int")).alias("object_key"), "n")
+    return rows.groupBy("evaluation_id", "object_key").agg(F.sum("n").alias("n"))
 
 
 @query(D + """, s AS (SELECT evaluation_id, max(question_number) AS expected, count(*) AS n, count(DISTINCT question_number) AS d, min(question_number) AS low, max(question_number) AS top, count(*) FILTER (mark_status = 'FLAGGED') AS bad, count(*) FILTER (NOT reviewed) AS busy FROM marks GROUP BY 1)
