@@ -22,6 +22,8 @@ from .common import checkpointed, n_partitions, releasing, text_or_empty
 from .tokens import encoder
 
 _PLACE = T.StructType([T.StructField("bin", T.LongType()), T.StructField("shift", T.IntegerType()), T.StructField("fill", T.IntegerType()), T.StructField("first", T.BooleanType())])
+#: Texts whose new words go through the model together. Bounds memory, never results.
+_RUN_CHARS = 1 << 21
 _BIN = "group int, fill int, members array<struct<bin: bigint, shift: int>>, up boolean"
 
 
@@ -47,6 +49,18 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _runs(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about ``_RUN_CHARS`` characters; a longer text is a run of its own."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text.as_py())
+        held += len(run[-1])
+        if held >= _RUN_CHARS:
+            yield run
+            run, held = [], 0
+    yield run
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenizes each text, adds ``end_id`` and cuts what is longer than ``capacity``.
 
@@ -55,11 +69,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer_path).text_bytes, end_id.to_bytes(4, "little")
+        ids_of, end = encoder(tokenizer_path).texts_bytes, end_id.to_bytes(4, "little")
         for batch in batches:
             at, pieces = [], []
-            for i, text in enumerate(batch.column("_text")):
-                ids = ids_of(text.as_py()) + end
+            for i, ids in enumerate(i + end for some in _runs(batch.column("_text")) for i in ids_of(some)):
                 for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     at.append(i)

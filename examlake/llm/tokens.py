@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,11 @@ CACHE_BYTES = 56_000_000
 _ENTRY_BYTES = 200
 
 
+# Kinds of bytes of plain texts: white space, (parts of) letters, digits, the apostrophe, others; and between which two of them words part.
+_KIND = np.array([1 if chr(b).isalpha() or b >= 0x80 else 0 if chr(b).isspace() else 2 if chr(b).isdigit() else 3 if b == 39 else 4 for b in range(256)], np.uint8)
+_PARTED = np.array([a > 0 and b > 0 and (a == b == 2 or (a != b and {a, b} != {3, 4} and (a, b) != (3, 1))) for a in range(5) for b in range(5)])
+
+
 class _Seen(dict):
     """Ids (bytes) by what was encoded; ``encode`` gives those of what is new, and whether to keep them.
 
@@ -45,6 +53,10 @@ class _Seen(dict):
             ids, keep = self.encode(key)
             if not keep:
                 return ids
+        self.keep(key, ids)
+        return ids
+
+    def keep(self, key, ids: bytes) -> None:
         if len(key) <= 64:
             self.held += _ENTRY_BYTES + len(key) + len(ids)
             if 2 * self.held > CACHE_BYTES:
@@ -52,6 +64,11 @@ class _Seen(dict):
                 self.clear()
                 self.held = 0
             self[key] = ids
+
+    def known(self, key) -> bytes | None:
+        ids = self.get(key)
+        if ids is None and (ids := self.before.get(key)) is not None:
+            self.keep(key, ids)
         return ids
 
 
@@ -79,6 +96,7 @@ class FragmentEncoder:
         self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(model["vocab"].values()))]
         self._learn_letters()
         self.words, self.fragments = _Seen(self._word), _Seen(self._fragment)
+        self.runs = _Seen(lambda run: (self._together([run])[0], True))
 
     def _learn_letters(self) -> None:
         """Letters below U+0300 (nothing there composes with its neighbours) that the tokenizer treats as Python does."""
@@ -88,6 +106,7 @@ class FragmentEncoder:
         self.is_plain = re.compile(f"[!-~{letters}]+").fullmatch
         # The splitter's pattern, for words of these letters and ASCII, lower-cased.
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{letters}]+|[0-9]|[^a-z0-9{letters}]+").findall
+        self.is_plain_text = re.compile(f"[\t-\r -~{letters}]*").fullmatch
         self.shown = str.maketrans({c: one(c)[0][1:-1] for c in letters if c == c.lower()})
 
     def _spec(self) -> dict:
@@ -105,6 +124,22 @@ class FragmentEncoder:
         """The model without word ends, loaded when a first word is cut."""
         return self._model(self._spec()["model"])
 
+    @cached_property
+    def bulk(self):
+        """Encodes words that blanks part, and says nothing of offsets; and which ids end a word."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        spec = self._spec()
+        suffix = spec["model"]["end_of_word_suffix"]
+        if not suffix:
+            raise ValueError("words are told apart by the suffix of their last token, and this vocabulary has none")
+        tokenizer = Tokenizer(self.last)
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(len(self.id_bytes), bool)
+        ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return tokenizer.encode_batch_fast, ends
+
     @cached_property
     def plain(self):
         """The library's tokenizer, loaded for decoding."""
@@ -151,6 +186,69 @@ class FragmentEncoder:
         # Letters beyond ASCII may compose with a capital in one way and with its small letter in another, so such texts keep their case here.
         return b"".join(map(self.words.__getitem__, (raw.lower() if text.isascii() else raw).split()))
 
+    def _together(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs without white space; the words of all of them in one call. A word's last token alone has the suffix of words, so it tells where the next begins."""
+        encode, ends_word = self.bulk
+        words, counts, apart = [], [0], {}
+        for i, run in enumerate(runs):
+            if not self.is_plain(run):
+                apart[i] = self.words[run.encode()]
+            elif run.isalpha():
+                words.append(run.lower())
+            else:
+                words += self.pieces(run.lower())
+            counts.append(len(words))
+        ids = np.array(encode([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.concatenate([[0], 4 * (np.flatnonzero(ends_word[ids]) + 1)])
+        if len(ends) != len(words) + 1:
+            raise ValueError(f"{len(words)} words gave {len(ends) - 1} ends of words")
+        raw, at = ids.tobytes(), ends[counts].tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for i, ids_ in apart.items():
+            out[i] = ids_
+        return out
+
+    def _cut(self, texts: list[str]) -> pa.Array:
+        """The texts, plain ones in small letters and with blanks where the splitter parts their words for certain. After an apostrophe it may go on, so the letters behind one stay with it."""
+        plain = [self.is_plain_text(t) is not None for t in texts]
+        # Case stays where letters may compose, as in ``text_bytes``.
+        whole = pa.array([t.lower() if p else t for t, p in zip(texts, plain, strict=True)], pa.large_string())
+        offsets, raw = np.frombuffer(whole.buffers()[1], np.int64)[: len(texts) + 1], np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+        raw = raw[: offsets[-1]]
+        kind = _KIND[raw]
+        cut = _PARTED[kind[:-1] * 5 + kind[1:]]
+        for i, p in enumerate(plain):
+            if not p:
+                cut[max(0, offsets[i] - 1) : offsets[i + 1]] = False
+        places = np.flatnonzero(cut) + 1
+        parted = np.insert(raw, places, 32)
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets + np.searchsorted(places, offsets)), pa.py_buffer(parted))
+
+    def texts_bytes(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as bytes: what ``text_bytes`` gives for each. Equal runs are looked up once, and new ones go through the model together.
+
+        Takes some multiple of the texts' size at once, so hand over as many as memory allows.
+        """
+        apart = {i for i, t in enumerate(texts) if "<|" in t and self.at_special.search(t)}
+        split = pc.ascii_split_whitespace(self._cut([t if i not in apart else "" for i, t in enumerate(texts)]))
+        distinct = split.flatten().dictionary_encode()
+        runs = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.runs.known, runs))
+        if new := [i for i, ids in enumerate(found) if ids is None]:
+            for i, ids in zip(new, self._together([runs[i] for i in new]), strict=True):
+                found[i] = ids
+                self.runs.keep(runs[i], ids)
+        flat, lengths = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = distinct.indices.to_numpy()
+        n = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in apart:
+            out[i] = self.text_bytes(texts[i])
+        return out
+
     def text_ids(self, text: str) -> list[int]:
         return np.frombuffer(self.text_bytes(text), "<u4").tolist()
 

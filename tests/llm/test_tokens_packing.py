@@ -47,6 +47,21 @@ def test_a_full_cache_changes_no_ids(library, monkeypatch):
         assert len(mine.words) + len(mine.words.before) < 40
 
 
+def test_many_texts_at_once_equal_the_library(library, monkeypatch):
+    parts = ["'", "'s", "''s", ",'s", "don't", "'super", "o'neil", "12", "3a", "É", "straße", "—", "“q”", "日本", "A\u030a", "İ", "<|endoftext|>", "<|", "\x1c", "\x85", "\xa0", "\r\n", "  ", "word", "WORD", "</w>", "x" * 200, "9" * 90, "½"]
+    rng = random.Random(5)
+    texts = ["", "'", "\n\n", *("".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(1, 30))) for _ in range(600))]
+    coder = tokens.FragmentEncoder(PATH)
+    single = []
+    monkeypatch.setattr(coder, "_piece", lambda s, cut=coder._piece: single.append(s) or cut(s))
+    for size in (1, 7, len(texts)):
+        got = [ids for i in range(0, len(texts), size) for ids in coder.texts_bytes(texts[i : i + size])]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    single.clear()
+    assert coder.texts_bytes([]) == []
+    assert coder.texts_bytes(["Some words, never seen: zyxwv ñandú"])[0] and not single  # plain words go together, not one by one
+
+
 def test_digests(spark, library):
     rows = [(i, t, "x", "y") for i, t in enumerate(ODD)] + [(None, None, None, None), (1, ODD[1], "x", "y"), (99, "word " * 20_000, "", "")]
     got = tokens.token_digests(spark.createDataFrame(rows, DOCS), PATH).collect()
