@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import cents, first_failure, js_round
 from ..operators import correction, geometry, vision
 from ..operators.statistics import percentiles
+from ..operators.text import edit_distance
 from ..sources import domain
 from ..sources.domain import SQL as D
 from .ingest import boxes
@@ -151,7 +152,7 @@ def representation_comparison_unicode(spark: SparkSession, sf_dir: str) -> DataF
 def _representations(pairs: DataFrame) -> DataFrame:
     a, b = F.coalesce("ref", F.lit("")), F.col("text")
     n = F.greatest(F.lit(1), F.char_length(a))
-    p = pairs.select((F.levenshtein(a, b) / n).alias("raw"), (F.levenshtein(F.lower(a), F.lower(b)) / n).alias("low"))
+    p = pairs.select((edit_distance(a, b) / n).alias("raw"), (edit_distance(F.lower(a), F.lower(b)) / n).alias("low"))
     gap = F.col("low") - F.col("raw")
     effect = F.when(gap < -0.01, "IMPROVED").when(gap > 0.01, "DEGRADED").otherwise("SAME")
     return p.groupBy(effect.alias("effect")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("raw"), 6).alias("mean_raw"), F.round(F.percentile("low", 0.5), 6).alias("median_low"))

@@ -45,6 +45,16 @@ def test_error_rates(spark):
     assert [r.w for r in got] == [1.0, 1.0, 0.0, 0.0, 1 / 3]
 
 
+def test_edit_distance_of_texts_equals_the_built_in(spark):
+    rng = random.Random(3)
+    made = [tuple("".join(rng.choice(letters) for _ in range(rng.randint(0, n))) for n in (40, 150)) for letters in ("ab", "abcdefgh ", "aé日😀 ") for _ in range(150)]
+    rows = spark.createDataFrame([*made, ("", ""), ("same", "same"), (None, "x"), ("x", None)], "a string, b string")
+    found = rows.select("a", "b", tx.edit_distance(F.col("a"), F.col("b")).alias("mine"), F.levenshtein("a", "b").alias("built_in"))
+    assert found.where("not mine <=> built_in").count() == 0 and found.where("mine is null").count() == 2
+    rate = rows.select(tx.char_error_rate(F.col("a"), F.col("b")))
+    assert "levenshtein" not in rate._jdf.queryExecution().optimizedPlan().toString()  # cell by cell, it took most of the time
+
+
 def test_edit_distance_of_lists():
     def plain(a, b):
         row = list(range(len(b) + 1))
