@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,10 @@ def record(rule: str, name: str, severity: str, key: Column, examiner: Column, d
     return F.struct(F.concat(F.lit(f"{rule}-"), key).alias("issue_id"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), F.col("evaluation_id"), F.coalesce("exam", F.lit("—")).alias("exam_code"), examiner.alias("examiner"), description.alias("description"))
 
 
-def issues(rows: DataFrame, *rules: tuple[Column, Column]) -> DataFrame:
-    """The records of all rules that hold, from one pass over ``rows``."""
-    found = F.array_compact(F.array(*[F.when(holds, made) for holds, made in rules]))
-    return rows.select(F.explode(found).alias("i")).select("i.*")
+def issues(rows: DataFrame, *rules: tuple[Column, Column], also: Sequence[str] = ()) -> DataFrame:
+    """The records of all rules that hold, from one pass over ``rows``; they take the columns ``also`` along."""
+    found = F.array(*[F.when(holds, made) for holds, made in rules])  # compacting would leave compiled code
+    return rows.select(F.explode(found).alias("i"), *also).where("i is not null").select("i.*", *also)
 
 
 def unreadable(has_image: Column, has_text: Column, confidence: Column, least: float = 0.35) -> Column:

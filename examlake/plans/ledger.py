@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import falsy
+from ..operators import rules as operators
 from ..operators.scoring import plain_number
 from ..sources import domain
 from ..sources.domain import SQL as D
@@ -47,17 +48,23 @@ FROM told t LEFT JOIN evaluations e ON e.evaluation_id = t.evaluation_id LEFT JO
 def integrity_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issues of all eleven rules in one shape: id, rule, severity, book, exam, examiner, description and time.
 
-    Issues are made by their own rules and only named here, so this adds one join with the evaluations and one with the examiners.
+    Issues are made by their own rules and only named here. What they need of the evaluation and its examiner is joined
+    to the marks and sums that they come from, as issues are more and wider than those; only the few of a whole
+    evaluation's state are joined afterwards.
     """
-    told = rules.QUERIES["integrity_all"](spark, sf_dir).where(F.col("rule").isin(*_TOLD)).select("issue_id", "rule", "severity", "evaluation_id", F.lit(None).cast("string").alias("who"), F.col("detail").alias("description"))
+    ev, people = domain.evaluations(spark, sf_dir), domain.examiners(spark, sf_dir)
+    about = ev.select("evaluation_id", "examiner_id", "started_at").join(people.select("examiner_id", "examiner_name", "exam"), "examiner_id", "left").select(
+        "evaluation_id", F.col("examiner_name").alias("its_examiner"), F.col("exam").alias("its_exam"), F.col("started_at").alias("its_start")
+    )
+    of_marks = operators.issues_of_marks(ev, domain.marks(spark, sf_dir), domain.questions(spark, sf_dir), _TOLD, about)
+    of_states = operators.joined_before(operators.all_issues(operators.rescan_breach(ev), operators.custody(ev, rules.book_status())), about)
+    told = of_marks.unionByName(of_states).withColumns({"who": F.lit(None).cast("string"), "description": F.col("detail")}).drop("detail")
     rule = F.coalesce(*[F.when(F.startswith("issue_id", F.lit(f"{r}-")), r) for r in _RECORDED])
-    recorded = scopes.QUERIES["integrity_records"](spark, sf_dir).select("issue_id", rule.alias("rule"), "severity", "evaluation_id", F.col("examiner").alias("who"), "description")
+    recorded = scopes.records(spark, sf_dir, about).select("issue_id", rule.alias("rule"), "severity", "evaluation_id", F.col("examiner").alias("who"), "description", "its_examiner", "its_exam", "its_start")
     names = F.create_map(*[F.lit(x) for kv in RULE_NAMES.items() for x in kv])
-    ev = domain.evaluations(spark, sf_dir).select("evaluation_id", "examiner_id", "started_at").join(domain.examiners(spark, sf_dir).select("examiner_id", "examiner_name", "exam"), "examiner_id", "left")
-    rows = told.unionByName(recorded).join(ev, "evaluation_id", "left")
-    return rows.select(
-        "issue_id", names[F.col("rule")].alias("rule_name"), "severity", "evaluation_id", F.concat(F.lit("B"), F.col("evaluation_id").cast("string")).alias("book_code"), F.coalesce("exam", F.lit("—")).alias("exam_code"),
-        F.coalesce("who", "examiner_name", F.lit("Unknown")).alias("examiner"), "description", _stamp(F.col("started_at")).alias("detected_at"),
+    return told.unionByName(recorded).select(
+        "issue_id", names[F.col("rule")].alias("rule_name"), "severity", "evaluation_id", F.concat(F.lit("B"), F.col("evaluation_id").cast("string")).alias("book_code"), F.coalesce("its_exam", F.lit("—")).alias("exam_code"),
+        F.coalesce("who", "its_examiner", F.lit("Unknown")).alias("examiner"), "description", _stamp(F.col("its_start")).alias("detected_at"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cents, clamp, first_failure, js_round
 from ..operators import scopes as ops
+from ..operators.rules import joined_before
 from ..sources import domain
 from ..sources.domain import SQL as D
 from .registry import registry
@@ -283,6 +284,11 @@ UNION ALL SELECT 'defective-page-' || evaluation_id || '-' || question_number ||
 FROM marks JOIN evaluations USING (evaluation_id) LEFT JOIN names USING (examiner_id) WHERE quality_status = 'RESCAN_REQUIRED' OR mark_status = 'FLAGGED'""")
 def integrity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue records of duplicate evaluations, totals above the maximum, empty books and defective pages, all of one shape."""
+    return records(spark, sf_dir)
+
+
+def records(spark: SparkSession, sf_dir: str, about: DataFrame | None = None) -> DataFrame:
+    """The records, with the other columns of ``about`` by ``evaluation_id``, which are joined before records are made."""
     people = domain.examiners(spark, sf_dir).select("examiner_id", "examiner_name", "exam")
     ev = domain.evaluations(spark, sf_dir).join(people, "examiner_id", "left")
     marks = domain.marks(spark, sf_dir)
@@ -291,17 +297,19 @@ def integrity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = ev.join(by_book, "evaluation_id", "left").join(same_day, ["examiner_id", "started_at"], "left")
     who, e = F.coalesce("examiner_name", F.lit("Unknown")), F.col("evaluation_id").cast("string")
     pages = F.coalesce("pages", F.lit(0))
+    also = [] if about is None else [c for c in about.columns if c != "evaluation_id"]
     books_ = ops.issues(
-        facts,
+        joined_before(facts, about),
         (F.col("n") > 1, ops.record("duplicate-eval", "Duplicate Evaluation", "HIGH", e, who, F.concat(F.col("n").cast("string"), F.lit(" evaluations stand for one book.")))),
         (cents(F.coalesce("total_marks", F.lit(0.0))) > F.col("mx") * 100, ops.record("exceeds-max", "Total Above Maximum", "HIGH", e, who, F.concat(F.lit("The total is above the maximum of "), F.col("mx").cast("string"), F.lit(".")))),
         (pages <= 0, ops.record("missing-pages", "Invalid Page Count", "MEDIUM", e, F.lit("System Scanner"), F.concat(F.lit("Answer book registered with invalid or zero page count ("), pages.cast("string"), F.lit(" pages).")))),
+        also=also,
     )
     bad = marks.join(ev, "evaluation_id").where((F.col("quality_status") == "RESCAN_REQUIRED") | (F.col("mark_status") == "FLAGGED"))
     why = F.when(F.col("quality_status") == "RESCAN_REQUIRED", "unacceptable blur/legibility quality score").otherwise("processing pipeline failure")
     key = F.concat_ws("-", e, F.col("question_number").cast("string"), F.col("question_id").cast("string"))
     page = ops.record("defective-page", "Scanned Page Ingestion Defect", "MEDIUM", key, F.lit("Scanner Ingestion"), F.concat(F.lit("Page "), F.col("question_number").cast("string"), F.lit(" flagged with "), why, F.lit(".")))
-    return books_.unionByName(ops.issues(bad, (F.lit(True), page)))
+    return books_.unionByName(ops.issues(joined_before(bad, about), (F.lit(True), page), also=also))
 
 
 @query(D + """, q AS (SELECT evaluation_id, question_number, count(*) FILTER (mark_status <> 'NOT_ATTEMPTED') AS pages, bool_or(reviewed) AS verified, max(moderator_id) % 2 = 0 AS current FROM marks GROUP BY ALL), s AS (SELECT evaluation_id, bool_or(pages = 0 AND NOT verified) AS unresolved, bool_or(NOT current AND NOT verified) AS outdated FROM q GROUP BY 1)

@@ -1,6 +1,7 @@
 """Scopes, guarded writes and rules on hand-made rows, and box clusters against a plain loop."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,14 @@ def test_a_stream_names_its_estimate(spark, tmp_path):
     assert "users" in events.windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), "1 day").columns
     rows.limit(5).write.parquet(str(tmp_path / "in"))
     assert events.windowed(events.event_stream(spark, str(tmp_path / "in")), "1 day").columns[-1] == "about_users"
+
+
+def test_issues_of_the_ledger_are_made_after_all_joins(spark):
+    from examlake.plans import ledger
+
+    lines = ledger.integrity_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(re.match(r"[ :+-]*", line).group()) for line in lines]
+    below = lambda i: lines[i + 1 : next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))]
+    joins = [i for i, line in enumerate(lines) if line[depth[i] :].startswith("Join")]
+    assert joins and any("Generate" in line for line in lines)
+    assert not any("Generate" in line for i in joins for line in below(i))
