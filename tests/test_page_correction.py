@@ -28,6 +28,16 @@ def test_clean_pages_call_for_nothing():
     assert end == "CLEAN" and tried == [] and (page == written()).all()
 
 
+def test_the_first_fatal_defect_settles_it(monkeypatch):
+    asked = []
+    for name, f in page_images.MEASURES.items():
+        monkeypatch.setitem(page_images.MEASURES, name, lambda p, name=name, f=f: asked.append(name) or f(p))
+    cut = written()
+    cut[400:420, 40:60] = cut[400:420, 80:100] = cut[400:420, 120:140] = 50
+    assert fix.is_fatal(fix.Look(cut)) and asked == ["clipped_px"]
+    assert not fix.is_fatal(fix.Look(written())) and asked[1:] == list(fix.FATAL)
+
+
 def test_shadow_is_corrected_and_proved():
     before = shaded()
     page, end, tried = fix.corrected(before)
