@@ -1,10 +1,13 @@
 """Corrections of whole pages: what is kept, what is taken back, and each gate."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
 from examlake.operators import page_correction as fix
 from examlake.operators import page_images
+from examlake.plans import regions as plans
 
 
 def written(h=420, w=340, paper=225, ink=50, to=1.0):
@@ -103,3 +106,23 @@ def test_rows(spark):
     assert {k: r.outcome for k, r in got.items()} == {"shade": "CORRECTED", "clean": "CLEAN", "none": "UNREADABLE", None: "UNREADABLE"}
     assert bytes(got["shade"].pixels) == fix.corrected(shaded())[0].tobytes() and got["shade"].tried[0].survival == pytest.approx(fix.corrected(shaded())[2][0].measures["survival"], abs=1e-6)
     assert fix.corrected_pages(spark.createDataFrame([], "page_id string, width int, height int, pixels binary")).count() == 0
+
+
+def test_pages_are_drawn_corrected_and_digested_in_one_pass(spark, tmp_path):
+    """No pixels are moved to Spark and back: one pass of Python, whose digests are those of the pages that ``corrected_pages`` gives."""
+    spark.createDataFrame([(1, "abc de" * 200), (2, None), (3, "x" * 700)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = plans.page_image_corrections(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = {r.page_id: r for r in fix.corrected_pages(plans.page_rasters(spark, str(tmp_path))).collect()}
+    rows = found.collect()
+    assert {r.page_id for r in rows} == set(apart) == {"1:1", "1:2", "2:1", "3:1"}
+    assert all((r.outcome, r.page_digest) == (apart[r.page_id].outcome, hashlib.md5(apart[r.page_id].pixels).hexdigest()) for r in rows)
+
+
+def test_stroke_contrast_equals_plain_middle_and_share():
+    rng = np.random.default_rng(9)
+    for levels in ((0, 256), (150, 200)):
+        look = fix.Look(rng.integers(*levels, (120, 140)).astype(np.uint8))
+        depth = look.depth[look.strokes_near]
+        assert look.stroke_contrast() == (np.median(depth), ((depth >= 10) & (depth <= 35)).mean())
+    assert fix.Look(np.full((60, 60), 200, np.uint8)).stroke_contrast() == (100.0, 0.0)
